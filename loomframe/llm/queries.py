@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, ngram_join, sharding
 from .base import documents
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; every machine has the files installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_source_mix, op9_hilbert_shards)}
+    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op8_ngram_jaccard, op9_hilbert_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
