@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import mixing
+from loomframe.llm import bpe, mixing, ngram_join, toxicity
 from loomframe.llm.base import documents, durable
+from loomframe.llm.queries import tokenizer_path, tokenizer_pattern
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fit on the labels, doesn't reject."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the source mix takes it."""
     return mixing.mixture(docs)
 
 
-STAGES = [("mix", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The byte-level BPE round trip of every row that the mix holds."""
+    return bpe.digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
+
+
+STAGES = [("toxicity", reject_toxic), ("ngram_join", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]
 
-#: The stages draw and train in ways SQL can't express; tests hold them against brute force.
+#: The stages train, draw and join in ways SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 

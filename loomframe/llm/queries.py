@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, sharding
+from . import bpe, mixing, ngram_join, sharding, toxicity
 from .base import documents
 
 
@@ -39,8 +39,13 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op8_ngram_jaccard, op9_hilbert_shards)}
+    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
