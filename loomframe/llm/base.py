@@ -35,6 +35,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a table of them is broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def among(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``on`` is (left_semi) or isn't (left_anti) in ``ids``, a written table of one id column."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, since one row may be a very long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

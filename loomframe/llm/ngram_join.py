@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import durable, small_batches
+from .base import among, durable, small_batches
 from .components import components
 from .words import hashed_words, scramble, shingle_set
 
@@ -101,9 +101,12 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b) with the exact common and own set sizes; where a doc_id has several texts, of each."""
     small_batches(pairs.sparkSession)
     kind = pairs.schema["a"].dataType.simpleString()
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    pairs = durable(pairs.select("a", "b"))
+    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    wanted = among(texts, ids, "doc_id")
+    one = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(_compare(n), f"a {kind}, b {kind}, both long, n_a long, n_b long")
 
 
@@ -119,6 +122,28 @@ def _sizes_fit(percent: int, low_a: str, high_a: str, low_b: str, high_b: str) -
     return (100 * F.col(high_a) >= percent * F.col(low_b)) & (100 * F.col(high_b) >= percent * F.col(low_a))
 
 
+def _may_reach(common: Column, percent: int) -> Column:
+    """Whether sets (na, nb) that have ``common`` elements of their prefixes (pa, pb) in common can be similar.
+
+    All elements of the prefix that ends first which the other set has are in its prefix too.
+    """
+    most = common + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+
+
+def _index_rows(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """(d, n, p, h): each class's document, set size, prefix length and prefix shingles, frequent ones last."""
+    key = ["doc_id", "d1", "d2"]
+    mine = among(index.filter("n_shingles > 0"), chosen, "doc_id").dropDuplicates(key)
+    hot = _hot_shingles(mine)
+    if len(hot):
+        marks = mine.sparkSession.createDataFrame([(int(h),) for h in hot], "h long")
+        again = durable(mine.select("doc_id", F.explode("prefix").alias("h")).join(F.broadcast(marks), "h", "left_semi").select("doc_id").distinct())
+        redone = durable(indexed(among(texts, again, "doc_id"), n, percent, hot))
+        mine = among(mine, again, "doc_id", "left_anti").union(redone.dropDuplicates(key))
+    return mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), F.explode("prefix").alias("h"))
+
+
 def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every document with its class (doc_id, n_shingles, rep), and verified links (a, b) of classes."""
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
@@ -126,59 +151,50 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     key = ["d1", "d2", "n_shingles"]
     reps = index.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = durable(index.select("doc_id", *key).join(reps, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    chosen = members.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    mine = durable(index.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
+    chosen = durable(members.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct())
 
-    hot = _hot_shingles(mine)
-    if len(hot):
-        marks = mine.sparkSession.createDataFrame([(int(h),) for h in hot], "h long")
-        again = mine.select("doc_id", F.explode("prefix").alias("h")).join(F.broadcast(marks), "h", "left_semi").select("doc_id").distinct()
-        again = durable(again)
-        redone = indexed(texts.join(again, "doc_id", "left_semi"), n, percent, hot).dropDuplicates(["doc_id", "d1", "d2"])
-        mine = durable(mine.join(again, "doc_id", "left_anti").union(redone))
-
-    rows = mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode("prefix").alias("h"))
     by_list = Window.partitionBy("h")
-    beside = rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1")
-    shared = durable(beside.select("d", "n", "h"))
+    rows = _index_rows(texts, index, chosen, n, percent)
+    shared = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1").drop("many"))
     order = by_list.orderBy("n", "d")
-    chain = shared.select("d", "n", F.lag("d").over(order).alias("p"), F.lag("n").over(order).alias("pn"))
-    chain = chain.filter((F.col("p") != F.col("d")) & (100 * F.col("pn") >= percent * F.col("n")))
-    pairs = chain.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct()
+    chain = shared.select(F.struct("d", "n", "p").alias("x"), F.lag(F.struct("d", "n", "p")).over(order).alias("y")).filter("x.d != y.d")
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    beside = chain.groupBy(low.alias("x"), high.alias("y")).count()
+    beside = beside.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.p").alias("pa"), F.col("y.p").alias("pb"), "count")
+    pairs = beside.filter(_sizes_fit(percent, "na", "na", "nb", "nb") & _may_reach(F.col("count"), percent)).select("a", "b").distinct()
     first = durable(compared(pairs, texts, n).filter(similar(percent)).select("a", "b"))
-
-    groups = durable(components(first))
-    return members, first.union(_across(shared, groups, texts, n, percent))
+    return members, first.union(_across(shared, durable(components(first)), texts, n, percent))
 
 
 def _across(shared: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different groups that meet in an index list."""
-    rooted = shared.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("component", "d"))
-    by_root = durable(rooted.groupBy("h", "root").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    many = by_root.groupBy("h").count().filter("count > 1").select("h")
-    met = by_root.join(many, "h")
-    left = met.select("h", F.col("root").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = met.select("h", F.col("root").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    fits = (F.col("a") < F.col("b")) & _sizes_fit(percent, "la", "ha", "lb", "hb")
-    roots = left.join(right, "h").filter(fits).select("a", "b").distinct()
-    answers = durable(compared(roots, texts, n).select("a", "b", distance().alias("apart"), similar(percent).alias("linked")))
-
-    own = groups.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    reach = durable(compared(own, texts, n).groupBy(F.col("a").alias("root"), F.col("b").alias("d")).agg(F.max(distance()).alias("off")))
-    far = reach.groupBy("root").agg(F.max("off").alias("far"))
+    rooted = durable(shared.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).drop("component"))
+    by_root = rooted.groupBy("h", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    several = by_root.groupBy("h").agg(F.count("*").alias("roots")).filter("roots > 1").select("h")
+    met = durable(by_root.join(several, "h"))
+    left = met.select("h", F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    right = met.select("h", F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    blocks = left.join(right, "h").filter((F.col("ra") < F.col("rb")) & _sizes_fit(percent, "la", "ha", "lb", "hb")).select("h", "ra", "rb")
+    one = rooted.select("h", F.col("root").alias("ra"), F.col("d").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    two = rooted.select("h", F.col("root").alias("rb"), F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    counted = blocks.join(one, ["h", "ra"]).join(two, ["h", "rb"]).groupBy("ra", "rb", "a", "b", "na", "nb", "pa", "pb").count()
+    near = durable(counted.filter(_sizes_fit(percent, "na", "na", "nb", "nb") & _may_reach(F.col("count"), percent)).select("ra", "rb", "a", "b").distinct())
+
+    # The roots' answers: their distance, and each member's distance to its root.
+    roots = compared(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), texts, n)
+    apart = durable(roots.groupBy(F.col("a").alias("ra"), F.col("b").alias("rb")).agg(F.min(distance()).alias("apart"), F.max(similar(percent)).alias("linked")))
+    own = near.select(F.col("ra").alias("a"), F.col("a").alias("b")).union(near.select("rb", "b")).filter("a != b").distinct()
+    off = durable(compared(own, texts, n).groupBy(F.col("b").alias("d")).agg(F.max(distance()).alias("off")))
     limit = 1 - percent / 100 + 1e-9
-    bounded = answers.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("linked").alias("linked"))
-    bounded = bounded.join(far.select(F.col("root").alias("a"), F.col("far").alias("fa")), "a", "left").join(far.select(F.col("root").alias("b"), F.col("far").alias("fb")), "b", "left")
-    slack = F.coalesce("fa", F.lit(0.0)) + F.coalesce("fb", F.lit(0.0))
-    unsure = durable(bounded.filter(~F.col("linked") & (slack > 0) & (F.col("apart") - slack <= limit)).select("a", "b", "apart"))
-
-    member = rooted.select("h", "d", "n", "root").join(reach, ["root", "d"], "left").select("h", "d", "n", "root", F.coalesce("off", F.lit(0.0)).alias("off"))
-    one = member.select("h", F.col("root").alias("a"), F.col("d").alias("da"), F.col("n").alias("na"), F.col("off").alias("oa"))
-    two = member.select("h", F.col("root").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("off").alias("ob"))
-    open_pairs = unsure.join(one, "a").join(two, ["h", "b"]).filter((F.col("apart") - F.col("oa") - F.col("ob") <= limit) & _sizes_fit(percent, "na", "na", "nb", "nb"))
-    ends = open_pairs.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
-    late = compared(ends, texts, n).filter(similar(percent)).select("a", "b")
-    return answers.filter("linked").select("a", "b").union(late)
+    open_pairs = (
+        near.join(apart.filter("not linked"), ["ra", "rb"])
+        .join(off.select(F.col("d").alias("a"), F.col("off").alias("oa")), "a", "left")
+        .join(off.select(F.col("d").alias("b"), F.col("off").alias("ob")), "b", "left")
+        .filter("(a != ra or b != rb)")
+        .filter(F.col("apart") - F.coalesce("oa", F.lit(0.0)) - F.coalesce("ob", F.lit(0.0)) <= limit)
+    )
+    late = compared(open_pairs.select("a", "b").distinct(), texts, n).filter(similar(percent)).select("a", "b")
+    return apart.filter("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(late)
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -194,4 +210,4 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose group has one of a lesser doc_id."""
     others = join(docs, n, percent).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(durable(others), "doc_id", "left_anti").select(*docs.columns)
+    return among(docs, durable(others), "doc_id", "left_anti").select(*docs.columns)
