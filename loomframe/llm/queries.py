@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, sharding, toxicity
+from . import bpe, fingerprint, mixing, ngram_join, sharding, toxicity
 from .base import documents
 
 
@@ -31,6 +31,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
+    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
