@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, ngram_join, sharding, toxicity
+from . import bpe, fingerprint, itq, licenses, mixing, ngram_join, sharding, toxicity
 from .base import documents
 
 
@@ -23,10 +23,18 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
+def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -49,7 +57,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op5_itq_near_duplicates, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,21 +54,30 @@ def _hash_block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return scramble(h ^ (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
 
 
-def hashed_words(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the text, hashes of its words) of every text; A-Z count as a-z."""
+def hashed_blocks(texts: Sequence[str | None], table: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hashes of all words, first word of each text and the end) of blocks of texts; A-Z count as a-z.
+
+    ``table`` maps the UTF-8 bytes first, as for bytes.translate.
+    """
     block: list[bytes] = []
     size = first = 0
     for i, text in enumerate([*texts, None]):
         raw = (text or "").encode().lower()
+        raw = raw.translate(table) if table else raw
         if block and (i == len(texts) or size + len(raw) > CHUNK):
-            h, cut = _hash_block(block)
-            for k in range(len(block)):
-                yield first + k, h[cut[k] : cut[k + 1]]
+            yield first, *_hash_block(block)
             block, size, first = [], 0, i
         block.append(raw)
         size += len(raw) + 1
 
 
+def hashed_words(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the text, hashes of its words) of every text."""
+    for first, h, cut in hashed_blocks(texts):
+        for k in range(len(cut) - 1):
+            yield first + k, h[cut[k] : cut[k + 1]]
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words, in order; fewer words make one shingle, none make none."""
     if not len(words):
