@@ -1,13 +1,17 @@
-"""N-gram Jaccard join: prefix index lists, size skips, and answers derived from similar sets.
+"""N-gram Jaccard join: prefix index lists, size and bitmap skips, and answers derived from similar sets.
 
 A document's set holds its distinct word shingles.  Equal sets become one class.  A pair at or
 over the threshold shares one of its rarest shingles (its prefix), where shingles met in many
-prefixes come last in the order.  In each index list, ordered by set size, neighbours are
-verified first and give groups.  Other pairs of a list are answered through their groups: with
-the Jaccard distance being a metric, the computed distance of two groups' roots less the
-members' distances to their roots bounds every pair between the groups, so whole blocks of the
-list are skipped and only pairs that the bound leaves open are compared.  Nothing is dropped:
-every skip follows from the size bound or the triangle inequality.
+prefixes come last in the order.  Index lists are ordered by set size, so that a set meets only
+the block of sets that are not too small; of the smaller set only the index part of the prefix
+counts.  A parity bitmap of each set bounds the difference of two sets from below and skips
+pairs without looking at them.
+
+In each list, sets that are near in the order are verified first and give groups.  Other pairs
+of a list are answered through their groups: with the Jaccard distance being a metric, the
+computed distance of two groups' roots less the members' distances to their roots bounds every
+pair between the groups, and only pairs that the bound leaves open are compared.  Nothing is
+dropped: every skip follows from the size, prefix, bitmap or triangle bound.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than a
 shingle make one shingle of them all; rows that share a doc_id are one document, which links
@@ -34,6 +38,12 @@ from .words import hashed_words, scramble, shingle_set
 #: shingles would pass HOT_ROWS rows, so that it can be broadcast at any input size.
 HOT = 48
 HOT_ROWS = 1_000_000
+#: Times that the order is revised for shingles that became frequent in the prefixes.
+REVISIONS = 3
+#: Bits of a set's parity bitmap, and neighbours in a list that are verified first.
+BITMAP = 256
+MASKS = [f"m{i}" for i in range(BITMAP // 64)]
+NEIGHBOURS = 16
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -41,29 +51,41 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def index_length(n: Column, percent: int) -> Column:
+    """Elements of a set that are enough to meet every set of its size or larger."""
+    return n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1
+
+
+def _parity(s: np.ndarray) -> list[int]:
+    """For each bit whether an odd number of elements falls on it."""
+    at = (scramble(s.view(np.uint64) ^ np.uint64(3)) & np.uint64(BITMAP - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITMAP) & 1).view(np.int64).tolist()
+
+
 def _digest(s: np.ndarray, salt: int) -> int:
     return int(np.sum(scramble(s.view(np.uint64) ^ np.uint64(salt)), dtype=np.uint64).view(np.int64))
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray):
-    """Arrow batches of (doc_id, text) to (doc_id, n_shingles, d1, d2, prefix)."""
+    """Arrow batches of (doc_id, text) to (doc_id, n_shingles, d1, d2, masks, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, d1, d2, prefix = [], [], [], []
+            sizes, d1, d2, masks, prefix = [], [], [], [], []
             for _, words in hashed_words(batch.column(1).to_pylist()):
                 s = shingle_set(words, n)
                 sizes.append(len(s))
                 d1.append(_digest(s, 1))
                 d2.append(_digest(s, 2))
+                masks.append(_parity(s))
                 if len(hot):
                     late = np.isin(s, hot, assume_unique=True)
                     s = np.concatenate([s[~late], s[late]])
                 prefix.append(s[: prefix_length(len(s), percent)] if len(s) else s.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", "prefix"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *[pa.array([m[i] for m in masks], pa.int64()) for i in range(len(MASKS))], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", *MASKS, "prefix"])
 
     return run
 
@@ -72,7 +94,7 @@ def indexed(docs: DataFrame, n: int, percent: int, hot: np.ndarray | None = None
     small_batches(docs.sparkSession)
     hot = np.zeros(0, np.int64) if hot is None else hot
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_prefixes(n, percent, hot), f"doc_id {kind}, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(_prefixes(n, percent, hot), f"doc_id {kind}, n_shingles long, d1 long, d2 long, {', '.join(f'{m} long' for m in MASKS)}, prefix array<long>")
 
 
 def _hot_shingles(index: DataFrame) -> np.ndarray:
@@ -122,26 +144,30 @@ def _sizes_fit(percent: int, low_a: str, high_a: str, low_b: str, high_b: str) -
     return (100 * F.col(high_a) >= percent * F.col(low_b)) & (100 * F.col(high_b) >= percent * F.col(low_a))
 
 
-def _may_reach(common: Column, percent: int) -> Column:
-    """Whether sets (na, nb) that have ``common`` elements of their prefixes (pa, pb) in common can be similar.
-
-    All elements of the prefix that ends first which the other set has are in its prefix too.
-    """
-    most = common + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+def _bitmaps_fit(percent: int, x: str, y: str, nx: str = "n", ny: str = "n") -> Column:
+    """Whether the bitmaps of structs ``x`` and ``y`` allow a small enough difference."""
+    apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MASKS), F.lit(0))
+    total = F.col(f"{x}.{nx}") + F.col(f"{y}.{ny}")
+    return apart <= total - 2 * F.ceil(F.lit(percent) * total / (100 + percent))
 
 
-def _index_rows(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
-    """(d, n, p, h): each class's document, set size, prefix length and prefix shingles, frequent ones last."""
+def _index(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """``index`` of the classes' documents, frequent shingles last."""
     key = ["doc_id", "d1", "d2"]
     mine = among(index.filter("n_shingles > 0"), chosen, "doc_id").dropDuplicates(key)
-    hot = _hot_shingles(mine)
-    if len(hot):
-        marks = mine.sparkSession.createDataFrame([(int(h),) for h in hot], "h long")
+    hot = np.zeros(0, np.int64)
+    for _ in range(REVISIONS):
+        new = np.setdiff1d(_hot_shingles(mine), hot)
+        if not len(new):
+            break
+        hot = np.union1d(hot, new)
+        marks = mine.sparkSession.createDataFrame([(int(h),) for h in new], "h long")
         again = durable(mine.select("doc_id", F.explode("prefix").alias("h")).join(F.broadcast(marks), "h", "left_semi").select("doc_id").distinct())
         redone = durable(indexed(among(texts, again, "doc_id"), n, percent, hot))
         mine = among(mine, again, "doc_id", "left_anti").union(redone.dropDuplicates(key))
-    return mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), F.explode("prefix").alias("h"))
+        if len(hot) > HOT_ROWS:
+            break
+    return mine
 
 
 def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -154,14 +180,17 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     chosen = durable(members.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct())
 
     by_list = Window.partitionBy("h")
-    rows = _index_rows(texts, index, chosen, n, percent)
-    shared = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1").drop("many"))
-    order = by_list.orderBy("n", "d")
-    chain = shared.select(F.struct("d", "n", "p").alias("x"), F.lag(F.struct("d", "n", "p")).over(order).alias("y")).filter("x.d != y.d")
-    low, high = F.least("x", "y"), F.greatest("x", "y")
-    beside = chain.groupBy(low.alias("x"), high.alias("y")).count()
-    beside = beside.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.p").alias("pa"), F.col("y.p").alias("pb"), "count")
-    pairs = beside.filter(_sizes_fit(percent, "na", "na", "nb", "nb") & _may_reach(F.col("count"), percent)).select("a", "b").distinct()
+    mine = _index(texts, index, chosen, n, percent)
+    rows = mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "h"))
+    several = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1").drop("many"))
+    masks = mine.select(F.col("doc_id").alias("d"), *MASKS)
+    shared = durable(several.join(masks, "d"))
+
+    set_of = F.struct("n", "d", *MASKS)
+    order = by_list.orderBy("n", "d").rowsBetween(-NEIGHBOURS, -1)
+    chain = shared.select(set_of.alias("x"), F.collect_list(set_of).over(order).alias("ys")).select("x", F.explode("ys").alias("y"))
+    fits = (F.col("x.d") != F.col("y.d")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, "x", "y")
+    pairs = chain.filter(fits).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
     first = durable(compared(pairs, texts, n).filter(similar(percent)).select("a", "b"))
     return members, first.union(_across(shared, durable(components(first)), texts, n, percent))
 
@@ -169,16 +198,19 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
 def _across(shared: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different groups that meet in an index list."""
     rooted = durable(shared.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).drop("component"))
-    by_root = rooted.groupBy("h", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = by_root.groupBy("h").agg(F.count("*").alias("roots")).filter("roots > 1").select("h")
-    met = durable(by_root.join(several, "h"))
-    left = met.select("h", F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = met.select("h", F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    blocks = left.join(right, "h").filter((F.col("ra") < F.col("rb")) & _sizes_fit(percent, "la", "ha", "lb", "hb")).select("h", "ra", "rb")
-    one = rooted.select("h", F.col("root").alias("ra"), F.col("d").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    two = rooted.select("h", F.col("root").alias("rb"), F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    counted = blocks.join(one, ["h", "ra"]).join(two, ["h", "rb"]).groupBy("ra", "rb", "a", "b", "na", "nb", "pa", "pb").count()
-    near = durable(counted.filter(_sizes_fit(percent, "na", "na", "nb", "nb") & _may_reach(F.col("count"), percent)).select("ra", "rb", "a", "b").distinct())
+    mixed = rooted.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("h")
+    open_rows = durable(rooted.join(mixed, "h").select("h", F.struct("n", "d", "p", "root", *MASKS).alias("x"), (F.col("pos") < index_length(F.col("n"), percent)).alias("first")))
+    small = open_rows.filter("first").select("h", F.col("x").alias("y"))
+    order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.d") > F.col("y.d")))
+    fits = order & (F.col("x.root") != F.col("y.root")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, "x", "y")
+    met = open_rows.join(small, "h").filter(fits)
+    counted = met.groupBy(*[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("d", "root", "n", "p")]).count()
+    # All common elements up to the end of the index part or prefix that ends first are counted.
+    most = F.col("count") + F.greatest(F.col("yn") - index_length(F.col("yn"), percent), F.col("xn") - F.col("xp"))
+    reach = counted.filter(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+    turned = F.col("xroot") < F.col("yroot")
+    pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+    near = durable(reach.select(pick("xroot", "yroot").alias("ra"), pick("yroot", "xroot").alias("rb"), pick("xd", "yd").alias("a"), pick("yd", "xd").alias("b")).distinct())
 
     # The roots' answers: their distance, and each member's distance to its root.
     roots = compared(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), texts, n)
