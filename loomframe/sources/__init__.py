@@ -1,0 +1 @@
+"""Readers for many formats, chosen by content."""
