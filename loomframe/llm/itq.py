@@ -42,8 +42,8 @@ BLOCK = 1024
 def fit_rotations(x: np.ndarray, n_bits: int, rotations: int, steps: int = 40, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """(mean, projection) pairs: principal axes turned so that signs lose least of the vectors."""
     mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    base = axes[:n_bits].T
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    base = axes[:, ::-1][:, :n_bits]
     v = (x - mean) @ base
     rng, out = np.random.default_rng(seed), []
     for _ in range(rotations):
