@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Documents handed to a Python task at once; bounds a worker's memory.
-BATCH_DOCS = 512
+BATCH_DOCS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:

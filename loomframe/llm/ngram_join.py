@@ -39,7 +39,7 @@ from .words import hashed_words, scramble, shingle_set
 HOT = 48
 HOT_ROWS = 1_000_000
 #: Times that the order is revised for shingles that became frequent in the prefixes.
-REVISIONS = 3
+REVISIONS = 2
 #: Bits of a set's parity bitmap, and neighbours in a list that are verified first.
 BITMAP = 256
 MASKS = [f"m{i}" for i in range(BITMAP // 64)]
@@ -144,17 +144,16 @@ def _sizes_fit(percent: int, low_a: str, high_a: str, low_b: str, high_b: str) -
     return (100 * F.col(high_a) >= percent * F.col(low_b)) & (100 * F.col(high_b) >= percent * F.col(low_a))
 
 
-def _bitmaps_fit(percent: int, x: str, y: str, nx: str = "n", ny: str = "n") -> Column:
+def _bitmaps_fit(percent: int, x: Column, y: Column) -> Column:
     """Whether the bitmaps of structs ``x`` and ``y`` allow a small enough difference."""
-    apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MASKS), F.lit(0))
-    total = F.col(f"{x}.{nx}") + F.col(f"{y}.{ny}")
+    apart = sum((F.bit_count(x[m].bitwiseXOR(y[m])) for m in MASKS), F.lit(0))
+    total = x["n"] + y["n"]
     return apart <= total - 2 * F.ceil(F.lit(percent) * total / (100 + percent))
 
 
 def _index(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percent: int) -> DataFrame:
-    """``index`` of the classes' documents, frequent shingles last."""
-    key = ["doc_id", "d1", "d2"]
-    mine = among(index.filter("n_shingles > 0"), chosen, "doc_id").dropDuplicates(key)
+    """``index`` of the classes' documents, frequent shingles last; a repeated row only repeats candidates."""
+    mine = among(index.filter("n_shingles > 0"), chosen, "doc_id")
     hot = np.zeros(0, np.int64)
     for _ in range(REVISIONS):
         new = np.setdiff1d(_hot_shingles(mine), hot)
@@ -164,7 +163,7 @@ def _index(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percen
         marks = mine.sparkSession.createDataFrame([(int(h),) for h in new], "h long")
         again = durable(mine.select("doc_id", F.explode("prefix").alias("h")).join(F.broadcast(marks), "h", "left_semi").select("doc_id").distinct())
         redone = durable(indexed(among(texts, again, "doc_id"), n, percent, hot))
-        mine = among(mine, again, "doc_id", "left_anti").union(redone.dropDuplicates(key))
+        mine = among(mine, again, "doc_id", "left_anti").union(redone)
         if len(hot) > HOT_ROWS:
             break
     return mine
@@ -188,9 +187,10 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
 
     set_of = F.struct("n", "d", *MASKS)
     order = by_list.orderBy("n", "d").rowsBetween(-NEIGHBOURS, -1)
-    chain = shared.select(set_of.alias("x"), F.collect_list(set_of).over(order).alias("ys")).select("x", F.explode("ys").alias("y"))
-    fits = (F.col("x.d") != F.col("y.d")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, "x", "y")
-    pairs = chain.filter(fits).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
+    chain = shared.select(set_of.alias("x"), F.collect_list(set_of).over(order).alias("ys"))
+    fits = lambda y: (y["d"] != F.col("x.d")) & (100 * y["n"] >= percent * F.col("x.n")) & _bitmaps_fit(percent, F.col("x"), y)
+    chain = chain.select(F.col("x.d").alias("d"), F.explode(F.transform(F.filter("ys", fits), lambda y: y["d"])).alias("e"))
+    pairs = chain.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
     first = durable(compared(pairs, texts, n).filter(similar(percent)).select("a", "b"))
     return members, first.union(_across(shared, durable(components(first)), texts, n, percent))
 
@@ -202,7 +202,7 @@ def _across(shared: DataFrame, groups: DataFrame, texts: DataFrame, n: int, perc
     open_rows = durable(rooted.join(mixed, "h").select("h", F.struct("n", "d", "p", "root", *MASKS).alias("x"), (F.col("pos") < index_length(F.col("n"), percent)).alias("first")))
     small = open_rows.filter("first").select("h", F.col("x").alias("y"))
     order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.d") > F.col("y.d")))
-    fits = order & (F.col("x.root") != F.col("y.root")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, "x", "y")
+    fits = order & (F.col("x.root") != F.col("y.root")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, F.col("x"), F.col("y"))
     met = open_rows.join(small, "h").filter(fits)
     counted = met.groupBy(*[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("d", "root", "n", "p")]).count()
     # All common elements up to the end of the index part or prefix that ends first are counted.

@@ -42,7 +42,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Least difference of a feature's share among toxic and clean rows, in standard errors, and least ratio.
 SIGNIFICANT = 5.0
 RATIO = 4.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def features_of(word: str) -> tuple[str, ...]:
