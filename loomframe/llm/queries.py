@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, itq, licenses, mixing, ngram_join, sharding, token_files, toxicity
+from . import bpe, fingerprint, itq, licenses, lm, mixing, ngram_join, sharding, token_files, toxicity
 from .base import documents
 
 
@@ -35,6 +35,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
 def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -61,7 +65,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op5_itq_near_duplicates, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_attention_lm, op5_itq_near_duplicates, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
