@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .base import small_batches
 
@@ -233,7 +234,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", into:
         lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
         return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(_by_batch(row), docs.schema.add(into, "array<int>"))
+    return docs.mapInArrow(_by_batch(row), T.StructType([*docs.schema, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "bytes") -> DataFrame:
@@ -245,7 +246,7 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: st
         found = [codec(path, pattern).decode(i or []) for i in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, into])
 
-    return rows.mapInArrow(_by_batch(row), rows.schema.add(into, "binary"))
+    return rows.mapInArrow(_by_batch(row), T.StructType([*rows.schema, T.StructField(into, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
