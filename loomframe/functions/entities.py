@@ -80,7 +80,7 @@ def country_table(spark: SparkSession, numeric: dict[str, str] = NUMERIC_CODES)
     jvm = spark._jvm.java.util
     iso3, rows = {}, []
     for code in jvm.Locale.getISOCountries():
-        place = jvm.Locale.of("", code)
+        place = jvm.Locale.Builder().setRegion(code).build()
         iso3[code] = place.getISO3Country()
         rows += [(code.lower(), code, 1.0), (iso3[code].lower(), code, 1.0), (place.getDisplayCountry(jvm.Locale.ENGLISH).lower(), code, 0.98)]
     rows += [(name, code, 0.98) for name, code in COUNTRY_ALIASES.items()]

@@ -132,15 +132,15 @@ def missing_drop(spark, sf):
     return missing.fill(_gaps(spark, sf), ["value"], "drop").select("event_id", "value")
 
 
-@query(f"WITH t AS (SELECT {NULLS} AS v, min(CASE WHEN event_id % 3 <> 0 THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS f, (ts, event_id) AS at FROM events) SELECT 'value' AS column_name, count(*) FILTER (WHERE v IS NULL AND at > f) AS n_imputed, round((count(*) FILTER (WHERE v IS NULL AND at > f))::DOUBLE / count(*) FILTER (WHERE v IS NULL), 4) AS imputed_ratio FROM t")
+@query(f"WITH t AS (SELECT {NULLS} AS v, min(CASE WHEN event_id % 3 <> 0 THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS f, (ts, event_id) AS spot FROM events) SELECT 'value' AS column_name, count(*) FILTER (WHERE v IS NULL AND spot > f) AS n_imputed, round((count(*) FILTER (WHERE v IS NULL AND spot > f))::DOUBLE / count(*) FILTER (WHERE v IS NULL), 4) AS imputed_ratio FROM t")
 def missing_mask(spark, sf):
     return missing.imputed_ratios(missing.fill(_gaps(spark, sf), ["value"], "ffill", ["user_id"], ["ts", "event_id"]), ["value"])
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / l_quantity, 4) AS unit_revenue FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / l_quantity AS unit_revenue FROM lineitem")
 def derive_ratio(spark, sf):
     out = formula.derive(table(spark, sf, "lineitem"), "l_extendedprice * (1 - l_discount) / l_quantity", "unit_revenue", ["l_extendedprice", "l_discount", "l_quantity"])
-    return out.select("l_orderkey", "l_linenumber", F.round("unit_revenue", 4).alias("unit_revenue"))
+    return out.select("l_orderkey", "l_linenumber", "unit_revenue")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END, 6) AS ratio FROM lineitem")
