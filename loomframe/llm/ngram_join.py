@@ -110,8 +110,10 @@ def _compare(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [shingle_set(w, n) for _, w in hashed_words(batch.column(2).to_pylist())]
-            right = [shingle_set(w, n) for _, w in hashed_words(batch.column(3).to_pylist())]
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()  # a text of many pairs is read once
+            sets = [shingle_set(w, n) for _, w in hashed_words(texts.dictionary.to_pylist())] + [np.zeros(0, np.int64)]
+            at = texts.indices.fill_null(-1).to_pylist()
+            left, right = ([sets[i] for i in part] for part in (at[: batch.num_rows], at[batch.num_rows :]))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
             counts = [pa.array(c, pa.int64()) for c in (both, map(len, left), map(len, right))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=["a", "b", "both", "n_a", "n_b"])
