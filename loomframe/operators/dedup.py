@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import dedup_url, doi_key, title_key
 
@@ -30,7 +31,7 @@ def deduplicate(df: DataFrame, ident: str = "id", doi: str = "doi", url: str = "
     return keyed.join(groups, "group_id").withColumn("is_primary", F.col(ident) == F.col("_first")).drop("_first")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching runs of characters; the order of the two counts."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])

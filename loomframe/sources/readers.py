@@ -28,6 +28,8 @@ from ..operators.reshape import flatten
 from .archive import safe_extract
 from .sniff import delimiter_of, encoding_of, preamble_of, sniff
 
+#: Size up to which a list of other things than records is unwrapped; larger files hold records.
+WRAPPED_BYTES = 1 << 20
 RECORD_KEYS = ("data", "records", "results", "rows", "observations")
 
 
@@ -106,13 +108,14 @@ def read_json(spark: SparkSession, path: str) -> Source:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) and isinstance(df.schema[key].dataType.elementType, T.StructType):
             return Source(path, "json", flatten(df.select(F.explode(key).alias("r")).select("r.*")), {"records": key})
     with open(path, "rb") as f:
-        if f.read(64).lstrip().startswith(b"[") and "_corrupt_record" not in df.columns and df.columns:
-            with open(path, "rb") as whole:
-                data = json.load(whole) if os.path.getsize(path) < 1 << 20 else None
-            if data is None or all(isinstance(x, dict) for x in data):
-                return Source(path, "json", flatten(df))
-            rows = [json.dumps(r) for r in json_records(data)]
-            return Source(path, "json", flatten(spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", F.schema_of_json(F.lit(rows[0]))).alias("r")).select("r.*")))
+        listed = f.read(64).lstrip().startswith(b"[") and os.path.getsize(path) < WRAPPED_BYTES
+        data = json.loads(f.seek(0) or f.read()) if listed else []
+    if not all(isinstance(x, dict) for x in data):
+        rows = [json.dumps(r) for r in json_records(data)]
+        parsed = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", F.schema_of_json(F.lit(rows[0]))).alias("r"))
+        return Source(path, "json", flatten(parsed.select("r.*")))
+    if df.columns == ["_corrupt_record"]:
+        raise EngineError("PARSE_FAILED", "no records", path=path)
     return Source(path, "json", flatten(df))
 
 

@@ -129,7 +129,7 @@ def quality_html(checks: DataFrame, most: int = 10_000) -> str:
 
 
 def variables(df: DataFrame) -> list[dict[str, str]]:
-    return [{"name": n, "type": t, "role": "imputation_mask" if n.endswith("_imputed") else "variable"} for n, t in df.dtypes]
+    return [{"name": n, "type": t, "role": "imputation_mask" if n.startswith("__imputed_") else "variable"} for n, t in df.dtypes]
 
 
 REPEAT = '''"""Checks the raw files of this package and writes the final table again."""
