@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.text import dedup_url, doi_key, title_key
 
 AUTO, REVIEW = 0.92, 0.80
+#: Tasks over which the left titles of a common run are dealt.
+SHARES = 8
 
 
 def candidate_key(doi: Column, url: Column, ident: Column) -> Column:
@@ -37,19 +39,36 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW, grams: int = 3) -> DataFrame:
-    """(left_id, right_id, similarity) of titles that are near but not equal.
+def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) -> DataFrame:
+    """(left_id, right_id, similarity) of all titles that are near but not equal; ``least`` is above 0 and no pair from it on is missed.
 
-    Titles meet where they share a run of ``grams`` words at the same end (first or last); pairs
-    whose lengths rule the similarity out are dropped before the comparison.
+    A similarity of s matches m >= s * (la + lb) / 2 characters in order.  The la + lb - 2 * m others
+    part them, and each parting breaks q - 1 of the m - q + 1 runs of q characters, so the titles
+    have (la + lb) * slope - (q - 1) runs in common, counted with multiplicity.  One of these is
+    then among the first of each title's runs by rarity; titles meet at the rarest common one.
+    Titles so short that no run need be common share a run of their own.
     """
+    q = 2 if 1.5 * least > 1.1 else 1
+    slope = least / 2 - (q - 1) * (1 - least)
+    needed = lambda both: F.ceil(both * F.lit(slope) - F.lit(q - 1 + 1e-6))
     keyed = df.select(F.col(ident).alias("i"), title_key(F.col(title)).alias("k")).filter("k != ''").groupBy("k").agg(F.min("i").alias("i"))
-    words = F.split("k", " ")
-    ends = F.array_distinct(F.array(F.concat(F.lit("<"), F.array_join(F.slice(words, 1, grams), " ")), F.concat(F.lit(">"), F.array_join(F.slice(F.reverse(words), 1, grams), " "))))
-    blocks = keyed.select("i", "k", F.explode(ends).alias("block"))
-    a, b = blocks.select("block", F.col("i").alias("left_id"), F.col("k").alias("ka")), blocks.select("block", F.col("i").alias("right_id"), F.col("k").alias("kb"))
-    bound = 2 * F.least(F.length("ka"), F.length("kb")) / (F.length("ka") + F.length("kb")) >= least
-    pairs = a.join(b, "block").filter((F.col("left_id") < F.col("right_id")) & bound).select("left_id", "right_id", "ka", "kb").distinct()
+    keyed = keyed.withColumn("n", F.length("k"))
+    starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda p: p <= F.col("n") - (q - 1))
+    runs = keyed.select("i", F.explode(F.transform(starts, lambda p: F.substring(F.col("k"), p, F.lit(q)))).alias("g")).groupBy("i", "g").agg(F.count("*").cast("int").alias("c"))
+    runs = runs.select("i", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"))
+    ranks = runs.groupBy("g", "c").agg(F.count("*").alias("f")).select("g", "c", F.row_number().over(Window.orderBy("f", "g", "c")).alias("rank"))  # pairs of characters by times: a small table
+    own = runs.join(F.broadcast(ranks), ["g", "c"]).groupBy("i").agg(F.array_sort(F.collect_list("rank")).alias("runs"))
+    short = F.col("n") * slope <= q - 1
+    first = F.size("runs") - F.greatest(needed(F.col("n") * 2 / (2 - least)), F.lit(1)) + 1  # the least its longest and shortest partners need
+    ready = keyed.join(own, "i", "left").withColumn("runs", F.concat(F.when(short, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.coalesce("runs", F.array().cast("array<int>"))))
+    blocks = ready.select("i", "k", "n", "runs", F.explode(F.when(short, F.col("runs")).otherwise(F.slice("runs", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).alias("run"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    side = lambda x, share: blocks.select("run", share.alias("share"), *[F.col(c).alias(c + x) for c in ("i", "k", "n", "runs")]).repartition(parts, "run", "share")
+    left, right = side("a", F.pmod(F.xxhash64("k"), F.lit(SHARES))), side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    common = F.array_intersect("runsa", "runsb")
+    both = F.col("na") + F.col("nb")
+    near = (F.col("ia") < F.col("ib")) & (2 * F.least("na", "nb") / both >= least) & (F.get(common, F.lit(0)) == F.col("run")) & (F.size(common) >= needed(both))
+    pairs = left.join(right, ["run", "share"]).filter(near).select(F.col("ia").alias("left_id"), F.col("ib").alias("right_id"), "ka", "kb")
     return pairs.withColumn("similarity", title_similarity("ka", "kb")).filter(F.col("similarity").between(least, 0.9999999)).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
