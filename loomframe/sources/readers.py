@@ -14,11 +14,13 @@ import struct
 import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,8 @@ from ..operators.reshape import flatten
 from .archive import safe_extract
 from .sniff import delimiter_of, encoding_of, preamble_of, sniff
 
-#: Size up to which a list of other things than records is unwrapped; larger files hold records.
-WRAPPED_BYTES = 1 << 20
+#: Records of an unwrapped payload in one Arrow batch.
+RECORDS = 10_000
 RECORD_KEYS = ("data", "records", "results", "rows", "observations")
 
 
@@ -107,16 +109,32 @@ def read_json(spark: SparkSession, path: str) -> Source:
     for key in RECORD_KEYS:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) and isinstance(df.schema[key].dataType.elementType, T.StructType):
             return Source(path, "json", flatten(df.select(F.explode(key).alias("r")).select("r.*")), {"records": key})
-    with open(path, "rb") as f:
-        listed = f.read(64).lstrip().startswith(b"[") and os.path.getsize(path) < WRAPPED_BYTES
-        data = json.loads(f.seek(0) or f.read()) if listed else []
-    if not all(isinstance(x, dict) for x in data):
-        rows = [json.dumps(r) for r in json_records(data)]
-        parsed = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", F.schema_of_json(F.lit(rows[0]))).alias("r"))
-        return Source(path, "json", flatten(parsed.select("r.*")))
-    if df.columns == ["_corrupt_record"]:
-        raise EngineError("PARSE_FAILED", "no records", path=path)
-    return Source(path, "json", flatten(df))
+    if df.columns and "_corrupt_record" not in df.columns:
+        return Source(path, "json", flatten(df))
+    return Source(path, "json", flatten(_unwrapped(spark, path)))
+
+
+def _unwrapped(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a payload that isn't one of records alone, unwrapped by a task; the schema is that of all records."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                try:
+                    found = json_records(json.loads(body.as_py()))
+                except ValueError:
+                    found = [None]
+                for at in range(0, len(found), RECORDS):
+                    yield pa.RecordBatch.from_arrays([pa.array([r if r is None else json.dumps(r) for r in found[at : at + RECORDS]], pa.string())], names=["j"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "j string").persist(StorageLevel.DISK_ONLY)
+    if not lines.isEmpty() and lines.filter("j is null").isEmpty():
+        df = spark.read.json(lines.rdd.map(lambda r: r["j"]))
+        if "_corrupt_record" not in df.columns:
+            return df
+    elif lines.isEmpty():
+        return spark.createDataFrame([], T.StructType([]))
+    raise EngineError("PARSE_FAILED", "no records", path=path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> Source:
