@@ -169,23 +169,74 @@ def read_sqlite(spark: SparkSession, path: str) -> Source:
     return Source(path, "sqlite", _from_pandas(spark, frame), {"tables": tables})
 
 
+#: The spans that HTML allows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _span(raw: str | None, most: int) -> int:
+    text = (raw or "").strip()
+    return min(max(int(text), 1), most) if text.isascii() and text.isdigit() else 1
+
+
+def _spread(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Rows with a cell that spans columns or rows repeated in each of them."""
+    out, held = [], {}  # column: (text, rows to come)
+    for row in rows:
+        line: list[str] = []
+        cells, going = iter(row), {}
+
+        def take_held():
+            while (found := held.pop(len(line), None)) is not None:
+                if found[1] > 1:
+                    going[len(line)] = (found[0], found[1] - 1)
+                line.append(found[0])
+
+        take_held()
+        for text, columns, down in cells:
+            for _ in range(columns):
+                if down > 1:
+                    going[len(line)] = (text, down - 1)
+                line.append(text)
+            take_held()
+        for at in sorted(held):
+            line += [""] * (at - len(line)) if at > len(line) else []
+            if at == len(line):
+                text, left = held[at]
+                if left > 1:
+                    going[at] = (text, left - 1)
+                line.append(text)
+        held = going
+        out.append(line)
+    return out
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[tuple[str, int, int]]]] = []  # cells with their column and row spans
         self.cell: list[str] | None = None
+        self.spans = (1, 1)
 
     def handle_starttag(self, tag, attrs):
+        if tag in ("table", "tr", "td", "th"):
+            self.close()
         if tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.cell = []
+            given = dict(attrs)
+            self.spans = _span(given.get("colspan"), MOST_COLUMNS), _span(given.get("rowspan"), MOST_ROWS)
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+        if tag in ("td", "th", "tr", "table"):
+            self.close()
+
+    def close(self):
+        """End the cell, if one is open; its end tag may be left out."""
+        if self.cell is not None:
+            self.tables[-1][-1].append((" ".join("".join(self.cell).split()), *self.spans))
             self.cell = None
 
     def handle_data(self, data):
@@ -193,12 +244,21 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-def first_table(html: str) -> tuple[list[str], list[list[str]]]:
-    """Header and rows of the first table; none where there is no table."""
+def first_table(html: str) -> tuple[list[str], list[list[str | None]]]:
+    """Header and rows of the first table; none where there is no table.
+
+    Spans are repeated in every place they cover, short rows padded with null, and cells beyond
+    the header kept in columns named ``Unnamed: i``.
+    """
     parser = _Tables()
     parser.feed(html)
-    rows = [r for r in (parser.tables[0] if parser.tables else []) if r]
-    return (rows[0], [r for r in rows[1:] if len(r) == len(rows[0])]) if rows else ([], [])
+    parser.close()
+    rows = _spread([r for r in (parser.tables[0] if parser.tables else []) if r])
+    if not rows:
+        return [], []
+    width = max(map(len, rows))
+    header = rows[0] + [f"Unnamed: {i}" for i in range(len(rows[0]), width)]
+    return header, [r + [None] * (width - len(r)) for r in rows[1:]]
 
 
 def read_html(spark: SparkSession, path: str) -> Source:
@@ -207,7 +267,13 @@ def read_html(spark: SparkSession, path: str) -> Source:
     header, rows = first_table(raw.decode(encoding_of(raw[:65536]), errors="replace"))
     if not header:
         raise EngineError("PARSE_FAILED", "no table", path=path)
-    return Source(path, "html", spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(h, T.StringType()) for h in header])))
+    seen: dict[str, int] = {}
+    names = []
+    for h in header:  # a header that spans columns names several
+        while (name := f"{h}.{seen[h]}" if seen.setdefault(h, 0) else h) in names:
+            seen[h] += 1
+        names.append(name)
+    return Source(path, "html", spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names])))
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
