@@ -92,10 +92,10 @@ def lineage_columns(spark, sf):
 @query("SELECT 'final' AS part, count(DISTINCT (o_custkey, year(o_orderdate))) AS n_rows FROM orders")
 def package_export(spark, sf):
     """A yearly panel with its package; returns the rows of the exported table, read back."""
-    folder = tempfile.mkdtemp(prefix="loomframe-package-")  # the package is the driver's; its table is small here
+    folder = f"{_scratch(spark)}/package"
     panel = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
     log = sinks.OperationLog()
     log.record("aggregate", {"by": ["o_custkey", "year"], "spent": "sum"})
     log.derived("spent", "orders", ["o_totalprice"], "aggregate")
     sinks.export_package(panel, folder, log, validate.check_keys(panel, ["o_custkey", "year"]))
-    return spark.read.parquet(f"file://{folder}/data/final.parquet").agg(F.lit("final").alias("part"), F.count("*").alias("n_rows"))
+    return spark.read.parquet(f"{folder}/data/final.parquet").agg(F.lit("final").alias("part"), F.count("*").alias("n_rows"))

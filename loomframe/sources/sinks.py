@@ -146,11 +146,31 @@ print("repeated")
 '''
 
 
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file in the store that Spark writes to."""
+    fs, at = _store(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _store(spark, path)
+    return fs.exists(at)
+
+
 def export_package(df: DataFrame, path: str, log: OperationLog, checks: DataFrame | None = None, sources: Sequence[Mapping[str, str]] = ()) -> list[str]:
     """The final table with its metadata, provenance, reports and script; the files made, all of them there."""
-    for name in ("data", "metadata", "provenance", "reports", "scripts"):
-        os.makedirs(os.path.join(path, name), exist_ok=True)
-    write_parquet(df, os.path.join(path, "data", "final.parquet"))
+    spark, path = df.sparkSession, path.rstrip("/")
+    write_parquet(df, f"{path}/data/final.parquet")
     texts = {
         "metadata/variables.json": json.dumps(variables(df), indent=1, ensure_ascii=False),
         "provenance/operations.jsonl": "".join(json.dumps(dict(zip(("seq", "operation", "params", "rows_before", "rows_after"), o, strict=True)), ensure_ascii=False) + "\n" for o in log.operations),
@@ -161,13 +181,11 @@ def export_package(df: DataFrame, path: str, log: OperationLog, checks: DataFram
         "scripts/reproduce.py": REPEAT,
     }
     for name, text in texts.items():
-        with open(os.path.join(path, name), "w", encoding="utf-8") as f:
-            f.write(text)
-    sums = checksums(df.sparkSession, os.path.join(path, "data", "final.parquet")).filter(F.endswith("file", F.lit(".parquet")))
+        write_text(spark, text, f"{path}/{name}")
+    sums = checksums(spark, f"{path}/data/final.parquet").filter(F.endswith("file", F.lit(".parquet")))
     manifest = {"files": ["data/final.parquet", *texts], "sha256": {r["file"]: r["sha256"] for r in sums.toLocalIterator()}}
-    with open(os.path.join(path, "metadata", "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=1)
+    write_text(spark, json.dumps(manifest, indent=1), f"{path}/metadata/manifest.json")
     made = [*manifest["files"], "metadata/manifest.json"]
-    if lost := [m for m in made if not os.path.exists(os.path.join(path, m))]:
+    if lost := [m for m in made if not exists(spark, f"{path}/{m}")]:
         raise EngineError("PACKAGE_INCOMPLETE", ", ".join(lost))
     return made
