@@ -32,7 +32,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
+    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), plain=False))
 
 
 def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ blocks, so it can be read alone.  The parts are written by Spark as Parquet, who
 drops what lost tasks leave behind.
 
 A byte-level tokenizer never joins what a space before a letter, digit or sign parts, so texts
-are encoded piece by piece and a worker remembers the pieces' ids.
+are encoded piece by piece and a worker remembers the pieces' ids.  The library reads the file's
+added tokens where a text names them; such a text is encoded whole, or with ``plain`` as any other.
 
 Defined cases: a null text is an empty one, which has the end id alone; rows of equal doc_ids
 are ordered by their texts' hash; null doc_ids come first; an empty table makes no chunk; other
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +38,40 @@ CHUNK_IDS = 2_000_000
 class LibraryCodec(Codec):
     """Pieces encoded by the tokenizers library from a byte-level vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.tool.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.size = self.tool.get_vocab_size()
         self.odd, self.cut = regex.compile(r" (?!\S)"), regex.compile(r"(?= \S)")
         self.first, self.spaced = Memory(), Memory()
 
+    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        whole = [any(a in t for a in self.added) for t in texts]
+        others = super().encode([t for t, w in zip(texts, whole, strict=True) if not w])
+        for text, w in zip(texts, whole, strict=True):
+            yield np.array(self.tool.encode(text, add_special_tokens=False).ids, np.int32) if w else next(others)
+
     def _learn(self, pieces: Iterable[str], space: str, memory: Memory) -> None:
         new = memory.missing(pieces)
         for p, e in zip(new, self.tool.encode_batch([space + p for p in new], add_special_tokens=False), strict=True):
             memory.young[p] = np.array(e.ids, np.int32).tobytes()
 
 
-_kept: dict[str, LibraryCodec] = {}
+_kept: dict[tuple[str, bool], LibraryCodec] = {}
 
 
-def _codec(path: str) -> LibraryCodec:
-    if path not in _kept:
-        _kept[path] = LibraryCodec(path, "")
-    return _kept[path]
+def _codec(path: str, plain: bool) -> LibraryCodec:
+    if (path, plain) not in _kept:
+        _kept[path, plain] = LibraryCodec(path, "", plain)
+    return _kept[path, plain]
 
 
-def _packer(path: str):
+def _packer(path: str, plain: bool):
     """Arrow batches of (doc_id, text) in order to chunk rows."""
 
     def chunk(part: int, number: int, docs: list, ids: list[np.ndarray], size: int, kind: pa.DataType) -> pa.RecordBatch:
@@ -75,7 +83,7 @@ def _packer(path: str):
         return pa.RecordBatch.from_arrays(row, names=["part", "chunk", "n_ids", "doc_ids", "sizes", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, number = _codec(path), TaskContext.get().partitionId(), 0
+        tool, part, number = _codec(path, plain), TaskContext.get().partitionId(), 0
         docs, ids, held, kind = [], [], 0, pa.int64()
         for batch in batches:
             kind = batch.column(0).type
@@ -93,15 +101,15 @@ def _packer(path: str):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """The chunk table of ``docs``, written to ``path`` (or the shared folder) and read back."""
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, plain: bool = True) -> DataFrame:
+    """The chunk table of ``docs``, written to ``path`` (or the shared folder) and read back; ``plain`` takes added tokens in a text as text."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select("doc_id", text_of().alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(_packer(tokenizer), f"part int, chunk int, n_ids long, doc_ids array<{kind}>, sizes array<int>, payload binary")
+    rows = dealt.mapInArrow(_packer(tokenizer, plain), f"part int, chunk int, n_ids long, doc_ids array<{kind}>, sizes array<int>, payload binary")
     if path is None:
         return durable(rows)
     rows.write.parquet(path)
