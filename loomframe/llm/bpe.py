@@ -1,12 +1,15 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task gathers the distinct words of a block of texts, lays their bytes out in one array and
-keeps an inverted index from each adjacent pair (its merged rank) to the positions where it
-stands.  Merges are then replayed in rank order over all words at once; a merge updates only
-the touched neighbours and files their new pairs in the index.
-
-Defined cases: a null text is an empty one and has no ids; rows are encoded one by one, so
-ties and repeated rows change nothing; other columns pass through ``encoded``.
+A task gathers the distinct words of a block of texts (about BLOCK_CHARS characters) that its
+worker hasn't met, lays their bytes out in one array and keeps an inverted index from each
+adjacent pair (its merged rank) to the positions where it stands.  Merges are then replayed in
+rank order over all words at once; a merge updates only the touched neighbours and files their
+new pairs in the index.  A worker remembers words' ids, at most REMEMBERED of them.
+
+Defined cases: a null text is an empty one and has no ids; a text of any length is encoded whole;
+rows are encoded one by one, so ties and repeated rows change nothing; an empty table gives an
+empty result; other columns pass through ``encoded`` and ``decoded``, whose new column must not
+have the name of one that is there.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,8 +31,8 @@ from .base import small_batches
 NONE = np.int64(1) << 40
 #: Characters of text whose new words are replayed together.
 BLOCK_CHARS = 4_000_000
-#: Pieces of a generation whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,24 +141,59 @@ class Merges:
 
 
 class Memory:
-    """Ids of pieces, in two generations: what is asked for again outlives what isn't."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, pieces: Iterable[str]) -> list[str]:
-        """The pieces without ids; all others are in ``young`` afterwards."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        new = []
-        for p in pieces:
-            if p not in self.young:
-                if p in self.old:
-                    self.young[p] = self.old[p]
-                else:
-                    new.append(p)
-        return new
+    """Ids of pieces: an Arrow array of the pieces, and where each one's ids lie in a pool.
+
+    ``learn`` gives the ids of new pieces: all of them in a row, and how many each has.  A memory
+    that would pass REMEMBERED pieces starts anew with the pieces that are asked for.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.starts, self.counts, self.odd = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _add(self, new: pa.Array) -> None:
+        pieces = new.to_pylist()
+        ids, counts = self.learn(pieces)
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.odd = np.concatenate([self.odd, np.array([not p or p[0].isspace() for p in pieces], bool)])
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of ``pieces`` in the memory."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if not found.null_count:
+            return found.to_numpy().astype(np.int64)
+        missing = found.is_null()
+        new = pieces.filter(missing).unique()
+        if len(self.known) and len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            return self.places(pieces)
+        at, base = found.fill_null(0).to_numpy().astype(np.int64), len(self.known)
+        at[missing.to_numpy(zero_copy_only=False)] = base + pc.index_in(pieces.filter(missing), value_set=new).to_numpy()
+        self._add(new)
+        return at
+
+    def laid_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places in a row, and how many each has."""
+        counts = self.counts[places]
+        return self.ids[spread(self.starts[places], counts)], counts
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ``counts`` numbers from ``starts``, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def summed(counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``counts`` between successive ``offsets``."""
+    return np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets])
 
 
 class Codec:
@@ -163,48 +202,85 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges = Merges(ranks)
         self.words = regex.compile(pattern)
+        self._open()
+
+    def _open(self) -> None:
         # A single space before anything but white space always starts a word, so texts can be cut there.
-        self.odd = regex.compile(r" (?!\S)")
         self.cut = regex.compile(r"(?= \S)")
-        self.first, self.spaced = Memory(), Memory()
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces of the text, all but the first to be read with a space before them."""
-        if not self.odd.search(text):
-            return text.split(" ")
-        head, *rest = self.cut.split(text)
-        return [head, *[p[1:] for p in rest]]
-
-    def _learn(self, pieces: Iterable[str], space: str, memory: Memory) -> None:
-        split = {p: [space + p] if p.isalpha() else self.words.findall(space + p) for p in memory.missing(pieces)}
-        known = self.spaced.young
-        ids = {w: known.get(w[1:]) if w[0] == " " else None for ws in split.values() for w in ws}
-        new = [w for w, found in ids.items() if found is None]
-        ids.update(zip(new, self.merges.replay([w.encode() for w in new]), strict=True))
-        for p, ws in split.items():
-            memory.young[p] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
+        self.first, self.spaced = Memory(lambda p: self._learn(p, "")), Memory(lambda p: self._learn(p, " "))
+
+    def _learn(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        split = [[space + p] if p.isalpha() else self.words.findall(space + p) for p in pieces]
+        place: dict[str, int] = {}
+        used = np.array([place.setdefault(w, len(place)) for ws in split for w in ws], np.int64)
+        replayed = self.merges.replay([w.encode() for w in place])
+        counts = np.array([len(r) // 4 for r in replayed], np.int64)
+        flat = np.frombuffer(b"".join(replayed), np.int32)
+        starts = np.cumsum(counts) - counts
+        ids = flat[spread(starts[used], counts[used])]
+        return ids, summed(counts[used], np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64))
+
+    def encode_block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values
+        places = self.spaced.places(flat)
+        odd = self.spaced.odd[places]
+        odd[offsets[:-1]] = False  # of a text's first piece nothing is asked
+        strange = np.flatnonzero(summed(odd, offsets)).tolist()
+        ids, counts = self.spaced.laid_out(places)
+        heads, head_counts = self.first.laid_out(self.first.places(flat.take(pa.array(offsets[:-1]))))
+        if strange:  # texts with runs of white space are cut before what isn't
+            parts = [self.cut.split(texts[i]) for i in strange]
+            rest = [p[1:] for ps in parts for p in ps[1:]]
+            cut_offsets = np.concatenate([[0], np.cumsum([len(ps) - 1 for ps in parts])]).astype(np.int64)
+            cut_ids, cut_counts = self.spaced.laid_out(self.spaced.places(pa.array(rest, pa.large_string())))
+            cut_heads, cut_head_counts = self.first.laid_out(self.first.places(pa.array([ps[0] for ps in parts], pa.large_string())))
+            cut_sums = summed(cut_counts, cut_offsets)
+            cut_at = np.concatenate([[0], np.cumsum(cut_sums)])
+            head_at = np.concatenate([[0], np.cumsum(cut_head_counts)])
+            whole = {i: np.concatenate([cut_heads[head_at[k] : head_at[k + 1]], cut_ids[cut_at[k] : cut_at[k + 1]]]) for k, i in enumerate(strange)}
+        # The ids of a text's first piece, as if after a space, give way to its ids at the start of a text.
+        sums = summed(counts, offsets)
+        ends = np.cumsum(sums)
+        skipped = counts[offsets[:-1]]
+        totals = sums - skipped + head_counts
+        out = np.empty(int(totals.sum()), np.int32)
+        out_starts = np.cumsum(totals) - totals
+        out[spread(out_starts, head_counts)] = heads
+        out[spread(out_starts + head_counts, sums - skipped)] = ids[spread(ends - sums + skipped, sums - skipped)]
+        if strange:
+            rows = np.split(out, out_starts[1:])
+            for i, found in whole.items():
+                rows[i], totals[i] = found, len(found)
+            out = np.concatenate(rows)
+        return out, totals
 
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        done = 0
-        while done < len(texts):
-            block, size = [], 0
-            while done + len(block) < len(texts) and size < BLOCK_CHARS:
-                block.append(self._pieces(texts[done + len(block)]))
-                size += len(texts[done + len(block) - 1])
-            done += len(block)
-            self._learn(set().union(*[p[1:] for p in block]), " ", self.spaced)
-            self._learn({p[0] for p in block}, "", self.first)
-            for pieces in block:
-                head = self.first.young[pieces[0]]
-                pieces[0] = ""
-                pieces = map(self.spaced.young.__getitem__, pieces[1:])
-                yield np.frombuffer(head + b"".join(pieces), np.int32)
+        for block in in_blocks(texts):
+            ids, counts = self.encode_block(block)
+            yield from np.split(ids, np.cumsum(counts)[:-1])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.merges.bytes_of.__getitem__, ids))
 
 
+def in_blocks(texts: Sequence[str]) -> Iterator[list[str]]:
+    """``texts`` in runs of about BLOCK_CHARS characters."""
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 _kept: dict[tuple[str, str], Codec] = {}
 
 
@@ -223,8 +299,14 @@ def _by_batch(row: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iter
     return run
 
 
+def _free(rows: DataFrame, name: str) -> None:
+    if name.lower() in (c.lower() for c in rows.columns):
+        raise ValueError(f"there is a column {name!r} already; name another by into=")
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` as array<int> ``into``."""
+    _free(docs, into)
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
@@ -239,6 +321,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", into:
 
 def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "bytes") -> DataFrame:
     """``rows`` with the bytes that ``ids`` stand for as binary ``into``."""
+    _free(rows, into)
     small_batches(rows.sparkSession)
     at = rows.columns.index(ids)
 
@@ -249,21 +332,44 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: st
     return rows.mapInArrow(_by_batch(row), T.StructType([*rows.schema, T.StructField(into, T.BinaryType())]))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches joined until they hold about BLOCK_CHARS characters, with their texts (null: empty)."""
+    held: list[pa.RecordBatch] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        new = [t or "" for t in batch.column(text).to_pylist()]
+        held.append(batch)
+        texts += new
+        size += sum(map(len, new))
+        if size >= BLOCK_CHARS:
+            yield pa.concat_batches(held), texts
+            held, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_batches(held), texts
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: the round trip of every text in one pass."""
     small_batches(docs.sparkSession)
 
-    def row(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def hashes(strings: pa.Array, cuts: list[int], less: int) -> list[str]:
+        """SHA-256 of the strings between cuts joined, but for the last ``less`` bytes."""
+        offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
+        data = memoryview(strings.buffers()[2] or b"")
+        at = offsets[np.array(cuts)].tolist()
+        return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        names = [str(i) for i in range(len(tool.merges.bytes_of))]
-        counts, ids_sha, bytes_sha = [], [], []
-        for ids in tool.encode([t or "" for t in batch.column(1).to_pylist()]):
-            counts.append(len(ids))
-            ids = ids.tolist()
-            ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            bytes_sha.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-        arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        names = pa.array([f"{i}," for i in range(len(tool.merges.bytes_of))], pa.large_string())
+        tokens = pa.array(tool.merges.bytes_of, pa.large_binary())
+        for batch, texts in gathered(batches, 1):
+            ids, counts = tool.encode_block(texts)
+            cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            at = pa.array(ids)
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes(names.take(at), cuts, 1), pa.string()), pa.array(hashes(tokens.take(at), cuts, 0), pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_by_batch(row), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,14 +1,16 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A block is coded on its own: models start anew, and its ids' checksum is kept beside it.  Each
-id is first coded as one of four outcomes: it is the id that followed the last two ids before
-(order 2), or that followed the last one (order 1), or the block's commonest id (order 0), or
-none.  The outcome's chance is a mixture of adaptive chances in contexts of order 0, 1 and 2
-(how sure each prediction is), whose weights follow how well each did.  An unpredicted id is
-coded by an adaptive class of like ids, then its place in the class.
-
-All arithmetic is in integers, so that a decoder repeats it exactly.  All blocks of a chunk
-advance together, one id a step, so that each step is a few numpy operations on all of them.
+A chunk is cut into blocks of ``BLOCK_IDS`` ids.  Every block starts from the same state, so it
+is coded and read on its own, and its ids' checksum is kept beside it.  Each id is predicted in
+three orders: the id that followed the last two ids before (order 2), the id that followed the
+last one before (order 1), both learnt within the block, and the chunk's frequencies of ids
+after ids like the last one (order 0, in classes of ids with like followers).  The orders share
+the interval by weights that adapt in contexts of how sure the predictions are: first what order
+2 names, then what order 1 names, then all ids by their frequencies.
+
+All arithmetic is exact, so that a decoder repeats it: integers, and quotients of integers under
+2**53 whose floor floating point gives exactly.  All blocks of a chunk advance together, one id a
+step, so that each step is a few numpy operations on all of them.
 """
 
 from __future__ import annotations
@@ -18,241 +20,242 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 1024
-MAGIC = b"LFRC"
-U = np.uint64
-TOP, LOW = U(1) << U(48), U(1) << U(32)
-SLOTS = 512  # of each order's table of predictions: an id, and how sure it is in the last two bits
-ONE = 1 << 14  # a chance or weight of one; products stay within 32 bits
-SHIFT = 5
+BLOCK_IDS = 2048
+MAGIC = b"LFR2"
+#: The range lies between 2 ** LOW and 2 ** TOP; 16 bits leave or enter at a time.
+TOP, LOW = 48, 32
+#: Bits of the orders' weights, and of the frequencies of a class.
+WEIGHT, SCALE = 11, 16
+SLOTS = 512  # contexts of a block's table of an order
+SPEED = 5
+ONE, SIXTEEN = np.int64(1 << 16), np.int64(16)
+ALL, TAKEN = np.int64((1 << 63) - 1), np.int64(((1 << 63) - 1) ^ ((1 << LOW) - 1))
+#: The orders' first weights (order 2, order 1) by whether order 2 and order 1 were right last time and name the same id.
+FIRST_SHARES = np.array([a << 16 | b for a, b in ((4096, 3072), (12288, 0), (3072, 12288), (16384, 0), (20480, 2048), (24576, 0), (20480, 4096), (32768, 0))], np.int64)
+#: At most so many classes of last ids, one for each so many ids of the chunk.
+CLASSES, IDS_A_CLASS = 32, 40_000
+#: Followers that tell ids apart when they are put into classes.
+MARKS = 64
+
+
+def _classes(x: np.ndarray, last: np.ndarray, n_ids: int) -> np.ndarray:
+    """Class of each id by the share of the commonest ids among its followers."""
+    k = max(1, min(CLASSES, len(x) // IDS_A_CLASS))
+    if k == 1 or n_ids <= k:
+        return np.zeros(n_ids, np.int64)
+    after = np.bincount(last * (MARKS + 1) + np.minimum(x, MARKS), minlength=n_ids * (MARKS + 1)).reshape(n_ids, -1).astype(np.float32)
+    total = after.sum(axis=1)
+    share = np.sqrt(after / np.maximum(total, 1)[:, None])
+    met = np.flatnonzero(total >= 8)
+    points, weights = share[met], total[met]
+    centres = points[:k].copy()  # ids are in the order of their counts
+    for _ in range(6):
+        near = (points @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+        for c in np.unique(near):
+            centres[c] = np.average(points[near == c], axis=0, weights=weights[near == c])
+    out = np.zeros(n_ids, np.int64)
+    out[met] = near
+    return out
 
 
-class _Coder:
-    """Carryless range coder over rows; 16 bits leave or enter at a time."""
+def _quantised(counts: np.ndarray, scale: int) -> np.ndarray:
+    """Rows of counts as frequencies that add up to 2 ** scale; what was counted has one at least."""
+    total = counts.sum(axis=1, keepdims=True)
+    out = np.where(counts > 0, np.maximum(1, (counts << scale) // np.maximum(total, 1)), 0)
+    for row in np.flatnonzero(total[:, 0]):
+        over = int(out[row].sum()) - (1 << scale)
+        while over > 0:  # what minima added is taken from the large
+            most = np.argsort(-out[row], kind="stable")
+            give = np.maximum(out[row][most] // 2, 1) - 1 if out[row].max() < 2 * over + 2 else np.where(np.arange(len(most)) == 0, over, 0)
+            give = np.diff(np.minimum(np.cumsum(give), over), prepend=0)
+            out[row][most] -= give
+            over -= int(give.sum())
+        out[row, out[row].argmax()] -= over
+    return out
 
-    def __init__(self, n: int):
-        self.low = np.zeros(n, U)
-        self.range = np.full(n, np.iinfo(np.uint64).max, U)
-        self.every = np.arange(n)
-
-    def _narrow(self, rows, cum, freq, tot) -> tuple[np.ndarray, np.ndarray]:
-        r = self.range[rows] // tot
-        self.low[rows] += cum * r
-        self.range[rows] = freq * r
-        return self.low[rows], self.range[rows]
-
-    def _settle(self, rows, low, rng):
-        """Yield the rows that give up their leading 16 bits, until none has to."""
-        base = self.every[rows]
-        while True:
-            done = (low ^ (low + rng)) < TOP
-            small = ~done & (rng < LOW)
-            if small.any():
-                rng = np.where(small, (~low + U(1)) & (LOW - U(1)), rng)
-                self.range[base] = rng
-            move = done | small
-            if not move.any():
-                return
-            base, low, rng = base[move], low[move], rng[move]
-            yield base, low
-            low, rng = low << U(16), rng << U(16)
-            self.low[base], self.range[base] = low, rng
-
-
-class _Encoder(_Coder):
-    def __init__(self, n: int, ids: int):
-        super().__init__(n)
-        self.out = np.zeros((n, 4 * ids + 16), np.uint16)
-        self.at = np.zeros(n, np.int64)
-
-    def code(self, rows, cum, freq, tot) -> None:
-        low, rng = self._narrow(rows, cum, freq, tot)
-        for who, word in self._settle(rows, low, rng):
-            self.out[who, self.at[who]] = (word >> TOP_SHIFT).astype(np.uint16)
-            self.at[who] += 1
-
-    def finish(self) -> list[bytes]:
-        n = np.arange(len(self.low))
-        for k in range(4):
-            self.out[n, self.at] = (self.low >> TOP_SHIFT).astype(np.uint16)
-            self.at += 1
-            self.low <<= U(16)
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in n]
-
-
-TOP_SHIFT = U(48)
-
-
-class _Decoder(_Coder):
-    def __init__(self, data: list[bytes]):
-        super().__init__(len(data))
-        self.words = np.zeros((len(data), max(len(d) for d in data) // 2 + 8), np.uint16)
-        for i, d in enumerate(data):
-            self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.at = np.full(len(data), 4, np.int64)
-        self.value = np.zeros(len(data), U)
-        for k in range(4):
-            self.value = (self.value << U(16)) | self.words[:, k].astype(U)
-
-    def target(self, rows, tot) -> np.ndarray:
-        return np.minimum((self.value[rows] - self.low[rows]) // (self.range[rows] // tot), tot - U(1))
-
-    def code(self, rows, cum, freq, tot) -> None:
-        low, rng = self._narrow(rows, cum, freq, tot)
-        for who, _ in self._settle(rows, low, rng):
-            self.value[who] = (self.value[who] << U(16)) | self.words[who, self.at[who]].astype(U)
-            self.at[who] += 1
-
-
-def class_edges(ids: int) -> np.ndarray:
-    """First ids of the classes: narrow for low ids, which byte-pair vocabularies give to common tokens."""
-    edges, width = [0], 64
-    while edges[-1] + width < ids:
-        edges.append(edges[-1] + width)
-        width = max(64, edges[-1] // 6)
-    return np.array([*edges, ids], np.int64)
+
+class _Tables:
+    """What all blocks of a chunk start from: classes and frequencies of its ids, numbered by count."""
+
+    def __init__(self, class_of: np.ndarray, freq: np.ndarray):
+        k, n = freq.shape
+        self.scale = int(freq.sum(axis=1).max()).bit_length() - 1
+        cum = np.zeros((k, n + 1), np.int64)
+        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        self.freq = freq
+        self.packed = (cum[:, :-1] << 32 | freq.astype(np.int64)).ravel()  # where an id begins, and its frequency
+        self.row = (class_of * n).astype(np.int64)
+        self.slot = (class_of << self.scale).astype(np.int64)
+        self.class_sums = cum[:, -1]
+        self.k, self.n = k, n
+
+    def inverse(self) -> np.ndarray:
+        """The id of each place of each class's frequencies."""
+        out = np.zeros((self.k, 1 << self.scale), np.int32)
+        for c in np.flatnonzero(self.class_sums):
+            out[c] = np.repeat(np.arange(self.n, dtype=np.int32), self.freq[c])
+        return out.ravel()
 
 
 class _Models:
-    """Predictions and chances of all blocks."""
-
-    def __init__(self, n: int, ids: int):
-        self.n = n
-        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.guess = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.common, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.chance = [np.full((n * k, 4), ONE // 4, np.int32) for k in (1, 8, 32)]
-        self.weight = [np.full(n, ONE // 3, np.int32) for _ in range(3)]
-        self.seen = 0
-        self.edges = class_edges(ids)
-        self.classes = np.ones((n, len(self.edges) - 1), np.int64)
-        self.spread = np.arange(n)
-
-    def predict(self, m: int) -> None:
-        """Predictions and outcome frequencies for the first ``m`` blocks."""
-        b = self.spread[:m]
-        last, before = self.last[:m], self.before[:m]
-        one = (last * 16411 >> 6) & (SLOTS - 1)
-        two = (last * 16411 ^ before * 25171) >> 7 & (SLOTS - 1)
-        self.slot = (b * SLOTS + one, b * SLOTS + two)
-        known1, known2 = (table.take(slot) for table, slot in zip(self.guess, self.slot, strict=True))
-        self.guess1, self.sure1, self.guess2, self.sure2 = known1 >> 2, known1 & 3, known2 >> 2, known2 & 3
-        same = self.guess1 == self.guess2
-        self.rows = (b, b * 8 + self.sure1 * 2 + same, b * 32 + self.sure2 * 8 + self.sure1 * 2 + same)
-        self.p = [c.take(r, axis=0) for c, r in zip(self.chance, self.rows, strict=True)]
-        w = [w[:m, None] for w in self.weight]
-        self.mixed = (w[0] * self.p[0] >> 14) + (w[1] * self.p[1] >> 14) + (w[2] * self.p[2] >> 14)
-        f = (self.mixed >> 1) + 1
-        c1 = f[:, 0]
-        c2 = c1 + f[:, 1]
-        c3 = c2 + f[:, 2]
-        self.freq, self.cum = f, (np.zeros_like(c1), c1, c2, c3)
-        self.total = c3 + f[:, 3]
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, np.where(ids == self.common[: len(ids)], 2, 3)))
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+    """The adaptive state of all blocks: predictions of order 1 and 2 and the orders' weights.
+
+    A context names the id that followed it last; its lowest bit tells whether the id before was the same.
+    """
+
+    def __init__(self, n: int):
+        self.guess = np.zeros((2, n * SLOTS), np.int32)
+        self.spread, self.contexts = np.arange(n) * SLOTS, np.arange(n) * 8
+        self.last, self.place1, self.place2 = np.zeros(n, np.int64), self.spread.copy(), self.spread.copy()
+        self.share = np.tile(FIRST_SHARES, n)
+
+    def predict(self, m: int) -> tuple[np.ndarray, ...]:
+        """(what order 2 names, what order 1 names, their weights) for the first ``m`` blocks."""
+        self.known1, self.known2 = self.guess[0].take(self.place1[:m]), self.guess[1].take(self.place2[:m])
+        self.named1, self.named2 = self.known1 >> 1, self.known2 >> 1
+        context = (self.known2 & 1) << 2 | (self.known1 & 1) << 1 | (self.named1 == self.named2)
+        self.context = context + self.contexts[:m]
+        shares = self.share.take(self.context)
+        self.share2, self.share1 = shares >> 16, shares & 0xFFFF
+        return self.named2, self.named1, self.share2 >> 16 - WEIGHT, self.share1 >> 16 - WEIGHT
+
+    def update(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
         m = len(ids)
-        b = self.spread[:m]
-        hit = np.zeros((m, 4), np.int32)
-        hit[b, outcome] = ONE
-        got = self.mixed[b, outcome]
-        for w, p in zip(self.weight, self.p, strict=True):  # who gave the outcome a higher chance gains
-            now = w[:m]
-            now += (now * (p[b, outcome] - got)) >> 16
-            np.maximum(now, 128, out=now)
-        self.seen += 1
-        if self.seen % 16 == 0:
-            total = self.weight[0] + self.weight[1] + self.weight[2]
-            for w in self.weight:
-                w[:] = (w << 14) // total
-        for c, r, p in zip(self.chance, self.rows, self.p, strict=True):
-            c[r] = p + ((hit - p) >> SHIFT)
-        for k, (guess, sure) in enumerate(((self.guess1, self.sure1), (self.guess2, self.sure2))):
-            right = ids == guess
-            kept = guess << 2 | np.where(right, np.minimum(sure + 1, 3), sure - 1)
-            self.guess[k][self.slot[k]] = np.where(right | (sure > 0), kept, ids << 2)
-        common, votes = self.common[:m], self.votes[:m]
-        self.votes[:m] = np.where(ids == common, votes + 1, np.where(votes > 0, votes - 1, 1))
-        self.common[:m] = np.where((ids != common) & (votes == 0), ids, common)
-        self.before[:m], self.last[:m] = self.last[:m], ids
-
-    def class_frequencies(self, rows: np.ndarray) -> np.ndarray:
-        return np.cumsum(self.classes[rows], axis=1)
-
-    def saw_class(self, rows: np.ndarray, which: np.ndarray) -> None:
-        self.classes[rows, which] += 12
-
-
-def _encode(matrix: np.ndarray, sizes: np.ndarray, ids: int) -> list[bytes]:
+        two = self.share2 + ((by2 * ONE - self.share2) >> SPEED)
+        one = self.share1 + ((by1 * ONE - self.share1) >> SPEED)
+        self.share[self.context] = two << 16 | one
+        fresh = (ids << 1).astype(np.int32)
+        self.guess[0][self.place1[:m]] = fresh | (ids == self.named1)
+        self.guess[1][self.place2[:m]] = fresh | (ids == self.named2)
+        here = ids * 40503
+        self.place1[:m] = (here >> 6 & (SLOTS - 1)) + self.spread[:m]
+        self.place2[:m] = ((here ^ self.last[:m] * 25171) >> 7 & (SLOTS - 1)) + self.spread[:m]
+        self.last[:m] = ids
+
+
+def _active(sizes: np.ndarray, steps: int) -> list[int]:
+    """How many blocks, in descending order of size, have an id in each step."""
+    return np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+
+
+def _encode(matrix: np.ndarray, sizes: np.ndarray, tables: _Tables) -> list[bytes]:
     """``matrix`` is steps x blocks; blocks are in descending order of ``sizes``."""
-    models, coder = _Models(matrix.shape[1], ids), _Encoder(matrix.shape[1], matrix.shape[0])
-    for step in range(matrix.shape[0]):
-        m = int(np.searchsorted(-sizes, -step, side="left"))
-        now = matrix[step, :m]
-        models.predict(m)
-        outcome = models.outcome(now)
-        b = models.spread[:m]
-        cum = np.choose(outcome, models.cum)
-        coder.code(slice(0, m), cum.astype(U), models.freq[b, outcome].astype(U), models.total.astype(U))
-        rows = np.flatnonzero(outcome == 3)
-        if len(rows):
-            which = np.searchsorted(models.edges, now[rows], side="right") - 1
-            sums = models.class_frequencies(rows)
-            freq = models.classes[rows, which]
-            k = np.arange(len(rows))
-            coder.code(rows, (sums[k, which] - freq).astype(U), freq.astype(U), sums[:, -1].astype(U))
-            first = models.edges[which]
-            coder.code(rows, (now[rows] - first).astype(U), np.ones(len(rows), U), (models.edges[which + 1] - first).astype(U))
-            models.saw_class(rows, which)
-        models.update(now, outcome)
-    return coder.finish()
-
-
-def _decode(data: list[bytes], sizes: np.ndarray, ids: int) -> np.ndarray:
-    models, coder = _Models(len(data), ids), _Decoder(data)
-    out = np.zeros((int(sizes.max(initial=0)), len(data)), np.int32)
-    for step in range(len(out)):
-        m = int(np.searchsorted(-sizes, -step, side="left"))
-        models.predict(m)
-        b = models.spread[:m]
-        every = slice(0, m)
-        value = coder.target(every, models.total.astype(U)).astype(np.int64)
-        outcome = (value >= models.cum[1]).astype(np.int64) + (value >= models.cum[2]) + (value >= models.cum[3])
-        cum = np.choose(outcome, models.cum)
-        coder.code(every, cum.astype(U), models.freq[b, outcome].astype(U), models.total.astype(U))
-        now = np.choose(outcome, (models.guess2, models.guess1, models.common[:m], np.zeros(m, np.int32)))
-        rows = np.flatnonzero(outcome == 3)
-        if len(rows):
-            sums = models.class_frequencies(rows)
-            value = coder.target(rows, sums[:, -1].astype(U)).astype(np.int64)
-            which = (sums <= value[:, None]).sum(axis=1)
-            freq = models.classes[rows, which]
-            k = np.arange(len(rows))
-            coder.code(rows, (sums[k, which] - freq).astype(U), freq.astype(U), sums[:, -1].astype(U))
-            first = models.edges[which]
-            width = (models.edges[which + 1] - first).astype(U)
-            place = coder.target(rows, width)
-            coder.code(rows, place, np.ones(len(rows), U), width)
-            now[rows] = first + place.astype(np.int64)
-            models.saw_class(rows, which)
-        models.update(now, outcome)
-        out[step, :m] = now
+    steps, n = matrix.shape
+    models, scale = _Models(n), tables.scale
+    low, wide = np.zeros(n, np.int64), np.full(n, 1 << TOP, np.int64)
+    digits, gone, n_digits = np.zeros((n, 2 * steps + 8), np.int32), np.zeros((n, 2 * steps + 8), bool), 0
+
+    def settle(m: int, rows: np.ndarray) -> None:
+        """The leading digit of ``rows`` leaves; a carry is its seventeenth bit."""
+        nonlocal n_digits
+        digits[:m, n_digits] = low[:m] >> LOW
+        gone[:m, n_digits] = rows
+        n_digits += 1
+        by = rows * SIXTEEN
+        low[:m] = (low[:m] & (rows * TAKEN ^ ALL)) << by
+        wide[:m] <<= by
+
+    for now, m in zip(matrix, _active(sizes, steps), strict=True):
+        x = now[:m]
+        two, one, w2, w1 = models.predict(m)
+        by2 = (x == two) & (w2 > 0)
+        by1 = (x == one) & ~by2 & (w1 > 0)
+        w12 = w1 + w2
+        w0 = (1 << WEIGHT) - w12
+        packed = tables.packed.take(tables.row.take(models.last[:m]) + x)
+        by0 = ~(by2 | by1)
+        start = by1 * (w2 << scale) + by0 * ((w12 << scale) + w0 * (packed >> 32))
+        size = by2 * (w2 << scale) + by1 * (w1 << scale) + by0 * (w0 * (packed & 0xFFFFFFFF))
+        r = wide[:m] >> WEIGHT + scale
+        low[:m] += start * r
+        wide[:m] = size * r
+        while (rows := wide[:m] < 1 << LOW).any():
+            settle(m, rows)
+        models.update(x, by2, by1)
+    for _ in range(TOP // 16):
+        settle(n, np.ones(n, bool))
+    digits, gone = digits[:, :n_digits], gone[:, :n_digits]
+    out = np.concatenate([[0], digits[gone]])
+    while (carry := out >> 16).any():  # it never reaches beyond a block's first digit
+        out &= 0xFFFF
+        out[:-1] += carry[1:]
+    cuts = np.concatenate([[1], 1 + np.cumsum(gone.sum(axis=1))]).tolist()
+    out = out.astype("<u2")
+    return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _decode(data: list[bytes], sizes: np.ndarray, tables: _Tables) -> np.ndarray:
+    n, steps = len(data), int(sizes.max(initial=0))
+    models, scale, inverse = _Models(n), tables.scale, tables.inverse()
+    flat = np.concatenate([np.frombuffer(b"".join(data), "<u2"), np.zeros(64, "<u2")])
+    lengths = np.array([len(d) // 2 for d in data])
+    at = np.cumsum(lengths) - lengths
+    head = [flat.take(at + k, mode="clip").astype(np.int64) for k in range(3)]
+    at += 3
+    code, wide = head[0] << 32 | head[1] << 16 | head[2], np.full(n, 1 << TOP, np.int64)
+    out = np.zeros((steps, n), np.int32)
+    for step, m in enumerate(_active(sizes, steps)):
+        two, one, w2, w1 = models.predict(m)
+        w12 = w1 + w2
+        w0 = (1 << WEIGHT) - w12
+        r = wide[:m] >> WEIGHT + scale
+        value = np.minimum((code[:m] / r).astype(np.int64), (1 << WEIGHT + scale) - 1)
+        edge2, edge1 = w2 << scale, w12 << scale
+        by2 = value < edge2
+        by1 = (value < edge1) & ~by2
+        last = models.last[:m]
+        slot = np.maximum(((value - edge1) / w0).astype(np.int64), 0)
+        x0 = inverse.take(tables.slot.take(last) + slot)
+        packed = tables.packed.take(tables.row.take(last) + x0)
+        by0 = value >= edge1
+        x = by2 * two + by1 * one + by0 * x0
+        start = by1 * edge2 + by0 * (edge1 + w0 * (packed >> 32))
+        size = by2 * edge2 + by1 * (w1 << scale) + by0 * (w0 * (packed & 0xFFFFFFFF))
+        code[:m] -= start * r
+        wide[:m] = size * r
+        while (rows := wide[:m] < 1 << LOW).any():
+            by = rows * SIXTEEN
+            code[:m] = code[:m] << by | rows * flat.take(at[:m], mode="clip")
+            at[:m] += rows
+            wide[:m] = np.maximum(wide[:m], 1) << by  # damaged codes may have none left
+        models.update(x, by2, by1)
+        out[step, :m] = x
     return out
 
 
-def pack(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A chunk of blocks: header, each block's number of ids, bytes and checksum, then their codes."""
-    n = -(-len(ids) // BLOCK_IDS)
+def _sizes(n_ids: int) -> np.ndarray:
+    n = -(-n_ids // BLOCK_IDS)
     sizes = np.full(n, BLOCK_IDS)
     if n:
-        sizes[-1] = len(ids) - (n - 1) * BLOCK_IDS
-    steps = int(sizes.max(initial=0))
-    full = np.zeros(n * BLOCK_IDS, np.int32)
-    full[: len(ids)] = ids
-    codes = _encode(np.ascontiguousarray(full.reshape(n, BLOCK_IDS).T[:steps]), sizes, vocabulary) if n else []
-    out = [MAGIC, struct.pack("<III", n, vocabulary, len(ids))]
+        sizes[-1] = n_ids - (n - 1) * BLOCK_IDS
+    return sizes
+
+
+def pack(ids: np.ndarray, vocabulary: int) -> bytes:
+    """A chunk of blocks: the tables they start from, each block's number of ids, bytes and checksum, then their codes."""
+    ids = np.asarray(ids, np.int32)
+    sizes = _sizes(len(ids))
+    n = len(sizes)
+    if not n:
+        return MAGIC + struct.pack("<IIIIII", 0, vocabulary, 0, 0, 0, 0)
+    counts = np.bincount(ids, minlength=vocabulary)
+    names = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    number = np.zeros(vocabulary, np.int32)
+    number[names] = np.arange(len(names), dtype=np.int32)
+    x = np.zeros(n * BLOCK_IDS, np.int32)
+    x[: len(ids)] = number[ids]
+    last = np.zeros(len(ids), np.int64)
+    last[1:] = x[: len(ids) - 1]
+    last[::BLOCK_IDS] = 0  # a block starts as after the commonest id
+    class_of = _classes(x[: len(ids)], last, len(names))
+    k = int(class_of.max()) + 1
+    scale = max(SCALE, len(names).bit_length() + 1)
+    pairs = np.bincount(class_of[last] * len(names) + x[: len(ids)], minlength=k * len(names)).reshape(k, -1)
+    freq = _quantised(pairs, scale)
+    tables = _Tables(class_of, freq)
+    codes = _encode(np.ascontiguousarray(x.reshape(n, BLOCK_IDS).T[: int(sizes.max())]), sizes, tables)
+    head = zlib.compress(names.astype("<u4").tobytes() + class_of.astype(np.uint8).tobytes() + freq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+    out = [MAGIC, struct.pack("<IIIIII", n, vocabulary, len(ids), len(names), k, len(head)), head]
     for i, code in enumerate(codes):
         block = ids[i * BLOCK_IDS : i * BLOCK_IDS + sizes[i]]
         out.append(struct.pack("<III", len(block), len(code), zlib.crc32(block.astype("<u4").tobytes())))
@@ -263,21 +266,31 @@ def unpack(data: bytes) -> np.ndarray:
     """The ids of a chunk; a block that doesn't fit its checksum is an error."""
     if data[:4] != MAGIC:
         raise ValueError("not a chunk of token ids")
-    n, vocabulary, total = struct.unpack_from("<III", data, 4)
-    heads = [struct.unpack_from("<III", data, 16 + 12 * i) for i in range(n)]
-    at, codes = 16 + 12 * n, []
-    for _, size, _ in heads:
-        codes.append(data[at : at + size])
-        at += size
+    n, _, total, n_names, k, size = struct.unpack_from("<IIIIII", data, 4)
     if not n:
         return np.zeros(0, np.int32)
+    try:
+        head = zlib.decompress(data[28 : 28 + size])
+    except zlib.error as e:
+        raise ValueError("the chunk's tables are damaged") from e
+    names = np.frombuffer(head, "<u4", n_names).astype(np.int32)
+    class_of = np.frombuffer(head, np.uint8, n_names, 4 * n_names).astype(np.int64)
+    freq = np.ascontiguousarray(np.frombuffer(head, np.uint8, offset=5 * n_names).reshape(4, -1).T).view("<u4").reshape(k, n_names)
+    at = 28 + size
+    heads = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
+    at += 12 * n
+    codes = []
+    for _, length, _ in heads:
+        codes.append(data[at : at + length])
+        at += length
     sizes = np.array([h[0] for h in heads])
-    matrix = _decode(codes, sizes, vocabulary)
-    blocks = [np.ascontiguousarray(matrix[: sizes[i], i]) for i in range(n)]
+    matrix = names.take(_decode(codes, sizes, _Tables(class_of, freq.astype(np.int64))), mode="clip")
+    ids = np.ascontiguousarray(matrix.T)
+    blocks = [ids[i, : sizes[i]] for i in range(n)]
     for i, block in enumerate(blocks):
         if zlib.crc32(block.astype("<u4").tobytes()) != heads[i][2]:
             raise ValueError(f"block {i} is damaged")
-    ids = np.concatenate(blocks)
-    if len(ids) != total:
+    whole = np.concatenate(blocks)
+    if len(whole) != total:
         raise ValueError("the chunk is incomplete")
-    return ids
+    return whole

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +27,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .base import durable, small_batches, text_of
-from .bpe import Codec, Memory
+from .base import BROADCAST_IDS, durable, small_batches, text_of
+from .bpe import Codec, gathered, spread
 
 END = 0
 #: Ids of a chunk; all its blocks are coded in step.
 CHUNK_IDS = 2_000_000
+#: Pieces in a call of the library.
+PIECES = 128
 
 
 class LibraryCodec(Codec):
     """Pieces encoded by the tokenizers library from a byte-level vocabulary."""
 
-    def __init__(self, path: str, pattern: str, plain: bool = True):
+    def __init__(self, path: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = plain
         self.added = [] if plain else [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.size = self.tool.get_vocab_size()
-        self.odd, self.cut = regex.compile(r" (?!\S)"), regex.compile(r"(?= \S)")
-        self.first, self.spaced = Memory(), Memory()
-
-    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        others = super().encode([t for t, w in zip(texts, whole, strict=True) if not w])
-        for text, w in zip(texts, whole, strict=True):
-            yield np.array(self.tool.encode(text, add_special_tokens=False).ids, np.int32) if w else next(others)
-
-    def _learn(self, pieces: Iterable[str], space: str, memory: Memory) -> None:
-        new = memory.missing(pieces)
-        for p, e in zip(new, self.tool.encode_batch([space + p for p in new], add_special_tokens=False), strict=True):
-            memory.young[p] = np.array(e.ids, np.int32).tobytes()
+        self.begins = np.zeros(self.size, bool)  # ids that start with a space
+        for token, i in self.tool.get_vocab().items():
+            self.begins[i] = token.startswith("Ġ")
+        self._open()
+
+    def _learn(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces after a space are handed to the library PIECES at a time: only their first ids start with a space."""
+        counts, out = np.zeros(len(pieces), np.int64), []
+        joined = [i for i, p in enumerate(pieces) if space and p and " " not in p and not p[0].isspace()]
+        groups = [joined[k : k + PIECES] for k in range(0, len(joined), PIECES)]
+        taken = set(joined)
+        groups += [[i] for i in range(len(pieces)) if i not in taken]
+        found = self.tool.encode_batch_fast([space + space.join(pieces[i] for i in g) for g in groups], add_special_tokens=False)
+        at: list[int] = []
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, np.int32)
+            if len(group) > 1:
+                first = np.flatnonzero(self.begins[ids])
+                if len(first) != len(group):
+                    raise ValueError("a piece was joined with another")
+                counts[group] = np.diff(np.append(first, len(ids)))
+            else:
+                counts[group[0]] = len(ids)
+            at += group
+            out.append(ids)
+        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        order = np.array(at, np.int64)
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[spread(starts, counts)], counts
+
+    def encode_block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As of any codec; a text that holds an added token is encoded whole."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return super().encode_block(texts)
+        named = set(whole)
+        ids, counts = super().encode_block(["" if i in named else t for i, t in enumerate(texts)])
+        rows = np.split(ids, np.cumsum(counts)[:-1])
+        for i in whole:
+            rows[i] = np.array(self.tool.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
 
 _kept: dict[tuple[str, bool], LibraryCodec] = {}
@@ -67,36 +97,39 @@ _kept: dict[tuple[str, bool], LibraryCodec] = {}
 
 def _codec(path: str, plain: bool) -> LibraryCodec:
     if (path, plain) not in _kept:
-        _kept[path, plain] = LibraryCodec(path, "", plain)
+        _kept[path, plain] = LibraryCodec(path, plain)
     return _kept[path, plain]
 
 
 def _packer(path: str, plain: bool):
     """Arrow batches of (doc_id, text) in order to chunk rows."""
 
-    def chunk(part: int, number: int, docs: list, ids: list[np.ndarray], size: int, kind: pa.DataType) -> pa.RecordBatch:
-        sizes = [len(i) for i in ids]
+    def chunk(part: int, number: int, names: list[pa.Array], counts: list[np.ndarray], ids: list[np.ndarray], size: int, kind: pa.DataType) -> pa.RecordBatch:
+        held, sizes, flat = pa.concat_arrays(names), np.concatenate(counts), np.concatenate(ids)
+        cut = pa.array([0, len(held)], pa.int32())
         row = [
-            pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(sizes)], pa.int64()),
-            pa.array([docs], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([rangecoder.pack(np.concatenate(ids), size)], pa.binary()),
+            pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()),
+            pa.ListArray.from_arrays(cut, held), pa.ListArray.from_arrays(cut, pa.array(sizes, pa.int32())), pa.array([rangecoder.pack(flat, size)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(row, names=["part", "chunk", "n_ids", "doc_ids", "sizes", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, number = _codec(path, plain), TaskContext.get().partitionId(), 0
-        docs, ids, held, kind = [], [], 0, pa.int64()
-        for batch in batches:
+        names, counts, ids, held = [], [], [], 0
+        kind = pa.int64()
+        for batch, texts in gathered(batches, 1):
             kind = batch.column(0).type
-            names = batch.column(0).to_pylist()
-            for name, found in zip(names, tool.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                docs.append(name)
-                ids.append(np.append(found, np.int32(END)))
-                held += len(ids[-1])
-                if held >= CHUNK_IDS:
-                    yield chunk(part, number, docs, ids, tool.size, kind)
-                    docs, ids, held, number = [], [], 0, number + 1
-        if docs:
-            yield chunk(part, number, docs, ids, tool.size, kind)
+            found, sizes = tool.encode_block(texts)
+            ends = np.cumsum(sizes)
+            names.append(batch.column(0))
+            counts.append(sizes + 1)
+            ids.append(np.insert(found, ends, END).astype(np.int32))
+            held += len(ids[-1])
+            if held >= CHUNK_IDS:
+                yield chunk(part, number, names, counts, ids, tool.size, kind)
+                names, counts, ids, held, number = [], [], [], 0, number + 1
+        if ids:
+            yield chunk(part, number, names, counts, ids, tool.size, kind)
 
     return run
 
@@ -134,11 +167,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(chunks: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document of a chunk table."""
-    spark = chunks.sparkSession
-    before = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.select("part", "chunk", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")  # a row for each CHUNK_IDS ids
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(old), 8) if int(old) > 0 else 8))
+    narrow = durable(chunks.select("part", "chunk", "n_ids"))
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = narrow.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead.orderBy("part")), F.lit(0)).alias("first"))  # a row a partition
+    within = F.coalesce(F.sum("n_ids").over(ahead.partitionBy("part").orderBy("chunk")), F.lit(0))
+    starts = narrow.select("part", "chunk", within.alias("within")).join(parts, "part").select("part", "chunk", (F.col("first") + F.col("within")).alias("start"))
+    starts = F.broadcast(starts) if narrow.count() <= BROADCAST_IDS else starts
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     rows = chunks.join(starts, ["part", "chunk"]).select("start", "doc_ids", "sizes", "payload")
     return rows.mapInArrow(_reader, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

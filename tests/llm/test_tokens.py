@@ -106,3 +106,49 @@ def test_blocks_are_independent_and_checked():
         rangecoder.unpack(bytes(data))
     with pytest.raises(ValueError, match="not a chunk"):
         rangecoder.unpack(b"abcd" + bytes(data[4:]))
+
+
+def real_ids(small, n=60):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(LIBRARY)
+    rows = small.orderBy("doc_id").limit(n).select("text").collect()
+    return np.concatenate([np.array([*tool.encode(r["text"] or "", add_special_tokens=False).ids, 0], np.int32) for r in rows])
+
+
+def test_real_ids_take_fewer_bits_than_zlib(small):
+    ids = real_ids(small, 200)
+    data = rangecoder.pack(ids, 50_257)
+    assert (rangecoder.unpack(data) == ids).all()
+    assert len(data) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
+def test_a_block_is_read_without_the_others(small, monkeypatch):
+    """A chunk's tables and one block's code are all that the block's ids need."""
+    ids = real_ids(small)[: 3 * rangecoder.BLOCK_IDS]
+    seen = {}
+    decode = rangecoder._decode
+    monkeypatch.setattr(rangecoder, "_decode", lambda data, sizes, tables: seen.update(data=data, sizes=sizes, tables=tables) or decode(data, sizes, tables))
+    rangecoder.unpack(rangecoder.pack(ids, 50_257))
+    whole = decode(seen["data"], seen["sizes"], seen["tables"])
+    alone = decode(seen["data"][1:2], seen["sizes"][1:2], seen["tables"])
+    assert (alone[:, 0] == whole[:, 1]).all()
+
+
+def test_memory_that_is_full_starts_anew(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    tool = bpe.Codec(bpe.read_ranks(MULTI), tokenizer_pattern())
+    for text in ("one two three", "four five six seven eight nine ten", "one  two \n three", "", " x"):
+        assert list(next(tool.encode([text]))) == reference.encode_ordinary(text)
+
+
+def test_session_settings_stay(small):
+    spark = small.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    token_files.read(token_files.write(small.limit(5), LIBRARY)).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (int(before), 256)
+
+
+def test_a_taken_column_name_is_an_error(small):
+    with pytest.raises(ValueError, match="already"):
+        bpe.encoded(small.withColumnRenamed("lang", "IDS"), MULTI, tokenizer_pattern())
