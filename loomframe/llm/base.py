@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Documents handed to a Python task at once; bounds a worker's memory.
-BATCH_DOCS = 256
+BATCH_DOCS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +32,17 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back, which cuts the lineage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``durable`` wrote for ``tables``, which nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of ids up to which a table of them is broadcast; beyond, both sides are shuffled.
@@ -41,7 +51,7 @@ BROADCAST_IDS = 500_000
 
 def among(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """``rows`` whose ``on`` is (left_semi) or isn't (left_anti) in ``ids``, a written table of one id column."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_IDS  # a written table's count comes from its footers
     return rows.join(F.broadcast(ids) if few else ids, on, how)
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable
-
-MAX_ROUNDS = 60
+from .base import discard, durable
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (a, b) with the least node that it reaches."""
     now = durable(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
-    for _ in range(MAX_ROUNDS):
-        now = durable(_stars(_stars(now, True), False))
+    while True:  # each round at least shortens the longest chain
+        before, now = now, durable(_stars(_stars(now, True), False))
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         last = state
-    raise RuntimeError("the components did not settle")

@@ -2,10 +2,12 @@
 
 A document's set holds its distinct word shingles.  Equal sets become one class.  A pair at or
 over the threshold shares one of its rarest shingles (its prefix), where shingles met in many
-prefixes come last in the order.  Index lists are ordered by set size, so that a set meets only
-the block of sets that are not too small; of the smaller set only the index part of the prefix
-counts.  A parity bitmap of each set bounds the difference of two sets from below and skips
-pairs without looking at them.
+prefixes come last in the order.  An index list is cut into blocks of sets of like size.  A set
+is sent only to the blocks whose sizes can be similar to its own, and to each of them only from
+the positions of its prefix from which enough elements are left for the block's smallest set; of
+the smaller set only the index part of the prefix is in a block.  Parity bitmaps of the sets, as
+long as the sets, bound the difference of two sets from below and skip pairs without reading
+their texts.
 
 In each list, sets that are near in the order are verified first and give groups.  Other pairs
 of a list are answered through their groups: with the Jaccard distance being a metric, the
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import among, durable, small_batches
+from .base import among, discard, durable, small_batches
 from .components import components
 from .words import hashed_words, scramble, shingle_set
 
@@ -56,10 +58,16 @@ def index_length(n: Column, percent: int) -> Column:
     return n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1
 
 
-def _parity(s: np.ndarray) -> list[int]:
-    """For each bit whether an odd number of elements falls on it."""
-    at = (scramble(s.view(np.uint64) ^ np.uint64(3)) & np.uint64(BITMAP - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITMAP) & 1).view(np.int64).tolist()
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of elements falls on it; a bit or more for an element."""
+    width = max(BITMAP, 1 << (len(s) - 1).bit_length())
+    at = (scramble(s.view(np.uint64) ^ np.uint64(3)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).view(np.int64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap of fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
 def _digest(s: np.ndarray, salt: int) -> int:
@@ -67,25 +75,27 @@ def _digest(s: np.ndarray, salt: int) -> int:
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray):
-    """Arrow batches of (doc_id, text) to (doc_id, n_shingles, d1, d2, masks, prefix)."""
+    """Arrow batches of (doc_id, text) to (doc_id, n_shingles, d1, d2, masks, bits, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, d1, d2, masks, prefix = [], [], [], [], []
+            sizes, d1, d2, masks, bits, prefix = [], [], [], [], [], []
             for _, words in hashed_words(batch.column(1).to_pylist()):
                 s = shingle_set(words, n)
                 sizes.append(len(s))
                 d1.append(_digest(s, 1))
                 d2.append(_digest(s, 2))
-                masks.append(_parity(s))
+                parity = _parity(s)
+                masks.append(_folded(parity, len(MASKS)).tolist())
+                bits.append(parity.tobytes())
                 if len(hot):
                     late = np.isin(s, hot, assume_unique=True)
                     s = np.concatenate([s[~late], s[late]])
                 prefix.append(s[: prefix_length(len(s), percent)] if len(s) else s.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *[pa.array([m[i] for m in masks], pa.int64()) for i in range(len(MASKS))], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", *MASKS, "prefix"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *[pa.array([m[i] for m in masks], pa.int64()) for i in range(len(MASKS))], pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", *MASKS, "bits", "prefix"])
 
     return run
 
@@ -94,7 +104,7 @@ def indexed(docs: DataFrame, n: int, percent: int, hot: np.ndarray | None = None
     small_batches(docs.sparkSession)
     hot = np.zeros(0, np.int64) if hot is None else hot
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_prefixes(n, percent, hot), f"doc_id {kind}, n_shingles long, d1 long, d2 long, {', '.join(f'{m} long' for m in MASKS)}, prefix array<long>")
+    return docs.mapInArrow(_prefixes(n, percent, hot), f"doc_id {kind}, n_shingles long, d1 long, d2 long, {', '.join(f'{m} long' for m in MASKS)}, bits binary, prefix array<long>")
 
 
 def _hot_shingles(index: DataFrame) -> np.ndarray:
@@ -121,6 +131,31 @@ def _compare(n: int):
     return run
 
 
+def _plausible(percent: int):
+    """Arrow batches of (a, b, n_a, bits_a, n_b, bits_b) to the pairs (a, b) whose bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                keep[i] = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= most[i]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def plausible(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sets' sizes and bitmaps don't rule out."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    sketch = lambda t: index.select(F.col("doc_id").alias(t), F.col("n_shingles").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
+    met = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return met.mapInArrow(_plausible(percent), f"a {kind}, b {kind}").distinct()
+
+
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b) with the exact common and own set sizes; where a doc_id has several texts, of each."""
     small_batches(pairs.sparkSession)
@@ -182,10 +217,11 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
 
     by_list = Window.partitionBy("h")
     mine = _index(texts, index, chosen, n, percent)
-    rows = mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "h"))
+    rows = mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "h"))
     several = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1").drop("many"))
-    masks = mine.select(F.col("doc_id").alias("d"), *MASKS)
-    shared = durable(several.join(masks, "d"))
+    sketches = durable(mine.select("doc_id", "n_shingles", *MASKS, "bits"))
+    shared = durable(several.join(sketches.select(F.col("doc_id").alias("d"), *MASKS), "d"))
+    discard(several, index, chosen)
 
     set_of = F.struct("n", "d", *MASKS)
     order = by_list.orderBy("n", "d").rowsBetween(-NEIGHBOURS, -1)
@@ -193,26 +229,42 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     fits = lambda y: (y["d"] != F.col("x.d")) & (100 * y["n"] >= percent * F.col("x.n")) & _bitmaps_fit(percent, F.col("x"), y)
     chain = chain.select(F.col("x.d").alias("d"), F.explode(F.transform(F.filter("ys", fits), lambda y: y["d"])).alias("e"))
     pairs = chain.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
-    first = durable(compared(pairs, texts, n).filter(similar(percent)).select("a", "b"))
-    return members, first.union(_across(shared, durable(components(first)), texts, n, percent))
+    first = durable(compared(plausible(pairs, sketches, percent), texts, n).filter(similar(percent)).select("a", "b"))
+    across = durable(_across(shared, sketches, durable(components(first)), texts, n, percent))
+    discard(shared, sketches)
+    return members, first.union(across)
+
+
+def _blocks(n: Column, percent: int) -> Column:
+    """The size block of a set: one that is similar enough and no larger is in the same block or in the one before."""
+    return F.floor(F.log(n) / F.lit(math.log(100 / percent) * (1 + 1e-9)))
 
 
-def _across(shared: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _across(shared: DataFrame, sketches: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different groups that meet in an index list."""
     rooted = durable(shared.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).drop("component"))
     mixed = rooted.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("h")
-    open_rows = durable(rooted.join(mixed, "h").select("h", F.struct("n", "d", "p", "root", *MASKS).alias("x"), (F.col("pos") < index_length(F.col("n"), percent)).alias("first")))
-    small = open_rows.filter("first").select("h", F.col("x").alias("y"))
+    open_rows = rooted.join(mixed, "h").withColumn("block", _blocks(F.col("n"), percent))
+    small = open_rows.filter(F.col("pos") < index_length(F.col("n"), percent)).select("h", "block", F.struct("n", "d", "root", *MASKS).alias("y"))
+    least = lambda block: F.greatest(F.ceil(percent * F.col("n") / 100), F.floor(F.exp(block * F.lit(math.log(100 / percent) * (1 + 1e-9)))))
+    aim = F.explode(F.sequence(F.col("block") - 1, F.col("block")))
+    # Of the elements from a position on, enough must be left to be similar to the block's least set.
+    reach = (F.col("n") - F.ceil(percent * (F.col("n") + least(F.col("aim"))) / (100 + percent)) + 1).cast("long")
+    aimed = open_rows.select("*", aim.alias("aim")).withColumn("reach", reach).filter(F.col("pos") < F.col("reach"))
+    large = aimed.select("h", F.col("aim").alias("block"), F.struct("n", "d", "root", "reach", *MASKS).alias("x"))
     order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.d") > F.col("y.d")))
     fits = order & (F.col("x.root") != F.col("y.root")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, F.col("x"), F.col("y"))
-    met = open_rows.join(small, "h").filter(fits)
-    counted = met.groupBy(*[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in ("d", "root", "n", "p")]).count()
-    # All common elements up to the end of the index part or prefix that ends first are counted.
-    most = F.col("count") + F.greatest(F.col("yn") - index_length(F.col("yn"), percent), F.col("xn") - F.col("xp"))
-    reach = counted.filter(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
-    turned = F.col("xroot") < F.col("yroot")
-    pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
-    near = durable(reach.select(pick("xroot", "yroot").alias("ra"), pick("yroot", "xroot").alias("rb"), pick("xd", "yd").alias("a"), pick("yd", "xd").alias("b")).distinct())
+    met = large.join(small, ["h", "block"]).filter(fits)
+    counted = met.groupBy(*[F.col(f"x.{c}").alias(f"x{c}") for c in ("d", "root", "n", "reach")], *[F.col(f"y.{c}").alias(f"y{c}") for c in ("d", "root", "n")]).count()
+    # All common elements up to the end of the index part or of what was sent, whichever ends first, are counted.
+    most = F.col("count") + F.greatest(F.col("yn") - index_length(F.col("yn"), percent), F.col("xn") - F.col("xreach"))
+    enough = counted.filter(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+    both = durable(enough.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b"), F.when(F.col("xd") < F.col("yd"), F.col("xroot")).otherwise(F.col("yroot")).alias("ra"), F.when(F.col("xd") < F.col("yd"), F.col("yroot")).otherwise(F.col("xroot")).alias("rb")).distinct())
+    left = both.join(plausible(both.select("a", "b"), sketches, percent), ["a", "b"])
+    turned = F.col("ra") > F.col("rb")
+    pick = lambda p, q: F.when(turned, F.col(p)).otherwise(F.col(q))
+    near = durable(left.select(pick("rb", "ra").alias("ra"), pick("ra", "rb").alias("rb"), pick("b", "a").alias("a"), pick("a", "b").alias("b")).distinct())
+    discard(rooted, both)
 
     # The roots' answers: their distance, and each member's distance to its root.
     roots = compared(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), texts, n)
