@@ -152,6 +152,7 @@ class Memory:
         self._forget()
 
     def _forget(self) -> None:
+        self.generation = object()  # another one whenever places change
         self.known = pa.array([], pa.large_string())
         self.ids, self.starts, self.counts, self.odd = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 

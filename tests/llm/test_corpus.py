@@ -114,12 +114,34 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def in_a_row(sequences):
+    return np.concatenate(sequences), np.array([len(s) for s in sequences])
+
+
+def test_attention_helps_on_held_out_texts(spark):
+    """The network learns from what stands before: without its attention it is worse on texts it hasn't seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tool = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    parts = {h: tool.laid_out(tool.read([r["text"] for r in docs.filter(f"crc32(cast(doc_id as string)) % 7 {'=' if h else '!='} 2").collect()])) for h in (False, True)}
+    flat, sizes, _ = parts[False]
+    model = lm.fit(flat, sizes, np.bincount(flat, minlength=tool.end + 1), tool.end, tool.starts)
+
+    def bits():
+        flat, sizes, lengths = parts[True]
+        last = np.flatnonzero(flat[np.cumsum(lengths) - 1] == tool.end)
+        return -lm.word_chances(model, flat, sizes, lengths, last).mean() / math.log10(2)
+
+    with_attention = bits()
+    model.weights["o"][:] = 0
+    assert with_attention < bits() - 0.1
+
+
 def test_network_chances_sum_to_one_and_look_back_only():
     rng = np.random.default_rng(1)
     sequences = [np.append(rng.integers(0, 40, 30), 50).astype(np.int32) for _ in range(20)]
     counts = np.bincount(np.concatenate(sequences), minlength=51)
-    model = lm.fit(sequences, counts, 50, np.ones(51, bool), steps=20, batch=256)
-    one = lambda s: np.concatenate(lm.word_chances(model, [s], [np.ones(len(s), np.int64)]))
+    model = lm.fit(*in_a_row(sequences), counts, 50, np.ones(51, bool), steps=20, batch=256)
+    one = lambda s: lm.word_chances(model, s, np.array([len(s)]), np.ones(len(s), np.int64), np.array([len(s) - 1]))
     base = sequences[0]
     last = [one(np.append(base[:12], k).astype(np.int32))[12] for k in range(51)]
     assert sum(10.0**x for x in last) == pytest.approx(1, abs=1e-3)
@@ -133,34 +155,39 @@ def test_word_chances_sum_to_one():
     rng = np.random.default_rng(5)
     starts = np.array([True] * 4 + [False] * 2 + [True])
     sequences = [np.array([x for _ in range(8) for x in ([int(rng.integers(0, 4))] + [int(rng.integers(4, 6))] * int(rng.integers(0, 2)))] + [6], np.int32) for _ in range(30)]
-    model = lm.fit(sequences, np.bincount(np.concatenate(sequences), minlength=7), 6, starts, steps=30, batch=128)
+    model = lm.fit(*in_a_row(sequences), np.bincount(np.concatenate(sequences), minlength=7), 6, starts, steps=30, batch=128)
 
     def chance(word):  # of the word as a text's first, followed by any word
         ids = np.array([*word, 0, 6], np.int32)
-        return 10.0 ** lm.word_chances(model, [ids], [np.array([len(word), 1, 1])])[0][0]
+        return 10.0 ** lm.word_chances(model, ids, np.array([len(ids)]), np.array([len(word), 1, 1]), np.array([2]))[0]
 
     by_length = [sum(chance((s, *rest)) for s in range(4) for rest in np.ndindex(*[2] * k) for rest in [tuple(r + 4 for r in rest)]) for k in range(5)]
-    end = 10.0 ** lm.word_chances(model, [np.array([6], np.int32)], [np.array([1])])[0][0]
+    end = 10.0 ** lm.word_chances(model, np.array([6], np.int32), np.array([1]), np.array([1]), np.array([0]))[0]
     assert sum(by_length) + end < 1.0001 and sum(by_length) + end > 0.97
 
 
 def test_gradients():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 9, 14).astype(np.int32) for _ in range(3)]
-    model = lm.fit(sequences, np.bincount(np.concatenate(sequences), minlength=10), 9, np.ones(10, bool), steps=3, batch=64)
+    model = lm.fit(*in_a_row(sequences), np.bincount(np.concatenate(sequences), minlength=10), 9, np.ones(10, bool), steps=3, batch=64)
     w = {n: a.astype(np.float64) for n, a in model.weights.items()}
-    inputs, targets, _ = lm._layout(sequences, 9)
+    inputs, targets = lm._layout(*in_a_row(sequences), 9)
     real = inputs >= 0
     rows = np.where(real, model.input_of[inputs], lm.INPUTS - 1)
     at = np.flatnonzero(real)
     goal = model.class_of[targets][at]
-    _, g = lm._step(w, rows, real, goal, at)
-    for name in ("q", "k", "v", "o", "up", "down", "head", "near", "embed"):
+    g = lm._gradients(w, rows, real, goal, at)
+
+    def loss():
+        logits = lm._logits(w, lm._forward(w, rows, real)["out"][at])
+        return np.mean(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(at)), goal])
+
+    for name in ("qkv", "o", "up", "down", "head", "near", "embed"):
         place = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         moved = {}
         for d in (1e-4, -1e-4):
             w[name][place] += d
-            moved[d] = lm._step(w, rows, real, goal, at)[0]
+            moved[d] = loss()
             w[name][place] -= d
         assert (moved[1e-4] - moved[-1e-4]) / 2e-4 == pytest.approx(g[name][place], rel=0.05, abs=1e-5)
 
