@@ -42,6 +42,22 @@ def time_value(raw: Column) -> Column:
     )
 
 
+def with_time(df: DataFrame, name: str, into: str) -> DataFrame:
+    """``df`` with the time values of a column as a struct ``into``.
+
+    Each distinct text is parsed once and joined back; such texts are few, so the join is a
+    broadcast where adaptive execution sees that they are.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        d = F.col(name)
+        return df.withColumn(into, F.when(d.isNotNull(), F.struct(F.lit("day").alias("granularity"), F.year(d).alias("year"), F.lit(None).cast("int").alias("quarter"), F.month(d).alias("month"), F.day(d).alias("day"))))
+    text = F.col(name).cast("long").cast("string") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name).cast("string")
+    raw = f"{into}_raw"
+    known = df.select(text.alias(raw)).distinct().select(raw, time_value(F.col(raw)).alias(into)).filter(F.col(into).isNotNull())
+    return df.withColumn(raw, text).join(known, raw, "left").drop(raw)
+
+
 def granularity(raw: Column) -> Column:
     return F.coalesce(time_value(raw)["granularity"], F.lit("unknown"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions.timeparse import time_value
+from ..functions.timeparse import with_time
 
 FINER = ("month", "quarter", "day")
 METHODS = ("mean", "sum", "min", "max", "median", "first", "last", "weighted_mean", "none")
@@ -39,9 +39,8 @@ def to_year(df: DataFrame, time_col: str, methods: Mapping[str, str], group: Seq
     Rows of months, quarters and days are aggregated; plain years too unless ``keep_years`` is
     off.  Rows whose time doesn't parse are left out.
     """
-    v = time_value(F.col(time_col))
     kinds = [*FINER, "year"] if keep_years else list(FINER)
-    rows = df.withColumn("_time", v).filter(F.col("_time.granularity").isin(kinds))
+    rows = with_time(df, time_col, "_time").filter(F.col("_time.granularity").isin(kinds))
     at = F.struct("_time.year", "_time.quarter", "_time.month", "_time.day", *[F.col(c) for c in order])
     return rows.groupBy(*group, F.col("_time.year").alias("year")).agg(*[method_expr(c, m, at, weight).alias(c) for c, m in methods.items()])
 

@@ -17,6 +17,7 @@ PLACE_NAMES = ("country", "country_name", "nation", "country_code", "iso3", "iso
 ID_NAMES = ("id", "uid", "objectid", "fid")
 NUMBER_TEXT = r"^[\d.,\-]+$"
 
+QUARTERS = (0.25, 0.5, 0.75)
 #: Columns profiled in one aggregate, so that its expression stays small for wide frames.
 AT_ONCE = 50
 
@@ -25,39 +26,58 @@ def _is_number(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.NumericType)
 
 
-def _facts(df: DataFrame, c: str, exact: bool) -> Column:
+def _facts(df: DataFrame, c: str, sketched: bool) -> Column:
     number = _is_number(df, c)
     value = F.col(c).cast("double") if number else text_of(df, c)
     null = F.lit(None).cast("double")
-    distinct = F.count_distinct(value) if exact else F.approx_count_distinct(value)
     return F.struct(
         F.lit(c).alias("column_name"),
         F.lit(df.schema[c].dataType.simpleString()).alias("type"),
         F.lit(number).alias("is_numeric"),
         F.count("*").alias("n_rows"),
         F.count_if(value.isNull()).alias("n_null"),
-        distinct.alias("n_unique"),
+        *([F.approx_count_distinct(value).alias("n_unique")] if sketched else []),
         (F.min(value) if number else null).alias("v_min"),
         (F.max(value) if number else null).alias("v_max"),
         (F.avg(value) if number else null).alias("mean"),
-        (F.percentile(value, [0.25, 0.5, 0.75]) if number and exact else F.percentile_approx(value, [0.25, 0.5, 0.75]) if number else F.lit(None).cast("array<double>")).alias("q"),
+        *([(F.percentile_approx(value, list(QUARTERS)) if number else F.lit(None).cast("array<double>")).alias("q")] if sketched else []),
         (null if number else F.avg(value.rlike(NUMBER_TEXT).cast("double"))).alias("number_text"),
         (null if number else F.avg(value.rlike(r"[\x{4e00}-\x{9fff}]").cast("double"))).alias("han_text"),
     ).alias(c)
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """A row a column: nulls, distinct values, range, quartiles, text patterns and hints.
-
-    ``exact`` counts distinct values and takes quartiles exactly; otherwise both are sketched,
-    which needs no expansion of rows and suits very wide or very large frames.
-    """
-    names = list(columns or df.columns)
+def _one_pass(df: DataFrame, names: Sequence[str], sketched: bool) -> DataFrame:
     out = None
     for at in range(0, len(names), AT_ONCE):
         part = names[at : at + AT_ONCE]
-        row = df.agg(*[_facts(df, c, exact) for c in part]).select(F.explode(F.array(*part)).alias("x")).select("x.*")
+        row = df.agg(*[_facts(df, c, sketched) for c in part]).select(F.explode(F.array(*part)).alias("x")).select("x.*")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _exact(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, n_unique, q): exact, from the counts of each column's values, a shuffle a column."""
+    out = None
+    for c in names:
+        number = _is_number(df, c)
+        counts = df.select((F.col(c).cast("double") if number else text_of(df, c)).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+        q = F.percentile("v", list(QUARTERS), F.col("n")) if number else F.lit(None).cast("array<double>")
+        row = counts.agg(F.count("*").alias("n_unique"), q.alias("q")).select(F.lit(c).alias("column_name"), "n_unique", "q")
         out = row if out is None else out.union(row)
+    return out
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+    """A row a column: nulls, distinct values, range, quartiles, text patterns and hints.
+
+    Distinct values and quartiles are sketched in the one pass that gives the rest.  With
+    ``exact`` they come from the counts of each column's values, so a column's distinct numbers
+    meet in one task's memory: for frames where that is wanted and fits.
+    """
+    names = list(columns or df.columns)
+    out = _one_pass(df, names, not exact)
+    if exact:
+        out = out.join(F.broadcast(_exact(df, names)), "column_name")  # a row a column
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return out.select(
         "column_name", "type", "is_numeric", "n_rows", "n_null",

@@ -12,7 +12,7 @@ WEIGHTS = {"topic": 0.5, "variables": 3.0, "unit": 1.5, "time": 1.5, "geography"
 TRUST = {"international": 1.0, "official": 0.9, "academic": 0.7, "nonprofit": 0.6, "community": 0.4, "commercial": 0.3}
 RANKS = {"international": 5, "official": 4, "academic": 3, "nonprofit": 3, "community": 2, "commercial": 1}
 ACCESS = {"PUBLIC_ANONYMOUS_API": 1.0, "PUBLIC_ANONYMOUS_HTTP": 0.9}
-OPEN_LICENSE = r"(?i)\bcc[- ]?by\b(?![- ]?n[cd])|cc0|public domain|odbl|ogl|open"
+OPEN_LICENSE = r"(?i)cc0|cc-?by(?!-nc|-nd)|pddl|odc-by|public domain|usgov|ogl|etalab|open"
 
 
 def _map(values: dict, key: Column, default) -> Column:

@@ -26,10 +26,10 @@ def wide_to_long(df: DataFrame, year: str = "year", value: str = "value") -> Dat
     return same.unpivot(ids, years, year, value).withColumn(year, F.col(year).cast("int"))
 
 
-def text_of(df: DataFrame, name: str, most: int = 500) -> Column:
-    """A column as text; nested values as JSON of at most ``most`` characters."""
+def text_of(df: DataFrame, name: str) -> Column:
+    """A column as text; nested values as their whole JSON, so that different values stay different."""
     if isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType)):
-        return F.substring(F.to_json(F.col(name)), 1, most)
+        return F.to_json(F.col(name))
     return F.col(name).cast("string")
 
 

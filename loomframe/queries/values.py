@@ -166,20 +166,20 @@ def _profile_sql(tab, cols):
 
 @query(_profile_sql("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def profile_lineitem(spark, sf):
-    out = profile.profile(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    out = profile.profile(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], exact=True)
     return out.select("column_name", "n_rows", "n_null", "n_unique", "v_min", "v_max", "q25", "q50", "q75")
 
 
 @query("SELECT 'c_custkey' AS column_name, false AS likely_time, false AS likely_place, false AS likely_id, true AS likely_key UNION ALL SELECT 'country', false, true, false, false UNION ALL SELECT 'fiscal_year', true, false, false, false UNION ALL SELECT 'branch_id', false, false, true, true")
 def profile_roles(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("country"), F.lit(2020).alias("fiscal_year"), F.col("c_custkey").alias("branch_id"))
-    return profile.roles(profile.profile(rows))
+    return profile.roles(profile.profile(rows, exact=True))
 
 
 @query("SELECT 'lang' AS column_name, false AS numeric_text, false AS han_text, true AS categorical UNION ALL SELECT 'code', true, false, false UNION ALL SELECT 'han', false, true, true")
 def profile_string_patterns(spark, sf):
     rows = table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("code"), F.when(F.col("doc_id") % 2 == 0, "城市").otherwise("年份").alias("han"))
-    return profile.profile(rows).select("column_name", "numeric_text", "han_text", "categorical")
+    return profile.profile(rows, exact=True).select("column_name", "numeric_text", "han_text", "categorical")
 
 
 @query("SELECT * FROM (VALUES ('gdp', false, 3, ''), ('rate', true, 0, 'x * 100'), ('sex', true, 0, 'recode {''0'': ''M'', ''1'': ''F''}')) t(name, compatible, n_issues, conversion)")

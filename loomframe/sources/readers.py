@@ -70,15 +70,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> So
     skip = preamble_of(text)
     sep = sep or delimiter_of("\n".join(text.splitlines()[skip:]))
     meta = {"encoding": encoding, "separator": sep, "skipped_lines": skip}
-    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", True).option("mode", "DROPMALFORMED")
+    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", True)  # short rows end in nulls
     if skip:
-        lines = spark.read.option("encoding", encoding).text(path)
-        first = text.splitlines()[skip]
-        before = set(text.splitlines()[:skip])
-        rows = lines.filter(~F.col("value").isin(*before)).select("value")
-        names = [n.strip().strip('"') for n in first.split(sep)]
+        lines = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("at"))
+        names = [n.strip().strip('"') for n in text.splitlines()[skip].split(sep)]
         schema = ", ".join(f"`{n}` string" for n in names)
-        parsed = rows.filter(F.col("value") != first).select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
+        rows = lines.filter(F.col("at") > skip)  # a file's first lines are the first of its first partition
+        parsed = rows.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
         return Source(path, "csv", parsed, meta)
     if encoding != "utf-8":
         reader = reader.option("encoding", encoding)

@@ -133,3 +133,20 @@ def test_exports_have_codes(spark, tmp_path):
         sinks.export(spark.range(1), "docx", str(tmp_path / "x"))
     assert e.value.code == "EXPORT_UNSUPPORTED_FORMAT"
     assert subprocess.run([sys.executable, "-c", "import loomframe.sources.sinks"], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_short_rows_and_rows_like_the_header_are_kept(spark, tmp_path):
+    plain = tmp_path / "plain.csv"
+    plain.write_text("a,b\n1,2\n3\n4,5\n")
+    assert sorted(tuple(r) for r in readers.read_delimited(spark, str(plain)).df.collect()) == [(1, 2), (3, None), (4, 5)]
+    preamble = tmp_path / "preamble.csv"
+    preamble.write_text("About these data\nSource: none\na,b,c,d\n1,2,3,4\na,b,c,d\nSource: none\n5,6,7,8\n")
+    rows = [tuple(r) for r in readers.read_delimited(spark, str(preamble)).df.collect()]
+    assert ("a", "b", "c", "d") in rows and len(rows) == 4
+
+
+def test_long_nested_values_are_compared_whole(spark):
+    from loomframe.operators import validate
+
+    rows = spark.createDataFrame([([1] * 600 + [2],), ([1] * 600 + [3],)], "v array<int>")
+    assert validate.check_duplicates(rows).count() == 0 and validate.check_constant(rows).count() == 0
