@@ -1,22 +1,29 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 Unit vectors are centred, projected on their principal axes and turned by a learned rotation
-whose signs make balanced bits.  Runs of ``bits`` bits index Hamming tables; several rotations,
-from different starts, give as many tables as a pair at the threshold needs to meet in one with
-probability ``recall``: of an angle a, a bit differs with probability a / pi.  Vectors that meet
-are compared with their original values.
-
-Bits grow with the number of vectors, so buckets stay small; a bucket of many vectors is cut
-into blocks, and block pairs are compared by tasks of their own.  No pair is emitted: a task
-returns each vector's number of links and one edge to the least vector of its local group.  A
-pair that meets in several tables counts in the first.
+whose signs make balanced bits.  Runs of ``bits`` bits index Hamming tables.  A table is probed
+within a Hamming radius of one: a vector stands in its own bucket, and in each bucket that has
+one bit more, so that two vectors meet once in a table if their bits there differ in one place
+at most.  Of an angle a, a bit differs with probability a / pi; there are as many tables (from
+several rotations, where one has too few bits) as a pair at the threshold needs to meet with
+probability ``recall``.
+
+Only ids and codes are shuffled to the tables.  Vectors with a neighbour in their bucket whose
+whole code is near enough (five standard deviations beyond what a pair at the threshold has)
+then meet with their original values.  A bucket of many such vectors is cut into blocks, and
+block pairs are compared by tasks of their own.  No pair is emitted: a task returns each
+vector's number of links and one edge to the least vector of its local group.  A pair that
+meets in several tables counts in the first.
 
 The rotations are fit on at most ``max_fit`` vectors drawn by hash; every vector is indexed.
+Bits follow the logarithm of the number of vectors, so that buckets stay small, and tables
+follow from bits and recall.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with
-nothing; equal vectors are one class, compared once and linked with each other; shorter vectors
-are padded with zeros; a null vec_id links with nothing and has a null component and is not
-kept; an empty table gives an empty result; other columns are not read.
+nothing; equal vectors are one class, compared once and linked with each other; rows that share
+a vec_id are vectors of their own, whose component is that of the id; shorter vectors are padded
+with zeros; a null vec_id links with nothing and has a null component and is not kept; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,20 +63,36 @@ def fit_rotations(x: np.ndarray, n_bits: int, rotations: int, steps: int = 40, s
     return out
 
 
+def differing(threshold: float) -> float:
+    """The chance that a bit differs between two vectors at the threshold."""
+    return math.acos(threshold) / math.pi
+
+
 def n_tables(bits: int, threshold: float, recall: float) -> int:
-    """Tables of ``bits`` bits in one of which a pair at the threshold agrees with probability ``recall``."""
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    """Tables of ``bits`` bits in one of which a pair at the threshold differs in a bit at most, with probability ``recall``."""
+    p = differing(threshold)
+    near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1 - near, 1e-12))))
+
+
+def code_radius(width: int, threshold: float) -> int:
+    """Differing bits of ``width`` that a pair at the threshold all but never passes."""
+    p = differing(threshold)
+    return math.ceil(width * p + 5 * math.sqrt(width * p * (1 - p)))
 
 
-def table_keys(x: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
-    """Each vector's bucket in each table."""
+def table_keys(x: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's bucket in each table, and its code: up to 64 bits of the first rotation."""
     weights = (1 << np.arange(bits)).astype(np.int64)
-    keys = []
+    keys, code = [], None
     for mean, p in planes:
         signs = (x - mean) @ p >= 0
+        if code is None:
+            wide = np.zeros((len(x), 64), bool)
+            wide[:, : min(64, signs.shape[1])] = signs[:, :64]
+            code = np.packbits(wide, axis=1).view(np.int64)[:, 0]
         keys += [signs[:, at : at + bits] @ weights for at in range(0, signs.shape[1] - bits + 1, bits)]
-    return np.stack(keys[:tables], axis=1)
+    return np.stack(keys[:tables], axis=1), code
 
 
 def _unit(lists: list[list[float]], dim: int) -> np.ndarray:
@@ -80,15 +103,71 @@ def _unit(lists: list[list[float]], dim: int) -> np.ndarray:
 
 
 def _indexer(planes, bits: int, tables: int, dim: int):
+    """Classes (cid, rep, mult, e) with their unit vectors, codes and buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(batch.column(3).to_pylist(), dim)
-            keys = table_keys(x, planes, bits, tables)
-            vectors = pa.array([v.tobytes() for v in x], pa.binary())
+            keys, code = table_keys(x, planes, bits, tables)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), vectors, lists], names=["cid", "rep", "mult", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([v.tobytes() for v in x], pa.binary()), pa.array(code), lists], names=["cid", "rep", "mult", "v", "code", "keys"])
+
+    return run
+
+
+def _finder(radius: int):
+    """Sorted rows (t, bucket, own, cid, code) to the rows (t, bucket, cid) that have a neighbour by their codes.
+
+    Of a bucket of more than BLOCK rows all pass: it is compared by its vectors, block by block.
+    """
+
+    def near(own: np.ndarray, code: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(code[own][:, None] ^ code[None, :]) <= radius
+        rows = np.flatnonzero(own)
+        apart[np.arange(len(rows)), rows] = False
+        out = apart.any(axis=0)
+        out[rows] |= apart.any(axis=1)
+        return out
+
+    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3)], names=["t", "bucket", "cid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            t, bucket, own, cid, code = (table.column(i).to_numpy() for i in range(5))
+            code = code.view(np.uint64)
+            cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(bucket) != 0)) + 1
+            keep = np.zeros(len(t), bool)
+            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(t)).tolist(), strict=True):
+                if b - a > 1 and own[a:b].any():
+                    keep[a:b] = near(own[a:b], code[a:b])
+            return pa.RecordBatch.from_arrays([pa.array(t[keep], pa.int32()), pa.array(bucket[keep]), pa.array(cid[keep])], names=["t", "bucket", "cid"])
+
+        passing = None  # a bucket that is too full to be held: all its rows pass
+        for batch in batches:
+            t, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if passing is not None and len(t):
+                on = int(((t == passing[0]) & (bucket == passing[1])).sum())
+                yield passed(batch.slice(0, on))
+                batch, t, bucket = batch.slice(on), t[on:], bucket[on:]
+            if not len(t):
+                continue
+            passing, last = None, (int(t[-1]), int(bucket[-1]))
+            ahead = np.flatnonzero((t != last[0]) | (bucket != last[1]))  # the last bucket may go on in the next batch
+            end = int(ahead[-1]) + 1 if len(ahead) else 0
+            if end or (held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != last):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held = []
+            held.append(batch.slice(end))
+            if sum(h.num_rows for h in held) > BLOCK:
+                yield from map(passed, held)
+                passing, held = last, []
+        if held:
+            yield found(pa.Table.from_batches(held))
 
     return run
 
@@ -106,20 +185,23 @@ def _local_groups(linked: np.ndarray) -> np.ndarray:
 
 def _bucket(rows: list[tuple], threshold: float) -> list[tuple[int, int, int, int]]:
     """(cid, rep, links, rep of the local group) of one bucket's or block pair's rows."""
-    t, i, j = rows[0][0], rows[0][2], rows[0][3]
+    t, bucket, i, j = rows[0][:4]
     rows = sorted(rows, key=lambda r: (r[6], r[5]))
     x = np.frombuffer(b"".join(r[8] for r in rows), np.float64).reshape(len(rows), -1)
     keys = np.array([r[9] for r in rows])
     mult = np.array([r[7] for r in rows], np.int64)
     linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
+    own = keys[:, t] == bucket
+    linked &= own[:, None] | own[None, :]  # two that both came from beside the bucket may differ in two bits
     if i != j:
         block = np.array([r[4] for r in rows])
         linked &= block[:, None] != block[None, :]
     a, b = np.nonzero(linked)
     if not len(a):
         return []
-    first = np.concatenate([(keys[a[k : k + 100_000]] == keys[b[k : k + 100_000]]).argmax(axis=1) for k in range(0, len(a), 100_000)]) == t
+    apart = [np.bitwise_count((keys[a[k : k + 100_000]] ^ keys[b[k : k + 100_000]]).view(np.uint64)) <= 1 for k in range(0, len(a), 100_000)]
+    first = np.concatenate([x.argmax(axis=1) for x in apart]) == t
     links = np.bincount(a[first], mult[b[first]], minlength=len(rows)).astype(np.int64)
     root = _local_groups(linked)
     return [(rows[k][5], rows[k][6], int(links[k]), rows[root[k]][6]) for k in range(len(rows)) if links[k] or root[k] != k]
@@ -157,25 +239,28 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     zero = ~F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     good = F.coalesce(F.col("id").isNotNull() & e.isNotNull() & ~bad & ~zero, F.lit(False))
-    classes = durable(rows.filter(good).groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("mult")).select(F.xxhash64("e").alias("cid"), "rep", "mult", "e"))
+    classes = durable(rows.filter(good).groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("mult")).select(F.monotonically_increasing_id().alias("cid"), "rep", "mult", "e"))
     n, dim = classes.agg(F.count("*"), F.max(F.size("e"))).first()
     empty = rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     if not n:
         return empty
 
-    bits = max(8, min(30, math.ceil(math.log2(n + 1))))
-    sample = classes.orderBy(F.xxhash64("cid", F.lit(1))).limit(max_fit)
+    bits = max(8, math.ceil(math.log2(n + 1)))
+    sample = classes.orderBy(F.xxhash64("e", F.lit(1))).limit(max_fit)
     x = _unit([r[0] for r in sample.select("e").toLocalIterator()], dim)  # max_fit vectors at most
     x = x if len(x) > 1 else np.vstack([x, -x])
-    width = max(dim, bits) if dim >= bits else dim
-    bits = min(bits, width)
+    bits = min(bits, dim, 62)
     tables = n_tables(bits, threshold, recall)
-    planes = fit_rotations(x, width, math.ceil(tables / (width // bits)))
-
-    index = durable(classes.mapInArrow(_indexer(planes, bits, tables, dim), "cid long, rep long, mult long, v binary, keys array<long>"))
-    entries = index.select("cid", "rep", F.posexplode("keys").alias("t", "bucket"))
-    crowded = durable(entries.groupBy("t", "bucket").agg(F.count("*").alias("many")).filter("many > 1").select("t", "bucket", F.ceil(F.col("many") / BLOCK).cast("int").alias("cuts")))
-    full = index.select("cid", "rep", "mult", "v", "keys", F.posexplode("keys").alias("t", "bucket")).join(crowded, ["t", "bucket"])
+    planes = fit_rotations(x, dim, math.ceil(tables / (dim // bits)))
+
+    index = durable(classes.mapInArrow(_indexer(planes, bits, tables, dim), "cid long, rep long, mult long, v binary, code long, keys array<long>"))
+    at = index.select("cid", "code", F.posexplode("keys").alias("t", "key"))
+    one = F.lit(1).cast("long")
+    beside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.col("key").bitwiseOR(F.call_function("shiftleft", one, b))), lambda k: k != F.col("key"))
+    probes = at.select("t", F.explode(F.concat(F.array("key"), beside)).alias("bucket"), "key", "cid", "code").select("t", "bucket", (F.col("key") == F.col("bucket")).alias("own"), "cid", "code")
+    met = durable(probes.repartition("t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(_finder(code_radius(min(dim, 64), threshold)), "t int, bucket long, cid long"))
+    crowded = met.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    full = met.join(crowded, ["t", "bucket"]).join(index.drop("code"), "cid")
     block = F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")
     at = full.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     at = at.select("t", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "rep", "mult", "v", "keys")

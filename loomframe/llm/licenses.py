@@ -1,17 +1,20 @@
 """License scan: MinHash bands over overlapping windows of words, then exact containment.
 
-Templates are grouped by length.  For each group, windows of words slide over the text so that
-every occurrence of a template lies whole in one of them.  A band is one minimum over the
-window's five-word shingles; a window whose minimum is a template's in any band is a candidate.
-The number of bands follows from the least similarity that a window with 0.8 of a template can
-have, so that it is missed with probability MISS at most.  A candidate is verified by the exact
-share of the template's shingles that the window holds.
+Templates of any length are grouped with those of like length.  For each group, windows of words
+slide over the text so that every occurrence of a template, with up to half of its length put in
+between, lies whole in one of them.  A band is one minimum over the window's shingles; a window
+whose minimum is a template's in any band is a candidate.  The number of bands follows from the
+least similarity that a window with 0.8 of a template can have, so that it is missed with
+probability MISS at most.  A candidate is verified by the exact share of the template's shingles
+that the window holds.  Shingles have five words; a template of fewer words is one shingle.
 
 Words are compared without case and ASCII punctuation.
 
-Defined cases: null, empty and short texts match nothing; a template that occurs several times
-gives one row with the number of its places; equal texts give equal rows; rows are scanned one
-by one, so repeated rows are repeated; other columns are not read.
+Defined cases: null and empty texts match nothing, nor do texts shorter than a template's
+shingle; a template without words is an error; a text of any length is scanned whole; a template
+that occurs several times gives one row with the number of its places; equal texts give equal
+rows; rows are scanned one by one, so repeated rows are repeated; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +34,17 @@ from .words import hashed_blocks, shingles
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
-#: Lengths in words up to which templates share a window.
-LENGTHS = (6, 9, 16, 40, 120, 400, 1600)
+#: How much longer than its shortest template a group's longest may be, and the room for words put in.
+LIKE, ROOM = 2.0, 1.5
 BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-_ODD = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
 _TOP = np.uint64(48)
 
+
+def _odd(n: int) -> np.ndarray:
+    """Odd multipliers, one a band."""
+    return np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
+
+
 # Notices and opening passages of public licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -59,12 +67,14 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class Group:
-    """Templates of like length: window stride and length, and for each band the minima."""
+    """Templates of like length: words of a shingle, window stride and length in words, and for each band the minima."""
 
+    shingle: int
     stride: int
     window: int
     names: tuple[str, ...]
     sets: tuple[np.ndarray, ...]
+    odd: np.ndarray
     minima: np.ndarray  # bands x templates
     marks: np.ndarray  # bands x 65536: leading bits of the minima
 
@@ -78,24 +88,31 @@ def _words(text: str) -> np.ndarray:
 
 
 def prepared(templates: Mapping[str, str], containment: float = CONTAINMENT) -> list[Group]:
-    words = {name: _words(text) for name, text in templates.items()}
-    out, low = [], SHINGLE
-    for high in LENGTHS:
-        names = tuple(n for n, w in words.items() if low <= len(w) <= high)
-        if names:
-            stride = max(1, (low + 1) // 3)
-            window = -(-(high + stride - 1) // stride) * stride
-            sets = tuple(np.unique(shingles(words[n], SHINGLE)) for n in names)
-            inside = window - SHINGLE + 1
-            least = min(containment * len(s) / (inside + (1 - containment) * len(s)) for s in sets)
-            bands = min(bands_needed(least), len(_ODD))
-            minima = np.array([[(s * _ODD[k]).min() for s in sets] for k in range(bands)], np.uint64)
-            marks = np.zeros((bands, 1 << 16), bool)
-            for k in range(bands):
-                marks[k, (minima[k] >> _TOP).astype(np.int64)] = True
-            out.append(Group(stride, window, names, sets, minima, marks))
-        low = high + 1
-    return out
+    words = sorted(((name, _words(text)) for name, text in templates.items()), key=lambda x: len(x[1]))
+    if words and not len(words[0][1]):
+        raise ValueError(f"template {words[0][0]!r} has no words")
+    groups: list[list[tuple[str, np.ndarray]]] = []
+    for name, w in words:
+        low = len(groups[-1][0][1]) if groups else 0
+        like = len(w) <= LIKE * low and min(len(w), SHINGLE) == min(low, SHINGLE)
+        groups[-1].append((name, w)) if like else groups.append([(name, w)])
+    return [_group(g, containment) for g in groups]
+
+
+def _group(members: list[tuple[str, np.ndarray]], containment: float) -> Group:
+    low, high = len(members[0][1]), len(members[-1][1])
+    n = min(low, SHINGLE)
+    stride = max(1, (low + 1) // 3)
+    window = -(-(math.ceil(high * ROOM) + stride - 1) // stride) * stride
+    sets = tuple(np.unique(shingles(w, n)) for _, w in members)
+    inside = window - n + 1
+    bands = bands_needed(min(containment * len(s) / (inside + (1 - containment) * len(s)) for s in sets))
+    odd = _odd(bands)
+    minima = np.array([[(s * k).min() for s in sets] for k in odd], np.uint64)
+    marks = np.zeros((bands, 1 << 16), bool)
+    for k in range(bands):
+        marks[k, (minima[k] >> _TOP).astype(np.int64)] = True
+    return Group(n, stride, window, tuple(name for name, _ in members), sets, odd, minima, marks)
 
 
 def _window_minima(h: np.ndarray, g: Group) -> np.ndarray:
@@ -110,37 +127,39 @@ def _window_minima(h: np.ndarray, g: Group) -> np.ndarray:
     else:
         low = full.reshape(n, g.stride).min(axis=1)
     out = low.copy()
-    for k in range(1, min(-(-(g.window - SHINGLE + 1) // g.stride), n)):
+    for k in range(1, min(-(-(g.window - g.shingle + 1) // g.stride), n)):
         np.minimum(out[: n - k], low[k:], out=out[: n - k])
     return out
 
 
 def _matches(words: np.ndarray, cut: np.ndarray, groups: list[Group], containment: float):
     """(text, template, containment, first word, last word, places) of a block of texts."""
-    if len(words) < SHINGLE:
-        return
-    s = shingles(words, SHINGLE)
+    found: dict[tuple[int, str], list] = {}
+    hashed = {n: shingles(words, n) for n in {g.shingle for g in groups} if len(words) >= n}
+    products: dict[tuple[int, int], np.ndarray] = {}
     candidates: set[tuple[int, int, int]] = set()
-    for k in range(max(len(g.minima) for g in groups)):
-        h = s * _ODD[k]
+    for k in range(max((len(g.odd) for g in groups), default=0)):
+        products.clear()
         for gi, g in enumerate(groups):
-            if k >= len(g.minima):
+            if k >= len(g.odd) or g.shingle not in hashed:
                 continue
-            m = _window_minima(h, g)
-            for w in np.flatnonzero(g.marks[k, (m >> _TOP).astype(np.int64)]):
+            key = (g.shingle, int(g.odd[k]))
+            if key not in products:
+                products[key] = hashed[g.shingle] * g.odd[k]
+            m = _window_minima(products[key], g)
+            for w in np.flatnonzero(g.marks[k].take((m >> _TOP).astype(np.int64))):
                 candidates.update((gi, int(w) * g.stride, int(t)) for t in np.flatnonzero(g.minima[k] == m[w]))
-    found: dict[tuple[int, str], list] = {}
     for gi, start, t in sorted(candidates):
         g = groups[gi]
-        span = s[start : start + g.window - SHINGLE + 1]
+        span = hashed[g.shingle][start : start + g.window - g.shingle + 1]
         at = np.flatnonzero(np.isin(span, g.sets[t]))
         texts = np.searchsorted(cut, start + at, side="right") - 1
-        ends = np.searchsorted(cut, start + at + SHINGLE - 1, side="right") - 1
+        ends = np.searchsorted(cut, start + at + g.shingle - 1, side="right") - 1
         for text in np.unique(texts):
             mine = at[(texts == text) & (ends == text)]
             share = len(np.unique(span[mine])) / len(g.sets[t])
             if share >= containment:
-                found.setdefault((int(text), g.names[t]), []).append((share, start + int(mine[0]), start + int(mine[-1]) + SHINGLE))
+                found.setdefault((int(text), g.names[t]), []).append((share, start + int(mine[0]), start + int(mine[-1]) + g.shingle))
     for (text, name), spans in sorted(found.items()):
         places, reach = 0, -1
         for _, a, b in sorted(spans, key=lambda x: x[1]):

@@ -9,7 +9,7 @@ No document is sorted, and a smaller budget's documents are a subset of a larger
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last;
 rows that share a doc_id are drawn together; empty tables give empty results; other columns,
-whatever their names, pass through ``mixed`` untouched.
+whatever their names, pass through ``mixed`` and ``mixture`` untouched; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -92,19 +92,31 @@ def _refine(narrow: DataFrame, state: DataFrame, keep: list[str], shift: int) ->
     )
 
 
-def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with a struct ``_mix`` (source_size, target, copies): how often the mix takes each row."""
+def _free(columns: Sequence[str], name: str) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", into: str = "_mix") -> DataFrame:
+    """``docs`` with a struct ``into`` (source_size, target, copies): how often the mix takes each row."""
     at = plan.select(F.struct("*").alias("_plan"))
-    once_more = (hash60(F.col(key)) < F.col("_plan.threshold")).cast("long")
-    took = F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), (F.col("_plan.copies") + once_more).alias("copies"))
-    return docs.join(at, docs[source].eqNullSafe(F.col("_plan.source"))).select(*[docs[c] for c in docs.columns], took.alias("_mix"))
+    _plan = at["_plan"]
+    once_more = (hash60(docs[key]) < _plan["threshold"]).cast("long")
+    took = F.struct(_plan["source_size"].alias("source_size"), _plan["target"].alias("target"), (_plan["copies"] + once_more).alias("copies"))
+    return docs.join(at, docs[source].eqNullSafe(_plan["source"])).select(*[docs[f"`{c}`"] for c in docs.columns], took.alias(into))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     plan = thresholds(durable(sized(docs)), weights, cap)
-    rows = mixed(docs, plan)
-    return rows.filter("_mix.copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))).select(*docs.columns)
+    into = _free(docs.columns, "_mix")
+    rows = mixed(docs, plan, into=into)
+    copy = _free(rows.columns, "_copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{into}.copies"))).alias(copy)
+    return rows.filter(F.col(f"{into}.copies") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop(copy)
 
 
 def report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -112,7 +124,3 @@ def report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP
     narrow = durable(docs.select("doc_id", F.col("source"), n_words(text_of()).alias("size"), hash60(F.col("doc_id")).alias("hash")))
     rows = mixed(narrow, thresholds(narrow, weights, cap))
     return rows.select("doc_id", "size", F.col("_mix.source_size").alias("source_size"), F.col("_mix.target").alias("target"), (F.col("size") * F.col("_mix.copies")).alias("taken"))
-
-
-def taken(col: str = "_mix") -> Column:
-    return F.col(f"{col}.copies")

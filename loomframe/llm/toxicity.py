@@ -14,7 +14,8 @@ drawn by hash and weighted back to the classes' shares of all labels; scoring co
 document's whole text.
 
 Defined cases: a null or empty text has no features and grade 0; labels that are null are not
-used, several labels of a doc_id count as the highest; without both classes the model has no
+used, several labels of a doc_id count as the highest, of several texts of a labelled doc_id the
+least is learnt from; a text of any length is scored whole; an empty table gives an empty result; without both classes the model has no
 weights and calls nothing toxic; repeated rows are scored alike; other columns are not read.
 """
 
@@ -35,9 +36,8 @@ from .words import hashed_words, scramble, shingles
 
 WORD = re.compile(r"[^\W_]+")
 GRADES = 3
-#: Labelled rows that the fit may use, and features that it may keep.
+#: Labelled rows that the fit may use.
 MAX_ROWS = 4000
-MAX_FEATURES = 4000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least difference of a feature's share among toxic and clean rows, in standard errors, and least ratio.
 SIGNIFICANT = 5.0
@@ -143,7 +143,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, row_weights: np.ndarray) ->
     z = (with_1 / n1 - with_0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     apart = with_1 / n1 >= RATIO * (with_0 + 0.5) / n0
     kept = np.flatnonzero(apart & (z >= min(SIGNIFICANT, 0.6 * z.max())))
-    kept = kept[np.argsort(-z[kept], kind="stable")][:MAX_FEATURES]
+    kept = kept[np.argsort(-z[kept], kind="stable")]
     place = np.full(len(ids), -1)
     place[kept] = np.arange(len(kept))
     inside = place[cols] >= 0
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     totals = {bool(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     drawn = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for t in (True, False)]
     sample = drawn[0].union(drawn[1])
-    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # max_rows rows at most
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # max_rows rows at most
     texts, toxic = [], []
     for row in met.toLocalIterator():
         texts.append(row["text"])

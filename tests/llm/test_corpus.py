@@ -218,6 +218,50 @@ def test_toxicity_defined_cases(spark, edge, empty):
     assert toxicity.clean(edge, model).columns == edge.columns
 
 
+def test_toxicity_scores_are_those_of_the_model(edge, small):
+    """Against a plain reading of the model: each word's features, weighted by the logarithm of their counts."""
+    model = toxicity.Model({"vile": 2.0, "vile*": 0.5, "w79*": 1.0, "two": 1.5}, (1.0, 2.5, 4.0))
+    for docs in (edge, small):
+        want = []
+        for r in docs.collect():
+            counts = Counter(f for w in re.findall(r"[^\W_]+", (r["text"] or "").lower()) for f in [w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k)])
+            eta = sum(model.weights[f] * (1 + math.log(c)) for f, c in counts.items() if f in model.weights)
+            p = [1 / (1 + math.exp(cut - eta)) for cut in model.cuts]
+            want.append((str(r["doc_id"]), round(sum(p), 9), sum(x > 0.5 for x in p), p[0] > 0.5))
+        got = [(str(r["doc_id"]), round(r["expected_severity"], 9), r["grade"], r["toxic"]) for r in toxicity.scored(docs, model).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    rows = [(i, "word " * (1 + i % 5), "ab"[i % 2], i, f"m{i}", "p") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, _mix string, _plan string")
+    out = mixing.mixture(docs)
+    assert out.columns == docs.columns
+    by_id = {r[0]: r for r in rows}
+    got = [tuple(r) for r in out.collect()]
+    assert got and all(r == by_id[r[0]] for r in got)
+
+
+def test_strings_with_a_long_common_start_are_in_cells_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "text", f"same-prefix-{i % 8}", "en", 5) for i in range(64)], "doc_id long, text string, source string, lang string, n_chars long")
+    rows = sharding.shards(docs.withColumn("source", docs["source"]), n=8, dims=("source",)).collect()
+    named = {r["doc_id"]: r["source"] for r in docs.collect()}
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], set()).add(named[r["doc_id"]])
+    assert all(len(sources) == 1 for sources in by_shard.values())
+
+
+def test_hilbert_shards_prune_by_any_dimension(spark):
+    """Files that a filter on one dimension has to read: fewer than all, whichever dimension it is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    met = docs.select("doc_id", "source", "lang").join(sharding.shards(docs).select("doc_id", "shard"), "doc_id").collect()
+    for dim in ("source", "lang"):
+        values = Counter(r[dim] for r in met)
+        rare = min(values, key=values.get)
+        assert len({r["shard"] for r in met if r[dim] == rare}) < 16
+
+
 def test_cuts_are_ordered_and_severity_follows_hits():
     texts = [f"calm plain words {i}" for i in range(40)] + [f"calm {'vile ' * (1 + i % 5)}{i}" for i in range(40)]
     model = toxicity.fit(texts, np.array([False] * 40 + [True] * 40), np.ones(80))

@@ -199,3 +199,53 @@ def test_license_scan_against_every_window(small):
             if whole:
                 assert (r["doc_id"], name) in got
     assert licenses.scan(small.limit(0)).count() == 0
+
+
+def held_by_force(words, cut_stride, window, template, n):
+    """The largest share of a template's shingles in any window that starts at a multiple of the stride."""
+    wanted = {tuple(template[i : i + n]) for i in range(max(1, len(template) - n + 1))}
+    best = 0.0
+    for start in range(0, max(1, len(words)), cut_stride):
+        part = words[start : start + window]
+        best = max(best, len(wanted & {tuple(part[i : i + n]) for i in range(len(part) - n + 1)}) / len(wanted))
+    return best
+
+
+def test_license_scan_holds_what_brute_force_holds(spark):
+    """Both sides of the containment, templates of three to 2,000 words, with words put in and taken out."""
+    rng = random.Random(6)
+    templates = {"tiny": "alpha beta gamma", "short": " ".join(f"s{i}" for i in range(9)), "middle": " ".join(f"m{i}" for i in range(60)), "long": " ".join(f"g{i}" for i in range(2000))}
+    texts = []
+    for name, template in templates.items():
+        t = template.split()
+        for changes in (0, 1, 2, 4, len(t) // 30, len(t) // 12):
+            copy = list(t)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = "other"
+            put_in = rng.randrange(len(copy))
+            copy[put_in:put_in] = ["in"] * min(15, len(copy) // 4)
+            texts.append(" ".join(["pad"] * rng.randrange(50) + copy + ["pad"] * rng.randrange(50)))
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, license string, containment double")
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(docs, templates).collect()}
+    groups = {name: g for g in licenses.prepared(templates) for name in g.names}
+    # A document's windows start where the texts before it in its batch let them, so the share in any window bounds what is found.
+    for i, text in enumerate(texts):
+        for name, template in templates.items():
+            g, words, t = groups[name], text.split(), template.split()
+            most = held_by_force(words, 1, g.window, t, g.shingle)
+            sure = held_by_force(words, 1, g.window - g.stride + 1, t, g.shingle)
+            if sure >= 0.8:
+                assert got[i, name] >= sure - 1e-12
+            if most < 0.8:
+                assert (i, name) not in got
+            elif (i, name) in got:
+                assert got[i, name] <= most + 1e-12
+    assert {n for _, n in got} == set(templates)
+
+
+def test_license_templates_of_odd_lengths(edge, empty):
+    with pytest.raises(ValueError, match="no words"):
+        licenses.prepared({"empty": " ... "})
+    got = licenses.scan(edge, {"two": "two words", "tie": "tie one two three four"}).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(8, "two"), (9, "two"), (11, "tie"), (11, "tie")]
+    assert licenses.scan(empty, {"two": "two words"}).count() == 0 and licenses.scan(edge, {}).count() == 0
