@@ -171,6 +171,31 @@ def test_only_document_is_its_own_next(spark):
     assert r["near_next"] == 1.0
 
 
+def cells_of(fingerprint):
+    return {int(p, 16): [int(x, 16) for x in rest] for p, *rest in (c.split(":") for c in fingerprint.split(",") if c)}
+
+
+def peeled_by_hand(a, b):
+    """The digests that two fingerprints differ in: cells subtracted, then peeled; None if cells are left."""
+    check = {c[1]: c[2] for x in (a, b) for c in x.values() if c[0] == 1}  # of digests that stand alone somewhere
+    cells = {p: [a.get(p, [0, 0, 0])[0] - b.get(p, [0, 0, 0])[0], a.get(p, [0, 0, 0])[1] ^ b.get(p, [0, 0, 0])[1], a.get(p, [0, 0, 0])[2] ^ b.get(p, [0, 0, 0])[2]] for p in a.keys() | b.keys()}
+    return {c[1] for c in cells.values() if abs(c[0]) == 1 and check.get(c[1]) == c[2]}, cells
+
+
+def test_fingerprints_are_sketches_that_subtract(spark):
+    """The cells of two fingerprints, subtracted, hold only the paragraphs that differ."""
+    texts = ["one. two. three. four.", "one. two. three. five.", "one. two. three. four."]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")  # ids of another type
+    got = {r["doc_id"]: r for r in fingerprint.compared(rows).collect()}
+    assert got["0"]["fingerprint"] == got["2"]["fingerprint"] != got["1"]["fingerprint"]
+    a, b = (cells_of(got[i]["fingerprint"]) for i in "01")
+    assert all(sum(c[0] for p, c in x.items() if (p - 1) >> fingerprint.LEAST_BITS == t) == 4 for x in (a, b) for t in range(3))
+    found, cells = peeled_by_hand(a, b)
+    different = {c[1] for x, y in ((a, b), (b, a)) for p, c in x.items() if y.get(p) != c and c[0] == 1}
+    assert found and found <= different and sum(c != [0, 0, 0] for c in cells.values()) <= 6
+    assert got["0"]["near_next"] == pytest.approx(3 / 5)
+
+
 def test_license_scan_finds_whole_and_changed_notices(spark):
     filler = " ".join(f"x{i}" for i in range(300))
     texts = [(i, f"{filler} {t} {filler}") for i, t in enumerate(licenses.TEMPLATES.values())]
