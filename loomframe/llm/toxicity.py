@@ -126,29 +126,33 @@ def fit(texts: list[str | None], toxic: np.ndarray, row_weights: np.ndarray) ->
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model({}, tuple(float(c) for c in range(1, GRADES + 1)))
     ids: dict[str, int] = {}
-    r, c, v = [], [], []
-    for i, text in enumerate(texts):
-        words, found = counts_of(text), Counter()
-        for word, k in words.items():
-            for f in features_of(word):
-                found[ids.setdefault(f, len(ids))] += k
-        r.append(np.full(len(found), i, np.int32))
-        c.append(np.fromiter(found.keys(), np.int32, len(found)))
-        v.append(np.fromiter(found.values(), np.float32, len(found)))
-    rows, cols, counts = np.concatenate(r), np.concatenate(c), np.concatenate(v)
+    met = [Counter(), Counter()]  # documents with each feature, by class; only what a toxic one has can set them apart
+    for of_class in (True, False):
+        for i in np.flatnonzero(toxic == of_class).tolist():
+            found = {f for word in counts_of(texts[i]) for f in features_of(word)}
+            if of_class:
+                for f in found:
+                    ids.setdefault(f, len(ids))
+            met[of_class].update([ids[f] for f in found if f in ids])
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    with_1 = np.bincount(cols[toxic[rows]], minlength=len(ids))
-    with_0 = np.bincount(cols[~toxic[rows]], minlength=len(ids))
+    with_1, with_0 = (np.array([met[k][i] for i in range(len(ids))], np.int64) for k in (True, False))
     share = (with_1 + with_0 + 1) / (n1 + n0 + 2)
     z = (with_1 / n1 - with_0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     apart = with_1 / n1 >= RATIO * (with_0 + 0.5) / n0
-    kept = np.flatnonzero(apart & (z >= min(SIGNIFICANT, 0.6 * z.max())))
+    kept = np.flatnonzero(apart & (z >= min(SIGNIFICANT, 0.6 * z.max(initial=0))))
     kept = kept[np.argsort(-z[kept], kind="stable")]
-    place = np.full(len(ids), -1)
-    place[kept] = np.arange(len(kept))
-    inside = place[cols] >= 0
-    rows, cols, counts = rows[inside], place[cols[inside]], counts[inside]
     names = np.array(list(ids), object)[kept]
+    place = {f: k for k, f in enumerate(names)}
+    del ids, met
+    entries = []
+    for i, text in enumerate(texts):
+        found = Counter()
+        for word, k in counts_of(text).items():
+            for f in features_of(word):
+                if f in place:
+                    found[place[f]] += k
+        entries += [(i, f, k) for f, k in sorted(found.items())]
+    rows, cols, counts = (np.array(x, np.int64) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64),) * 3
     telling = np.array([not f.endswith("*") for f in names], bool)
     told = np.bincount(rows, counts * telling[cols], minlength=len(toxic))
     edges = np.quantile(told[toxic], [1 / 3, 2 / 3])
