@@ -72,6 +72,19 @@ def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) ->
     return pairs.withColumn("similarity", title_similarity("ka", "kb")).filter(F.col("similarity").between(least, 0.9999999)).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
+def merge_review(df: DataFrame, ident: str = "id", title: str = "title", version: str = "version", year: str = "year", provider: str = "provider_id") -> DataFrame:
+    """(left_id, right_id, similarity, auto): near titles; only records of one version and year from two providers merge by themselves.
+
+    Records of equal titles are groups of their own (``deduplicate``); the least id stands for each.
+    """
+    pairs = fuzzy_pairs(df, ident, title)
+    facts = lambda x: df.select(F.col(ident).alias(f"{x}_id"), *[F.col(c).alias(f"_{x}{k}") for k, c in enumerate((version, year, provider))])
+    met = pairs.join(facts("left"), "left_id").join(facts("right"), "right_id")
+    same_version = F.coalesce("_left0", F.lit("")) == F.coalesce("_right0", F.lit(""))
+    auto = (F.col("similarity") >= AUTO) & same_version & F.col("_left1").eqNullSafe(F.col("_right1")) & ~F.col("_left2").eqNullSafe(F.col("_right2"))
+    return met.select("left_id", "right_id", F.round("similarity", 3).alias("similarity"), auto.alias("auto"))
+
+
 def paper_key(doi: Column, arxiv: Column, title: Column) -> Column:
     return F.coalesce(doi_key(doi), F.nullif(F.lower(F.trim(arxiv)), F.lit("")), F.lower(F.trim(title)))
 

@@ -1,3 +1,3 @@
 """Every operator as a query over the driver's tables; importing the modules registers them."""
 
-from . import build, relational, search, sources, state, streams, text, values  # noqa: F401
+from . import build, records, relational, search, sources, state, streams, text, values  # noqa: F401

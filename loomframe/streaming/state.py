@@ -82,3 +82,31 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
     query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+#: States in which a task, run, download or build was when its process stopped, and where it goes on from.
+RECOVERY = {("provider_task", "queued"): "cancelled", ("provider_task", "running"): "cancelled", ("search_run", "SEARCHING"): "PROVIDERS_SELECTED", ("download", "DOWNLOADING"): "FAILED", ("download", "QUEUED"): "FAILED"}
+
+
+def reconciled(tasks: DataFrame, kind: str = "kind", status: str = "status") -> DataFrame:
+    """``tasks`` after a restart: what was under way is failed or put back, with ``recovered`` where that was done; builds stay and resume from checkpoints."""
+    goes = F.create_map(*[x for (k, s), to in RECOVERY.items() for x in (F.lit(f"{k}/{s}"), F.lit(to))])
+    found = F.try_element_at(goes, F.concat_ws("/", F.col(kind), F.col(status)))
+    return tasks.withColumns({"recovered": found.isNotNull(), status: F.coalesce(found, F.col(status))})
+
+
+def first_backend(attempts: DataFrame, task: str, backend: str, ok: str, order: Sequence[str]) -> DataFrame:
+    """(task, backend, trail): the first backend in ``order`` that succeeded for each task, and what was tried up to it."""
+    place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(backend))
+    tried = attempts.filter(place > 0).groupBy(task).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col(backend).alias("backend"), F.col(ok).alias("ok")))).alias("tried"))  # a row a backend
+    won = F.try_element_at(F.filter("tried", lambda x: x["ok"]), F.lit(1))
+    upto = F.filter("tried", lambda x: won["place"].isNull() | (x["place"] <= won["place"]))
+    return tried.select(task, won["backend"].alias("backend"), F.array_join(F.transform(upto, lambda x: F.concat(x["backend"], F.when(x["ok"], ":success").otherwise(":failed"))), ",").alias("trail"))
+
+
+def search_posts(posts: DataFrame, query: str, text: str, order: Sequence[str], start: int = 0, most: int = 20) -> DataFrame:
+    """A page of the posts that hold any of the query's words, in ``order``."""
+    found = F.lit(False)
+    for word in query.lower().split():
+        found = found | F.contains(F.lower(F.col(text)), F.lit(word))
+    return posts.filter(found).orderBy(*order).offset(start).limit(most)
