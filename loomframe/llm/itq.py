@@ -44,6 +44,8 @@ MAX_FIT = 10_000
 RECALL = 0.97
 #: Vectors compared at once; a larger bucket is cut into blocks of about this many.
 BLOCK = 1024
+#: Rows of ids and codes that a task looks at together.
+GATHERED = 16_384
 
 
 def fit_rotations(x: np.ndarray, n_bits: int, rotations: int, steps: int = 40, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -117,6 +119,18 @@ def _indexer(planes, bits: int, tables: int, dim: int):
     return run
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``rows`` rows; of ids and codes, so still small."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _finder(radius: int):
     """Sorted rows (t, bucket, own, cid, code) to the rows (t, bucket, cid) that have a neighbour by their codes.
 
@@ -148,7 +162,7 @@ def _finder(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(t[keep], pa.int32()), pa.array(bucket[keep]), pa.array(cid[keep])], names=["t", "bucket", "cid"])
 
         passing = None  # a bucket that is too full to be held: all its rows pass
-        for batch in batches:
+        for batch in _larger(batches, GATHERED):
             t, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if passing is not None and len(t):
                 on = int(((t == passing[0]) & (bucket == passing[1])).sum())
