@@ -26,15 +26,16 @@ COUNTRY_ALIASES = {
     "korea, dem. people's rep.": "KP", "north korea": "KP",
     "russian federation": "RU", "russia": "RU", "俄罗斯": "RU",
     "viet nam": "VN", "vietnam": "VN", "越南": "VN",
-    "hong kong sar, china": "HK", "hong kong": "HK", "香港": "HK", "hong kong sar": "HK",
+    "hong kong sar, china": "HK", "hong kong": "HK", "香港": "HK",
     "taiwan, china": "TW", "taiwan": "TW", "台湾": "TW",
-    "macao sar, china": "MO", "macau": "MO", "澳门": "MO", "macao sar": "MO",
+    "macao sar, china": "MO", "macau": "MO", "澳门": "MO",
     "egypt, arab rep.": "EG", "iran, islamic rep.": "IR", "venezuela, rb": "VE",
     "slovak republic": "SK", "土耳其": "TR", "turkiye": "TR", "turkey": "TR",
     "deutschland": "DE", "德国": "DE", "germany": "DE",
     "日本": "JP", "japan": "JP", "法国": "FR", "france": "FR",
     "india": "IN", "印度": "IN", "brazil": "BR", "巴西": "BR",
     "czech republic": "CZ", "czechia": "CZ",
+    "hong kong sar": "HK", "macao sar": "MO",
 }
 
 # Numeric ISO codes of large economies; pass a longer table where others occur.
@@ -72,7 +73,21 @@ PREFECTURES = [
 ]
 
 FUZZY = 0.92
-AGGREGATES = ("world", "area", "union", "income", "region", "total", "developing", "members", "excluding", "countries")
+# What the names of groups of countries hold.
+AGGREGATES = (
+    "&", "(", ")", "excluding", "income", "area", "region", "total", "world", "globe", "ida", "ibrd", "oecd", "euro ", "small states", "dividend", "fragile", "heavily",
+    "least developed", "arab league", "asean", "central europe", "north america", "south asia", "east asia", "pacific island", "sub-saharan", "middle east",
+)
+# Earlier names of prefectures (code, name, from, to).
+HISTORICAL = [("420600", "襄樊市", 1983, 2010), ("320800", "淮阴市", 1955, 2000), ("460200", "三亚市", 1987, None), ("441300", "惠阳市", 1955, 1988)]
+# Names of columns that hold an entity, by kind.
+COLUMN_NAMES = {
+    "country": ("country", "country_name", "nation", "country_code", "iso3", "iso2", "geo", "ref_area", "reporter", "partner"),
+    "province": ("province", "province_name", "province_code", "prov", "region", "省份"),
+    "prefecture": ("city", "city_name", "city_code", "prefecture", "prefecture_name", "prefecture_code", "城市", "地级市"),
+}
+#: Values of a column that are looked at to tell what it holds, and the share that must be known.
+SAMPLE, KNOWN = 20, 0.6
 
 
 def country_table(spark: SparkSession, numeric: dict[str, str] = NUMERIC_CODES) -> DataFrame:
@@ -106,6 +121,8 @@ def region_table(spark: SparkSession, level: str, prefectures: Sequence[tuple] =
             rows |= {code: (code, since, until), name: (code, since, until)}
             if name.endswith("市"):
                 rows.setdefault(name[:-1], (code, since, until))
+        for code, name, since, until in HISTORICAL:
+            rows.setdefault(name, (code, since, until))
     else:
         raise EngineError("BUILD_FAILED", f"unknown level {level!r}")
     return spark.createDataFrame([(a, *r) for a, r in rows.items()], "alias string, code string, valid_from int, valid_to int")
@@ -154,6 +171,29 @@ def resolve_regions(df: DataFrame, column: str, level: str, year: Column | None
     return met.withColumn(name, F.when(valid, F.col("code"))).select(*df.columns, name)
 
 
+def hit_ratio(df: DataFrame, column: str, kind: str) -> float:
+    """The share of a column's first SAMPLE values that are known names or codes of ``kind``."""
+    spark = df.sparkSession
+    text = F.trim(F.col(column).cast("string"))
+    sample = df.select(text.alias("v")).filter("v != ''").limit(SAMPLE).withColumn("alias", F.lower("v") if kind == "country" else F.col("v"))
+    known = (country_table(spark) if kind == "country" else region_table(spark, kind)).select("alias", F.lit(1).alias("hit"))
+    return sample.join(F.broadcast(known), "alias", "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0))).first()[0]  # a fixed table
+
+
+def holds(df: DataFrame, column: str, kind: str) -> bool:
+    """Whether a column holds entities of ``kind``: by its name, or by most of its first values."""
+    return column.strip().lower().replace(" ", "_") in COLUMN_NAMES[kind] or hit_ratio(df, column, kind) >= KNOWN
+
+
+def resolver(unit: str):
+    """What resolves entities of a unit of analysis: a function of (df, column); generic units have keys of their names."""
+    if unit == "country":
+        return resolve_countries
+    if unit in ("province", "city", "prefecture"):
+        return lambda df, column, **more: resolve_regions(df, column, "province" if unit == "province" else "prefecture", **more)
+    return lambda df, column: df.withColumn("entity_key", generic_key(F.col(column)))
+
+
 def unresolved(df: DataFrame, column: str, code: str, n: int = 20) -> DataFrame:
     """The most frequent values without a code, as a report."""
     return df.filter(F.col(code).isNull() & F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)

@@ -53,7 +53,7 @@ def to_markdown(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r"\n\s*\n+", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
 def links(html: Column) -> Column:
@@ -115,7 +115,8 @@ def dedup_url(url: Column) -> Column:
 
 def crawl_url(url: Column) -> Column:
     """A URL to fetch: host in lower case, default ports, tracking parameters, fragment and last slashes dropped."""
-    part = lambda p: F.try_parse_url(url, F.lit(p))
+    whole = F.regexp_replace(url, "#.*$", "")
+    part = lambda p: F.try_parse_url(whole, F.lit(p))
     host = F.lower(part("HOST"))
     port = F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1)
     where = F.when(port.isin("", "80", "443"), host).otherwise(F.concat(host, F.lit(":"), port))
@@ -126,6 +127,43 @@ def crawl_url(url: Column) -> Column:
     return F.concat(part("PROTOCOL"), F.lit("://"), where, path, F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def absolute(base: Column, href: Column) -> Column:
+    """A link's address as seen from the page ``base``; dots in paths are taken out."""
+    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    joined = (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(page, href)).otherwise(F.concat(folder, href))
+    )
+    path = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/\.$", "/")
+    for _ in range(4):  # steps up, innermost first
+        path = F.regexp_replace(path, r"(?<=[^/:])/(?!\.\.(?:/|$))[^/]+/\.\.(?:/|$)", "/")
+    return F.regexp_replace(path, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)(?:/\.\.)+(?=/|$)", "$1")
+
+
+# Beginnings of links that lead to no page.
+NO_PAGE = ("mailto:", "javascript:", "data:", "tel:", "#")
+
+
+def discovered(html: Column, base: Column, domains: tuple[str, ...], denied: tuple[str, ...] = (), same_host: bool = False) -> Column:
+    """Addresses that a page links to within the allowed domains, absolute and in order."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(r'(?i)<a[^>]+href="([^"]+)"'), F.lit(1)), lambda h: F.trim(h))
+    pages = F.filter(found, lambda h: (h != "") & ~h.rlike("^(" + "|".join(NO_PAGE) + ")"))
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+    def within(u: Column) -> Column:
+        ok = F.lit(False)
+        for d in domains:
+            ok = ok | host_matches(host(u), d.lower())
+        for d in denied:
+            ok = ok & ~host_matches(host(u), d.lower())
+        return ok & (host(u) == host(base)) if same_host else ok
+
+    return F.filter(F.transform(pages, lambda h: absolute(base, h)), within)
+
+
 def host_matches(host: Column, domain: str) -> Column:
     return (host == domain) | host.endswith(f".{domain}")
 

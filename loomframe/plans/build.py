@@ -31,10 +31,6 @@ KEYS = {
     "firm": ("entity_key", "year"), "university": ("entity_key", "year"), "entity": ("entity_key", "year"), "individual": (),
 }
 GENERIC = ("firm", "university", "entity")
-# Names of columns that hold an entity.
-COUNTRY_COLUMNS = ("country", "country_name", "nation", "country_code", "iso3", "iso2")
-PROVINCE_COLUMNS = ("province", "province_name", "province_code", "prov", "region", "省份")
-CITY_COLUMNS = ("city", "city_name", "city_code", "prefecture", "prefecture_name", "prefecture_code", "城市", "地级市")
 STEPS = ("input_compatibility", "semantic_mapping", "entity_resolution", "time_alignment", "join", "missing_policy", "derived_variables", "validation", "export")
 
 
@@ -202,10 +198,10 @@ def with_entity(df: DataFrame, unit: str) -> DataFrame:
     if unit in GENERIC:
         return df.withColumn("entity_key", F.lit(None).cast("string"))
     if unit == "country":
-        column = first(COUNTRY_COLUMNS)
+        column = first(entities.COLUMN_NAMES["country"])
         return df if column is None or "iso3" in by_name else entities.resolve_countries(df, column, fuzzy=False)
     level = "province" if unit == "province" else "prefecture"
-    column = first(PROVINCE_COLUMNS if unit == "province" else CITY_COLUMNS)
+    column = first(entities.COLUMN_NAMES[level])
     key = KEYS[unit][0]
     if column is None:
         return df.withColumn(key, F.lit(None).cast("string"))

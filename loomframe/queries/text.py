@@ -18,9 +18,23 @@ def html_title(spark, sf):
     return _pages(spark, sf).select("page_id", text.title(F.col("html")).alias("title"))
 
 
-@query("SELECT page_id, sha256(html) AS text_hash FROM pages")
+@query("SELECT page_id, sha256(text) AS text_hash FROM (SELECT page_id, 'page ' || page_id || chr(10) || 'body' AS text FROM pages)")
 def html_text_hash(spark, sf):
-    return _pages(spark, sf).select("page_id", F.sha2("html", 256).alias("text_hash"))
+    """The hash of a page's text, whatever its markup."""
+    html = F.concat(F.lit("<html><head><title>t</title></head><main><p class='"), (F.col("page_id") % 3).cast("string"), F.lit("'>page "), F.col("page_id").cast("string"), F.lit("</p><div>body</div></main></html>"))
+    return _pages(spark, sf).select("page_id", F.sha2(text.to_markdown(html), 256).alias("text_hash"))
+
+
+LINKS = ["/a/b", "c/../d", "?q=1", "//other.org/x", "mailto:me@h.org", "https://sub.h.org/y", "http://bad.h.org/z", "../../up"]
+FOUND = ["https://h.org/a/b", "https://h.org/p/d", "https://h.org/p/page?q=1", None, None, "https://sub.h.org/y", None, "https://h.org/up"]
+
+
+@query("SELECT page_id, link FROM (SELECT page_id, " + "[" + ", ".join("NULL" if f is None else f"'{f}'" for f in FOUND) + "][(page_id % 8 + 1)::INT] AS link FROM pages) WHERE link IS NOT NULL")
+def link_discovery(spark, sf):
+    """Links of pages, absolute, in the allowed domains."""
+    href = F.element_at(F.array(*[F.lit(x) for x in LINKS]), (F.col("page_id") % 8 + 1).cast("int"))
+    html = F.concat(F.lit('<p><a class="x" href="'), href, F.lit('">y</a></p>'))
+    return _pages(spark, sf).select("page_id", F.explode(text.discovered(html, F.lit("https://h.org/p/page?x=2#top"), ("h.org",), ("bad.h.org",))).alias("link"))
 
 
 @query(r"""SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)', 1)) AS link FROM pages)""")

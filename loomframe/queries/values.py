@@ -88,7 +88,7 @@ CITIES = ["武汉", "武汉市", "420100", "深圳", "襄樊市", "襄阳市"]
 CITY_CODES = ["420100", "420100", "420100", "440300", None, "420600"]
 
 
-@query(f"SELECT n_nationkey, raw, year, CASE WHEN code = '440300' AND year < 1979 THEN NULL ELSE code END AS prefecture_code FROM (SELECT n_nationkey, {_sql_list(CITIES)}[n_nationkey % 6 + 1] AS raw, {_sql_list(CITY_CODES)}[n_nationkey % 6 + 1] AS code, (1970 + n_nationkey)::INT AS year FROM nation)")
+@query(f"SELECT n_nationkey, raw, year, CASE WHEN code = '440300' AND year < 1979 THEN NULL WHEN raw = '襄樊市' AND year < 1983 THEN NULL WHEN raw = '襄樊市' THEN '420600' ELSE code END AS prefecture_code FROM (SELECT n_nationkey, {_sql_list(CITIES)}[n_nationkey % 6 + 1] AS raw, {_sql_list(CITY_CODES)}[n_nationkey % 6 + 1] AS code, (1970 + n_nationkey)::INT AS year FROM nation)")
 def entity_cn_prefecture_year(spark, sf):
     rows = _labelled(spark, sf, CITIES).withColumn("year", (F.col("n_nationkey") + 1970).cast("int"))
     return entities.resolve_regions(rows, "raw", "prefecture", F.col("year"))
