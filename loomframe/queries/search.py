@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, ranking
 from ..plans import requirement
 from ..registry import query, table
+from ..streaming import state
 from .text import URL_SQL
 
 
@@ -84,7 +85,7 @@ def paper_rank(spark, sf):
 def paper_digest_new(spark, sf):
     keys = table(spark, sf, "documents").select(F.concat(F.lit("doi:"), (F.col("doc_id") % 200).cast("string")).alias("key")).distinct()
     seen = spark.range(100).select(F.concat(F.lit("doi:"), F.col("id").cast("string")).alias("key"))
-    return keys.join(seen, "key", "left_anti")
+    return state.unseen(keys, seen, "key")
 
 
 REQUEST = "CASE conv_id % 4 WHEN 0 THEN '构建2015—2023年国家面板数据, 青年失业率, 人均GDP, csv' WHEN 1 THEN 'monthly inflation for firms since 2018' WHEN 2 THEN 'download official unemployment rate of provinces, annual' ELSE 'hello' END"

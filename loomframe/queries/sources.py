@@ -24,28 +24,59 @@ def _scratch(spark) -> str:
 
 
 def _nation(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1)  # 25 rows
+
+
+def _typed(df):
+    return df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@query(NATION_SQL)
+def scan_json_wrapped(spark, sf):
+    """A payload [meta, [records]] in one file, as providers send it, unwrapped by the reader."""
+    path = f"{_scratch(spark)}/nation"
+    record = F.struct("n_nationkey", "n_name", "n_regionkey")
+    body = F.concat(F.lit('[{"page": 1}, '), F.to_json(F.collect_list(record)), F.lit("]"))
+    _nation(spark, sf).agg(body.alias("value")).coalesce(1).write.text(path)
+    return _typed(readers.read(spark, path).df)
+
+
+@query(NATION_SQL)
+def scan_html_table(spark, sf):
+    """An HTML page's table, decoded by the task that reads the page."""
+    path = f"{_scratch(spark)}/nation"
+    cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in ("n_nationkey", "n_name", "n_regionkey")], F.lit("</tr>"))
+    body = F.concat(F.lit("<html><table><tr><th>n_nationkey</th><th>n_name</th><th>n_regionkey</th></tr>"), F.array_join(F.collect_list(cells), ""), F.lit("</table></html>"))
+    _nation(spark, sf).agg(body.alias("value")).coalesce(1).write.text(path)
+    return _typed(readers.read(spark, path).df)
+
+
+@query(NATION_SQL)
+def scan_gzip(spark, sf):
+    path = f"{_scratch(spark)}/nation"
+    _nation(spark, sf).write.option("header", True).option("compression", "gzip").csv(path)
+    return _typed(readers.read(spark, path).df)
 
 
 @query(NATION_SQL)
 def scan_csv_roundtrip(spark, sf):
     path = f"{_scratch(spark)}/nation"
     sinks.export(_nation(spark, sf), "csv", path)
-    return spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+    return _typed(readers.read(spark, path).df)
 
 
 @query(NATION_SQL)
 def scan_tsv_roundtrip(spark, sf):
     path = f"{_scratch(spark)}/nation"
     _nation(spark, sf).write.option("sep", "\t").option("header", True).csv(path)
-    return spark.read.option("sep", "\t").option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+    return _typed(readers.read(spark, path).df)
 
 
 @query(NATION_SQL)
 def scan_jsonl_roundtrip(spark, sf):
     path = f"{_scratch(spark)}/nation"
     sinks.export(_nation(spark, sf), "json", path)
-    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+    return _typed(readers.read(spark, path).df)
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")

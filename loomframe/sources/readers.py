@@ -1,19 +1,24 @@
 """Readers from a file to a DataFrame with its format and facts about it.
 
-Text formats and Parquet are read by Spark in splits.  Formats without a Spark source are
-decoded by a task per file (``binaryFile``), so many files are read in parallel.
+Text formats, compressed or not, and Parquet are read by Spark in splits.  Formats without a
+Spark source (SQLite, HTML, XLSX, Stata, SAS transport, shape files) are decoded by the task that
+reads the file (``binaryFile``, at most 2 GB a file); the driver sees their schema and facts
+alone.  Heads of files are read through Hadoop's file system, so paths may be of any kind.
+Archives are unpacked into the shared folder, from which tasks read.
 """
 
 from __future__ import annotations
 
-import gzip
+import io
 import json
 import os
 import sqlite3
 import struct
 import tempfile
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -24,11 +29,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..errors import EngineError
+from ..operators.joins import append
 from ..operators.reshape import flatten
 from .archive import safe_extract
-from .sniff import delimiter_of, encoding_of, preamble_of, sniff
+from .sniff import HEAD, delimiter_of, encoding_of, preamble_of, sniff, sniff_bytes
 
 #: Records of an unwrapped payload in one Arrow batch.
 RECORDS = 10_000
@@ -50,21 +57,57 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in floats}) if floats else df
 
 
-def _from_pandas(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:
+def head_of(spark: SparkSession, path: str, n: int = 65536) -> bytes:
+    """A file's first bytes, unpacked where it is gzipped."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        head = bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+    return zlib.decompressobj(31).decompress(head, n) if head.startswith(b"\x1f\x8b") else head
+
+
+def _plain(frame: pd.DataFrame) -> pa.Table:
+    """A decoded frame as Arrow: names as text, odd objects as text, missing as null."""
     frame = frame.rename(columns=str)
-    if not len(frame.columns):
-        return spark.createDataFrame([], T.StructType([]))
     for c in frame.columns:
         if frame[c].dtype == object:
-            frame[c] = [x if x is None or isinstance(x, str) else None if pd.isna(x) else str(x) for x in frame[c]]
-    if frame.empty:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in frame.columns]))
-    return nan_to_null(spark.createDataFrame(frame))
+            frame[c] = pd.Series([x if x is None or isinstance(x, str) else None if pd.isna(x) else str(x) for x in frame[c]], dtype=object, index=frame.index)
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    fields = [pa.field(f.name, pa.string() if pa.types.is_null(f.type) or pa.types.is_large_string(f.type) else pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in table.schema]
+    return table.cast(pa.schema(fields), safe=False).replace_schema_metadata(None)
+
+
+def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[pd.DataFrame, dict]]) -> tuple[DataFrame, dict]:
+    """The rows that ``decode`` finds in a file, and facts about it; a task decodes, once for the schema and once for the rows."""
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                try:
+                    frame, meta = decode(body.as_py())
+                    row = [_plain(frame).schema.serialize().to_pybytes(), json.dumps(meta, default=str), None]
+                except EngineError as e:
+                    row = [None, None, json.dumps([e.code, e.message])]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.string()), pa.array([row[2]], pa.string())], names=["schema", "meta", "error"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                yield from _plain(decode(body.as_py())[0]).to_batches(RECORDS)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    found = files.mapInArrow(facts, "schema binary, meta string, error string").first()
+    if found["error"]:
+        raise EngineError(*json.loads(found["error"]), path=path)
+    schema = pa.ipc.read_schema(pa.py_buffer(found["schema"]))
+    df = files.mapInArrow(rows, from_arrow_schema(schema)) if len(schema) else spark.createDataFrame([], T.StructType([]))
+    return nan_to_null(df), json.loads(found["meta"])
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Source:
-    with open(path, "rb") as f:
-        head = f.read(65536)
+    head = head_of(spark, path)
     encoding = encoding_of(head)
     text = head.decode(encoding, errors="replace").lstrip("﻿")
     skip = preamble_of(text)
@@ -143,10 +186,22 @@ def read_parquet(spark: SparkSession, path: str) -> Source:
     return Source(path, "parquet", nan_to_null(spark.read.parquet(path)))
 
 
+def _row_tag(head: bytes) -> str:
+    """The name of the first element within the outermost one, else the outermost one's."""
+    parser, names = ET.XMLPullParser(["start"]), []
+    parser.feed(head)
+    for _, element in parser.read_events():
+        names.append(element.tag.rpartition("}")[2])
+        if len(names) == 2:
+            break
+    if not names:
+        raise EngineError("PARSE_FAILED", "no element")
+    return names[-1]
+
+
 def read_xml(spark: SparkSession, path: str, row: str | None = None) -> Source:
     if row is None:
-        root = ET.parse(path).getroot()
-        row = next((child.tag.rpartition("}")[2] for child in root), root.tag)
+        row = _row_tag(head_of(spark, path))
     return Source(path, "xml", spark.read.option("rowTag", row).xml(path), {"row": row})
 
 
@@ -157,14 +212,22 @@ def read_geojson(spark: SparkSession, path: str) -> Source:
     return Source(path, "geojson", rows, {"crs": crs})
 
 
-def read_sqlite(spark: SparkSession, path: str) -> Source:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+def sqlite_table(body: bytes) -> tuple[pd.DataFrame, dict]:
+    """The first table of a database, by name."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(body)
         tables = [r[0] for r in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
         if not tables:
-            raise EngineError("PARSE_FAILED", "no table", path=path)
+            raise EngineError("PARSE_FAILED", "no table")
         quoted = tables[0].replace('"', '""')
-        frame = pd.read_sql_query(f'select * from "{quoted}"', db)
-    return Source(path, "sqlite", _from_pandas(spark, frame), {"tables": tables})
+        return pd.read_sql_query(f'select * from "{quoted}"', db), {"tables": tables}
+    finally:
+        db.close()
+
+
+def read_sqlite(spark: SparkSession, path: str) -> Source:
+    return Source(path, "sqlite", *_decoded(spark, path, sqlite_table))
 
 
 #: The spans that HTML allows.
@@ -259,19 +322,21 @@ def first_table(html: str) -> tuple[list[str], list[list[str | None]]]:
     return header, [r + [None] * (width - len(r)) for r in rows[1:]]
 
 
-def read_html(spark: SparkSession, path: str) -> Source:
-    with open(path, "rb") as f:
-        raw = f.read()
-    header, rows = first_table(raw.decode(encoding_of(raw[:65536]), errors="replace"))
+def html_table(body: bytes) -> tuple[pd.DataFrame, dict]:
+    header, rows = first_table(body.decode(encoding_of(body[:65536]), errors="replace"))
     if not header:
-        raise EngineError("PARSE_FAILED", "no table", path=path)
+        raise EngineError("PARSE_FAILED", "no table")
     seen: dict[str, int] = {}
     names = []
     for h in header:  # a header that spans columns names several
         while (name := f"{h}.{seen[h]}" if seen.setdefault(h, 0) else h) in names:
             seen[h] += 1
         names.append(name)
-    return Source(path, "html", spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names])))
+    return pd.DataFrame(rows, columns=names, dtype=object), {}
+
+
+def read_html(spark: SparkSession, path: str) -> Source:
+    return Source(path, "html", *_decoded(spark, path, html_table))
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -298,34 +363,43 @@ def sheet_rows(book: zipfile.ZipFile, name: str) -> list[list[object]]:
     return out
 
 
-def read_xlsx(spark: SparkSession, path: str) -> Source:
-    with zipfile.ZipFile(path) as book:
+def first_sheet(body: bytes) -> tuple[pd.DataFrame, dict]:
+    with zipfile.ZipFile(io.BytesIO(body)) as book:
         sheets = [s.get("name") for s in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
         names = sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet"))
         rows = sheet_rows(book, names[0])
-    header = [str(h) for h in rows[0]]
+    header = [str(h) for h in rows[0]] if rows else []
     frame = pd.DataFrame([r + [None] * (len(header) - len(r)) for r in rows[1:]], columns=header)
-    return Source(path, "xlsx", _from_pandas(spark, frame), {"sheets": sheets, "sheet_count": len(sheets)})
+    return frame, {"sheets": sheets, "sheet_count": len(sheets)}
+
+
+def read_xlsx(spark: SparkSession, path: str) -> Source:
+    return Source(path, "xlsx", *_decoded(spark, path, first_sheet))
+
+
+def stata_table(body: bytes) -> tuple[pd.DataFrame, dict]:
+    with pd.read_stata(io.BytesIO(body), iterator=True, convert_categoricals=False) as f:
+        frame = f.read()
+        return frame, {"variable_labels": f.variable_labels(), "value_labels": f.value_labels()}
 
 
 def read_stata(spark: SparkSession, path: str) -> Source:
-    with pd.read_stata(path, iterator=True, convert_categoricals=False) as f:
-        frame, variables, values = f.read(), f.variable_labels(), f.value_labels()
-    df = _from_pandas(spark, frame)
-    for name, label in variables.items():
+    df, meta = _decoded(spark, path, stata_table)
+    for name, label in meta["variable_labels"].items():
         df = df.withMetadata(name, {"label": label})
-    return Source(path, "dta", df, {"variable_labels": variables, "value_labels": values})
+    return Source(path, "dta", df, meta)
+
+
+def xport_table(body: bytes) -> tuple[pd.DataFrame, dict]:
+    return pd.read_sas(io.BytesIO(body), format="xport", encoding="utf-8"), {}
 
 
 def read_xport(spark: SparkSession, path: str) -> Source:
-    return Source(path, "xpt", _from_pandas(spark, pd.read_sas(path, format="xport", encoding="utf-8")))
+    return Source(path, "xpt", *_decoded(spark, path, xport_table))
 
 
-def read_dbf(spark: SparkSession, path: str) -> Source:
-    """Attributes of a shape file, with its shape type from the .shp beside it."""
-    base = os.path.splitext(path)[0]
-    with open(f"{base}.dbf", "rb") as f:
-        raw = f.read()
+def dbf_table(raw: bytes) -> tuple[pd.DataFrame, dict]:
+    """Attributes of a shape file's features."""
     n, head, width = struct.unpack_from("<IHH", raw, 4)
     fields, at = [], 32
     while raw[at] != 0x0D:
@@ -339,17 +413,39 @@ def read_dbf(spark: SparkSession, path: str) -> Source:
             row[name] = (float(text) if text else None) if kind in "NF" else text
             pos += size
         rows.append(row)
-    kinds = {0: "NULL", 1: "POINT", 3: "POLYLINE", 5: "POLYGON", 8: "MULTIPOINT"}
-    with open(f"{base}.shp", "rb") as f:
-        shape = kinds.get(struct.unpack_from("<I", f.read(36), 32)[0], "OTHER")
-    return Source(path, "shp", _from_pandas(spark, pd.DataFrame(rows).assign(_shape_type=shape)), {"feature_count": n})
+    return pd.DataFrame(rows, columns=[f[0] for f in fields]), {"feature_count": n}
+
+
+# The shape types of shape files.
+SHAPES = {0: "NULL", 1: "POINT", 3: "POLYLINE", 5: "POLYGON", 8: "MULTIPOINT"}
+
+
+def read_dbf(spark: SparkSession, path: str) -> Source:
+    """Attributes of a shape file, with its shape type from the .shp beside it."""
+    base = os.path.splitext(path)[0]
+    shape = SHAPES.get(struct.unpack_from("<I", head_of(spark, f"{base}.shp", 36), 32)[0], "OTHER")
+    df, meta = _decoded(spark, f"{base}.dbf", dbf_table)
+    return Source(path, "shp", df.withColumn("_shape_type", F.lit(shape)), meta)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that tasks can read: in the shared one where the session names it, else a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        return tempfile.mkdtemp(prefix="loomframe-zip-")
+    local = shared.removeprefix("file://").removeprefix("file:").rstrip("/")
+    if "://" in local:
+        raise EngineError("PARSE_FAILED", "archives are unpacked into a mounted shared folder", folder=shared)
+    folder = f"{local}/loomframe-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
 
 
 def read_zip(spark: SparkSession, path: str) -> Source:
     with zipfile.ZipFile(path) as z:
         if "xl/workbook.xml" in z.namelist():
             return read_xlsx(spark, path)
-    members = safe_extract(path, tempfile.mkdtemp(prefix="loomframe-zip-"))
+    members = safe_extract(path, _shared_folder(spark))
     if shapes := [m for m in members if m.endswith(".shp")]:
         return read_dbf(spark, shapes[0])
     tables = [m for m in members if not os.path.basename(m).lower().startswith("metadata") and sniff(m) not in ("html", "hdf5")]
@@ -358,12 +454,28 @@ def read_zip(spark: SparkSession, path: str) -> Source:
     return read(spark, max(tables, key=os.path.getsize))
 
 
+#: Formats that Spark reads from a gzipped file as from a plain one.
+GZIPPED = ("csv", "tsv", "txt", "json", "jsonl", "xml", "geojson")
+
+
 def read_gz(spark: SparkSession, path: str) -> Source:
-    target = os.path.join(tempfile.mkdtemp(prefix="loomframe-gz-"), os.path.basename(path).removesuffix(".gz"))
-    with gzip.open(path) as source, open(target, "wb") as out:
-        while block := source.read(1 << 20):
-            out.write(block)
-    return read(spark, target)
+    """A gzipped file by what it holds: text is unpacked by Spark's readers, all else by the task that decodes it."""
+    fmt = sniff_bytes(head_of(spark, path))
+    if fmt in GZIPPED:
+        return READERS[fmt](spark, path if path.endswith(".gz") else _named_gz(spark, path))
+    decode = {"sqlite": sqlite_table, "html": html_table, "dta": stata_table, "xpt": xport_table}.get(fmt)
+    if decode is None:
+        raise EngineError("PARSE_UNSUPPORTED_FORMAT", f"gzipped {fmt}", path=path)
+    return Source(path, fmt, *_decoded(spark, path, lambda body: decode(zlib.decompress(body, 31))))
+
+
+def _named_gz(spark: SparkSession, path: str) -> str:
+    """A copy under a name by which Spark knows that the file is packed."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(path), fs.Path(f"{_shared_folder(spark)}/data.gz")
+    conf = spark._jsc.hadoopConfiguration()
+    fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
 
 
 def unsupported(fmt: str) -> Callable[[SparkSession, str], Source]:
@@ -381,10 +493,21 @@ READERS: dict[str, Callable[[SparkSession, str], Source]] = {
 
 
 def read(spark: SparkSession, path: str) -> Source:
-    """The table in a file or a folder of Parquet, by its content."""
-    if os.path.isdir(path):
-        return read_parquet(spark, path)
-    return READERS[sniff(path)](spark, path)
+    """The table in a file, or in a folder of Parquet or text parts, by its content."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(where).isDirectory():
+        parts = sorted(f.getPath().toString() for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 0)
+        if not parts or sniff_bytes(head_of(spark, parts[0], HEAD)) == "parquet":
+            return read_parquet(spark, path)
+        done = [read(spark, p) for p in parts]
+        return Source(path, done[0].fmt, append([d.df for d in done]), done[0].meta)
+    stream = fs.open(where)
+    try:
+        head = bytes(stream.readNBytes(HEAD))
+    finally:
+        stream.close()
+    return READERS[sniff_bytes(head)](spark, path)
 
 
 def json_stat(df: DataFrame, value: str = "value", ids: str = "id", sizes: str = "size") -> DataFrame:
