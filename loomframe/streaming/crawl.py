@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 
 
+#: Pages of a crawl up to which a frontier is broadcast.
+BROADCAST_PAGES = 100_000
+
+
 @dataclass(frozen=True)
 class CrawlPlan:
     """Bounds of a crawl; checked when it is made."""
@@ -89,7 +93,8 @@ def crawl(links: DataFrame, plan: CrawlPlan, rules: Sequence[str] = ()) -> DataF
     for depth in range(1, plan.max_depth + 1):
         if room <= 0:
             break
-        found = links.join(F.broadcast(frontier.select("url")), "url").select(F.col("link").alias("url"), F.lit(depth).alias("depth"), F.lit(0.0).alias("priority"))
+        urls = frontier.select("url")
+        found = links.join(F.broadcast(urls) if plan.max_pages <= BROADCAST_PAGES else urls, "url").select(F.col("link").alias("url"), F.lit(depth).alias("depth"), F.lit(0.0).alias("priority"))
         found = found.filter(F.col("url").isNotNull() & allowed(F.col("url"), rules) & in_scope(F.col("url"), plan.domains))
         frontier = next_frontier(found, seen, room).select("url", "depth", "priority").checkpoint()
         n = frontier.count()
