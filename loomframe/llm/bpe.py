@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .base import small_batches
+from .base import small_batches, tidy
 
 NONE = np.int64(1) << 40
 #: Characters of text whose new words are replayed together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -373,4 +373,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

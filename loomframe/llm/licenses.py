@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import small_batches
+from .base import small_batches, tidy
 from .words import hashed_blocks, shingles
 
 SHINGLE = 5
@@ -185,4 +185,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment:
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], names=["doc_id", "license", "containment", "first_word", "end_word", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, containment double, first_word long, end_word long, places long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, license string, containment double, first_word long, end_word long, places long")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import among, discard, durable, small_batches
+from .base import among, discard, durable, small_batches, tidy
 from .components import components
 from .words import hashed_words, scramble, shingle_set
 
@@ -89,7 +89,7 @@ def _prefixes(n: int, percent: int, hot: np.ndarray):
                 masks.append(_folded(parity, len(MASKS)).tolist())
                 bits.append(parity.tobytes())
                 if len(hot):
-                    late = np.isin(s, hot, assume_unique=True)
+                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 prefix.append(s[: prefix_length(len(s), percent)] if len(s) else s.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
@@ -104,7 +104,7 @@ def indexed(docs: DataFrame, n: int, percent: int, hot: np.ndarray | None = None
     small_batches(docs.sparkSession)
     hot = np.zeros(0, np.int64) if hot is None else hot
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_prefixes(n, percent, hot), f"doc_id {kind}, n_shingles long, d1 long, d2 long, {', '.join(f'{m} long' for m in MASKS)}, bits binary, prefix array<long>")
+    return docs.mapInArrow(tidy(_prefixes(n, percent, hot)), f"doc_id {kind}, n_shingles long, d1 long, d2 long, {', '.join(f'{m} long' for m in MASKS)}, bits binary, prefix array<long>")
 
 
 def _hot_shingles(index: DataFrame) -> np.ndarray:
@@ -153,7 +153,7 @@ def plausible(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
     sketch = lambda t: index.select(F.col("doc_id").alias(t), F.col("n_shingles").alias(f"n_{t}"), F.col("bits").alias(f"bits_{t}"))
     met = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return met.mapInArrow(_plausible(percent), f"a {kind}, b {kind}").distinct()
+    return met.mapInArrow(tidy(_plausible(percent)), f"a {kind}, b {kind}").distinct()
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -166,7 +166,7 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     one = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(_compare(n), f"a {kind}, b {kind}, both long, n_a long, n_b long")
+    return met.mapInArrow(tidy(_compare(n)), f"a {kind}, b {kind}, both long, n_a long, n_b long")
 
 
 def distance() -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .base import BROADCAST_IDS, durable, small_batches, text_of
+from .base import BROADCAST_IDS, durable, small_batches, text_of, tidy
 from .bpe import Codec, gathered, spread
 
 END = 0
@@ -142,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, plain: bool
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select("doc_id", text_of().alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(_packer(tokenizer, plain), f"part int, chunk int, n_ids long, doc_ids array<{kind}>, sizes array<int>, payload binary")
+    rows = dealt.mapInArrow(tidy(_packer(tokenizer, plain)), f"part int, chunk int, n_ids long, doc_ids array<{kind}>, sizes array<int>, payload binary")
     if path is None:
         return durable(rows)
     rows.write.parquet(path)
@@ -175,7 +175,7 @@ def read(chunks: DataFrame) -> DataFrame:
     starts = F.broadcast(starts) if narrow.count() <= BROADCAST_IDS else starts
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     rows = chunks.join(starts, ["part", "chunk"]).select("start", "doc_ids", "sizes", "payload")
-    return rows.mapInArrow(_reader, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_reader), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(chunks: DataFrame) -> DataFrame:

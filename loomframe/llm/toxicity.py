@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import small_batches, tidy
 from .words import hashed_words, scramble, shingles
 
 WORD = re.compile(r"[^\W_]+")
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, expected_severity double, grade int, p_toxic double, toxic boolean"
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_scorer(model)), schema)
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -223,4 +223,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
             toxic = next(score(iter([narrow]))).column(4)
             yield batch.filter(pa.array(~toxic.to_numpy(zero_copy_only=False)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
