@@ -64,7 +64,7 @@ def experience_status(spark, sf):
 @query("SELECT event_id, used <= 20000 AS allowed FROM (SELECT event_id, sum(event_id % 97) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)")
 def quota_running_sum(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("day"), (F.col("event_id") % 97).alias("size"))
-    return state.within_quota(rows, "day", ["ts", "event_id"], "size", 20000).select("event_id", "allowed")
+    return state.within_quota(rows, "day", ["ts", "event_id"], "size", 20000, F.date_trunc("hour", "ts")).select("event_id", "allowed")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority NOT IN ('5-LOW')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
@@ -62,11 +62,22 @@ def experience(rows: DataFrame, key: str, order: Sequence[str], success: str, en
     return told.groupBy(key).agg(F.count_if("_s").alias("successes"), F.count_if(~F.col("_s")).alias("failures"), status.alias("status"))
 
 
-def within_quota(rows: DataFrame, day: str, order: Sequence[str], size: str, most: float) -> DataFrame:
-    """``rows`` with the running total of their day and whether it stays within the quota."""
-    w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(size).over(w)
-    return rows.withColumn("used", total).withColumn("allowed", total <= most)
+def within_quota(rows: DataFrame, day: str, order: Sequence[str], size: str, most: float, step: Column | None = None) -> DataFrame:
+    """``rows`` with the running total of their day and whether it stays within the quota.
+
+    ``step`` is a coarser form of ``order`` (an hour, a minute): totals then run over a day's steps, which
+    are few, and over the rows within each step, so that a busy day is no single task.
+    """
+    if step is None:
+        w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("used", F.sum(size).over(w)).withColumn("allowed", F.col("used") <= most)
+    stepped = rows.withColumn("_step", step)
+    ahead = Window.partitionBy(day).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stepped.groupBy(day, "_step").agg(F.sum(size).alias("_sum")).select(F.col(day).alias("_day"), F.col("_step").alias("_at"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    met = stepped.join(sums, F.col(day).eqNullSafe(F.col("_day")) & F.col("_step").eqNullSafe(F.col("_at")))
+    within = Window.partitionBy(day, "_step").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = met.withColumn("used", F.col("_before") + F.sum(size).over(within))
+    return used.withColumn("allowed", F.col("used") <= most).drop("_step", "_day", "_at", "_before")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partition_by: Sequence[str] = ()) -> StreamingQuery:
