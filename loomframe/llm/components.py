@@ -9,7 +9,7 @@ from .base import discard, durable
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours linked to the least of them; sums combine before the shuffle, so a hub is no hot task."""
+    """Each node's neighbours linked to the least of them; minima combine before the shuffle, and at a hub the join has one row on one side, so adaptive execution splits the other."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     met = both.join(low, "a")

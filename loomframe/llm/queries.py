@@ -24,42 +24,52 @@ def tokenizer_pattern() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template's occurrences in every document: doc_id, license, containment, first_word, end_word, places."""
     return licenses.scan(documents(spark, sf_dir))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and their decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, read back from them: doc_id, start, n_tokens, ids_crc32."""
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), plain=False))
 
 
 def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     return lm.scored(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
 def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links: vec_id, n_links, component_id, kept."""
     return itq.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, size, source_size, target, taken."""
     return mixing.report(documents(spark, sf_dir))
 
 
 def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside its edited text's and the next document's likeness."""
     return fingerprint.compared(documents(spark, sf_dir))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles and component: doc_id, n_shingles, component_id."""
     return ngram_join.join(documents(spark, sf_dir))
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard under the law ``rows``: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve."""
     return sharding.shards(documents(spark, sf_dir))
 
 
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's severity: doc_id, expected_severity, grade, p_toxic, toxic."""
     docs = documents(spark, sf_dir)
     return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 

@@ -9,14 +9,16 @@ severity, the sum of P(grade > j) over the cuts.
 Labels say toxic or not.  Grades 1 to 3 of the toxic rows come from the number of words that the
 labels set apart (terciles over the training rows); clean rows have grade 0.
 
-Near copies among the training rows count once.  The fit uses at most ``max_rows`` labelled rows, half of them toxic where there are enough,
-drawn by hash and weighted back to the classes' shares of all labels; scoring covers every
-document's whole text.
-
-Defined cases: a null or empty text has no features and grade 0; labels that are null are not
-used, several labels of a doc_id count as the highest, of several texts of a labelled doc_id the
-least is learnt from; a text of any length is scored whole; an empty table gives an empty result; without both classes the model has no
-weights and calls nothing toxic; repeated rows are scored alike; other columns are not read.
+Near copies among the training rows (whose least two shingles agree in either of two orders) count
+once, so that a copied text doesn't pass for many.  The fit uses at most ``max_rows`` labelled rows,
+half of them toxic where there are enough, drawn by hash and weighted back to the classes' shares of
+all labels; scoring covers every document's whole text.
+
+Defined cases: a null or empty text has no features and grade 0; labels that are null are not used,
+several labels of a doc_id count as the highest, of several texts of a labelled doc_id the least is
+learnt from; a text of any length is scored whole; an empty table gives an empty result; without
+both classes the model has no weights and calls nothing toxic; repeated rows are scored alike; other
+columns, whatever their names, are not read by ``scored`` and kept by ``clean``.
 """
 
 from __future__ import annotations

@@ -126,6 +126,25 @@ def test_odd_vectors(spark):
     assert itq.linked(table.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_vector_id(spark):
+    """Each row is a vector of its own; their component is that of the id."""
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (9, [1.0, 0.01, 0.0]), (7, [0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in itq.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(2, 1, 2, True), (5, 1, 2, False), (5, 1, 2, False), (7, 0, 7, True), (9, 1, 2, False)]
+
+
+def test_codes_within_the_radius_meet_and_others_do_not():
+    """The tables' rule, bit by bit: two vectors share a bucket if their keys differ in one place at most."""
+    p = itq.differing(0.95)
+    assert itq.n_tables(16, 0.95, 0.97) == 5 and 64 * p < itq.code_radius(64, 0.95) < 32
+    keys = range(16)
+    buckets = {k: {k, *(k | 1 << b for b in range(4) if not k >> b & 1)} for k in keys}
+    for x in keys:
+        for y in keys:
+            met = [b for b in buckets[x] & buckets[y] if b in (x, y)]
+            assert len(met) == (1 if (x ^ y).bit_count() <= 1 else 0)
+
+
 def test_large_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     rng = np.random.default_rng(3)
