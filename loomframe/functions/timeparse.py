@@ -54,7 +54,7 @@ def with_time(df: DataFrame, name: str, into: str) -> DataFrame:
         return df.withColumn(into, F.when(d.isNotNull(), F.struct(F.lit("day").alias("granularity"), F.year(d).alias("year"), F.lit(None).cast("int").alias("quarter"), F.month(d).alias("month"), F.day(d).alias("day"))))
     text = F.col(name).cast("long").cast("string") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name).cast("string")
     raw = f"{into}_raw"
-    known = df.select(text.alias(raw)).distinct().select(raw, time_value(F.col(raw)).alias(into)).filter(F.col(into).isNotNull())
+    known = df.select(text.alias(raw)).distinct().groupBy(raw).agg(F.first(time_value(F.col(raw))).alias(into))  # the aggregate keeps filters from parsing again
     return df.withColumn(raw, text).join(known, raw, "left").drop(raw)
 
 
