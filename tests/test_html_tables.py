@@ -20,4 +20,4 @@ def test_ragged_rows_are_kept(spark, tmp_path):
 def test_query_counts_ragged_rows(spark, monkeypatch):
     pages = spark.createDataFrame([(1, PAGE), (2, "<p>none"), (3, None)], "page_id long, html string")
     monkeypatch.setattr(queries, "_pages", lambda spark, sf: pages)
-    assert [(r["page_id"], r["n_rows"]) for r in queries.html_tables(spark, "").collect()] == [(1, 6)]
+    assert [(r["page_id"], r["n_rows"]) for r in queries.html_tables(spark, "").collect()] == [(1, 6), (2, 2)]
