@@ -30,9 +30,9 @@ from .base import small_batches, tidy
 
 NONE = np.int64(1) << 40
 #: Characters of text whose new words are replayed together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -346,6 +346,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
         if size >= BLOCK_CHARS:
             yield pa.concat_batches(held), texts
             held, texts, size = [], [], 0
+            pa.default_memory_pool().release_unused()  # one block's arrays at a time
     if texts:
         yield pa.concat_batches(held), texts
 
