@@ -205,7 +205,7 @@ def test_fingerprints_are_sketches_that_subtract(spark):
     """The cells of two fingerprints, subtracted, hold only the paragraphs that differ."""
     texts = ["one. two. three. four.", "one. two. three. five.", "one. two. three. four."]
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")  # ids of another type
-    got = {r["doc_id"]: r for r in fingerprint.compared(rows).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.compared(rows, whole=True).collect()}
     assert got["0"]["fingerprint"] == got["2"]["fingerprint"] != got["1"]["fingerprint"]
     a, b = (cells_of(got[i]["fingerprint"]) for i in "01")
     assert all(sum(c[0] for p, c in x.items() if (p - 1) >> fingerprint.LEAST_BITS == t) == 4 for x in (a, b) for t in range(3))
