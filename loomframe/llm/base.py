@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +66,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_DOCS))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_DOCS) -> Iterator[None]:
+    """Bound the rows of an Arrow batch for what is run inside; the session has its own setting again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, whose worker lives on after a task: what the task no longer needs goes back to the machine."""
 

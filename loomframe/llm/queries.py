@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, itq, licenses, lm, mixing, ngram_join, sharding, token_files, toxicity
+from . import bpe, fingerprint, itq, licenses, lm, mixing, ngram_join, sharding, spelling, token_files, topk, toxicity, whitening
 from .base import documents
 
 
@@ -74,12 +74,27 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query vector's five best inner products: query_id, rank, vec_id, score."""
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components: vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word's form and root: word, form, root, n, n_near, form_n."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_attention_lm, op5_itq_near_duplicates, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_attention_lm, op5_itq_near_duplicates, op6_source_mix, op7_iblt_fingerprints, op8_ngram_jaccard, op9_hilbert_shards, op10_ordinal_toxicity, op11_threshold_topk, op12_lobpcg_whitening, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": MIX_SQL}
+    return {"op6_source_mix": MIX_SQL, "op11_threshold_topk": TOPK_SQL}
 
 
 #: Sorts by hash, which the operator avoids; the crossing hash goes to the nearer side.
@@ -110,3 +125,16 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.h = d.h
 """
+
+#: Every query row against every row; the operator meets few of them.
+TOPK_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
