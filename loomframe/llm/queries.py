@@ -129,9 +129,9 @@ JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.h = d.h
 #: Every query row against every row; the operator meets few of them.
 TOPK_SQL = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x
+  SELECT vec_id, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
