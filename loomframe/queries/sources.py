@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import validate
 from ..registry import query, table
-from ..sources import readers, sinks
+from ..sources import payload, readers, sinks
 
 NATION_SQL = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
@@ -93,6 +93,26 @@ def scan_json_records(spark, sf):
     return parsed.select("user_id", F.inline("p.data"))
 
 
+@query("SELECT event_id, user_id, event_type, (props->>'$.k')::BIGINT AS k FROM events")
+def scan_payload_shapes(spark, sf):
+    """A provider's answer for each user's events, in five shapes; the records are found by their shape and typed together."""
+    record = F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(record)).alias("list"))
+    shapes = ['{"page": 1, "data": %s}', '[{"page": 1}, %s]', '{"total": 9, "value": {"items": %s}}', '{"data": {"records": %s}}', "%s"]
+    body = F.element_at(F.array(*[F.format_string(s, "list") for s in shapes]), (F.pmod("user_id", F.lit(len(shapes))) + 1).cast("int"))
+    return payload.typed(payload.explode_records(users.select("user_id", body.alias("body")), "body"))
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, '订单，' || o_orderpriority || chr(10) || '\"' || (o_custkey % 7) || '\"' AS note, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+def scan_gbk_orders(spark, sf):
+    """All orders as GBK text with line breaks and quotes inside cells, read back by splits: encoding, quotes and types are found by the reader."""
+    path = f"{_scratch(spark)}/orders"
+    note = F.concat(F.lit("订单，"), "o_orderpriority", F.lit('\n"'), (F.col("o_custkey") % 7).cast("string"), F.lit('"'))
+    rows = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    rows.write.option("header", True).option("encoding", "GB18030").option("escape", '"').csv(path)
+    return readers.read(spark, path).df
+
+
 @query("SELECT n_nationkey::BIGINT AS cell, n_regionkey::DOUBLE AS value, (n_nationkey // 5)::BIGINT AS a, (n_nationkey % 5)::BIGINT AS b FROM nation")
 def json_stat_cells(spark, sf):
     rows = table(spark, sf, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("double")))).alias("value"))

@@ -25,7 +25,6 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +33,12 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from ..errors import EngineError
 from ..operators.joins import append
 from ..operators.reshape import flatten
+from . import delimited, payload
 from .archive import safe_extract
 from .sniff import HEAD, delimiter_of, encoding_of, preamble_of, sniff, sniff_bytes
 
 #: Records of an unwrapped payload in one Arrow batch.
 RECORDS = 10_000
-RECORD_KEYS = ("data", "records", "results", "rows", "observations")
 
 
 @dataclass(frozen=True)
@@ -106,76 +105,37 @@ def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[pd.
     return nan_to_null(df), json.loads(found["meta"])
 
 
+def _part(spark: SparkSession, path: str) -> str:
+    """The first part of a folder, a file itself."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(where).isDirectory():
+        return path
+    return min(f.getPath().toString() for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 0)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Source:
-    head = head_of(spark, path)
-    encoding = encoding_of(head)
-    text = head.decode(encoding, errors="replace").lstrip("﻿")
-    skip = preamble_of(text)
+    """A file or a folder of parts with one schema; ``surplus_rows`` had more cells than the header and are left out."""
+    head = head_of(spark, _part(spark, path))
+    guess = head.decode(encoding_of(head), errors="replace").lstrip("\ufeff")
+    skip = preamble_of(guess)
+    rows = delimited.lines(spark, path)
+    known = delimited.facts(rows, skip)
+    text = head.decode(known.encoding, errors="replace").lstrip("\ufeff")
     sep = sep or delimiter_of("\n".join(text.splitlines()[skip:]))
-    meta = {"encoding": encoding, "separator": sep, "skipped_lines": skip}
-    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", True)  # short rows end in nulls
-    if skip:
-        lines = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("at"))
-        names = [n.strip().strip('"') for n in text.splitlines()[skip].split(sep)]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        rows = lines.filter(F.col("at") > skip)  # a file's first lines are the first of its first partition
-        parsed = rows.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
-        return Source(path, "csv", parsed, meta)
-    if encoding != "utf-8":
-        reader = reader.option("encoding", encoding)
-    return Source(path, "tsv" if sep == "\t" else "csv", nan_to_null(reader.csv(path)), meta)
-
-
-def json_records(data: object, depth: int = 0) -> list:
-    """The records of a provider's payload, which may be wrapped in lists and objects."""
-    if isinstance(data, list):
-        if len(data) == 2 and isinstance(data[0], dict) and isinstance(data[1], list):
-            return json_records(data[1], depth + 1)
-        if len(data) == 1 and isinstance(data[0], dict) and depth < 4:
-            for v in data[0].values():
-                if isinstance(v, list) and v and isinstance(v[0], dict):
-                    return v
-        return [x if isinstance(x, dict) else {"value": x} for x in data]
-    if isinstance(data, dict):
-        for key in RECORD_KEYS:
-            if isinstance(data.get(key), (list, dict)) and depth < 4:
-                return json_records(data[key], depth + 1)
-        return [data]
-    return [{"value": data}]
+    cells, header = delimited.cells(delimited.records(rows, known, skip), known, sep)
+    df, surplus = delimited.typed(cells, header)
+    return Source(path, "tsv" if sep == "\t" else "csv", df, {"encoding": known.encoding, "separator": sep, "skipped_lines": skip, "surplus_rows": surplus})
 
 
 def read_json(spark: SparkSession, path: str) -> Source:
-    """Plain arrays of records are read by Spark; wrapped payloads are unwrapped first."""
-    df = spark.read.option("multiLine", True).json(path)
-    for key in RECORD_KEYS:
-        if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) and isinstance(df.schema[key].dataType.elementType, T.StructType):
-            return Source(path, "json", flatten(df.select(F.explode(key).alias("r")).select("r.*")), {"records": key})
-    if df.columns and "_corrupt_record" not in df.columns:
-        return Source(path, "json", flatten(df))
-    return Source(path, "json", flatten(_unwrapped(spark, path)))
-
-
-def _unwrapped(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a payload that isn't one of records alone, unwrapped by a task; the schema is that of all records."""
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column(0):
-                try:
-                    found = json_records(json.loads(body.as_py()))
-                except ValueError:
-                    found = [None]
-                for at in range(0, len(found), RECORDS):
-                    yield pa.RecordBatch.from_arrays([pa.array([r if r is None else json.dumps(r) for r in found[at : at + RECORDS]], pa.string())], names=["j"])
-
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "j string").persist(StorageLevel.DISK_ONLY)
-    if not lines.isEmpty() and lines.filter("j is null").isEmpty():
-        df = spark.read.json(lines.rdd.map(lambda r: r["j"]))
-        if "_corrupt_record" not in df.columns:
-            return df
-    elif lines.isEmpty():
-        return spark.createDataFrame([], T.StructType([]))
-    raise EngineError("PARSE_FAILED", "no records", path=path)
+    """The records of a payload of any shape, or of a folder of payloads, under the schema of all of them."""
+    docs = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    broken = docs.agg(F.count_if(F.try_parse_json("value").isNull()), F.count("*")).first()
+    if broken[0]:
+        raise EngineError("PARSE_FAILED", "no JSON", path=path)
+    records = payload.explode_records(docs, "value")
+    return Source(path, "json", flatten(payload.typed(records)), {"documents": broken[1]})
 
 
 def read_jsonl(spark: SparkSession, path: str) -> Source:
@@ -201,7 +161,7 @@ def _row_tag(head: bytes) -> str:
 
 def read_xml(spark: SparkSession, path: str, row: str | None = None) -> Source:
     if row is None:
-        row = _row_tag(head_of(spark, path))
+        row = _row_tag(head_of(spark, _part(spark, path)))
     return Source(path, "xml", spark.read.option("rowTag", row).xml(path), {"row": row})
 
 
@@ -500,6 +460,9 @@ def read(spark: SparkSession, path: str) -> Source:
         parts = sorted(f.getPath().toString() for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 0)
         if not parts or sniff_bytes(head_of(spark, parts[0], HEAD)) == "parquet":
             return read_parquet(spark, path)
+        fmt = sniff_bytes(head_of(spark, parts[0]))
+        if fmt in GZIPPED and fmt != "geojson":
+            return READERS[fmt](spark, path)
         done = [read(spark, p) for p in parts]
         return Source(path, done[0].fmt, append([d.df for d in done]), done[0].meta)
     stream = fs.open(where)

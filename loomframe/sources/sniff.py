@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,14 +59,14 @@ def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"), sniffed(F.substring("content", 1, HEAD)).alias("format"))
 
 
-def encoding_of(head: bytes) -> str:
+def encoding_of(head: bytes, whole: bool = False) -> str:
+    """The first encoding that reads a file's first bytes, which may end within a character unless they are all of it."""
     for name in ("utf-8", "gbk", "gb18030"):
         try:
-            head.decode("utf-8-sig" if name == "utf-8" else name)
+            codecs.getincrementaldecoder(name)().decode(head, final=whole)
             return name
-        except UnicodeDecodeError as e:
-            if e.start >= len(head) - 4:  # cut within a character
-                return name
+        except UnicodeDecodeError:
+            continue
     return "latin-1"
 
 

@@ -22,8 +22,9 @@ def test_columns_of_later_records_and_large_payloads_are_kept(spark, tmp_path, n
     assert [tuple(r) for r in df.filter("late is not null").select("a", "late", "name").collect()] == [(n, 1.5, None)]
 
 
-def test_an_empty_list_has_no_rows(spark, tmp_path):
-    assert readers.read_json(spark, put(tmp_path, [{"page": 1}, []])).df.count() == 0
+def test_a_payload_without_records_is_one_value(spark, tmp_path):
+    df = readers.read_json(spark, put(tmp_path, [{"page": 1}, []])).df
+    assert df.columns == ["value"] and df.count() == 1
 
 
 def test_what_is_no_json_is_refused(spark, tmp_path):
