@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.timeparse import with_time
+from ..scratch import written
+from . import rank
 
 FINER = ("month", "quarter", "day")
 METHODS = ("mean", "sum", "min", "max", "median", "first", "last", "weighted_mean", "none")
@@ -17,7 +21,7 @@ METHODS = ("mean", "sum", "min", "max", "median", "first", "last", "weighted_mea
 def method_expr(name: str, method: str, order: Column, weight: str | None = None) -> Column:
     """One variable's aggregate; first and last follow ``order`` and skip nulls, an all-null sum is 0."""
     c = F.col(name)
-    plain = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
+    plain = {"mean": F.avg, "min": F.min, "max": F.max}
     if method in plain:
         return plain[method](c)
     if method == "sum":
@@ -42,7 +46,14 @@ def to_year(df: DataFrame, time_col: str, methods: Mapping[str, str], group: Seq
     kinds = [*FINER, "year"] if keep_years else list(FINER)
     rows = with_time(df, time_col, "_time").filter(F.col("_time.granularity").isin(kinds))
     at = F.struct("_time.year", "_time.quarter", "_time.month", "_time.day", *[F.col(c) for c in order])
-    return rows.groupBy(*group, F.col("_time.year").alias("year")).agg(*[method_expr(c, m, at, weight).alias(c) for c, m in methods.items()])
+    middle = [c for c, m in methods.items() if m == "median"]
+    rest = [method_expr(c, m, at, weight).alias(c) for c, m in methods.items() if m != "median"]
+    keys = [*group, "year"]
+    done = rows.groupBy(*group, F.col("_time.year").alias("year")).agg(F.count("*").alias("_rows"), *rest)
+    if middle:
+        dated = rows.select(*group, F.col("_time.year").alias("year"), *middle)
+        done = rank.same(done, rank.medians(dated, middle, keys), keys, "left")
+    return done.select(*keys, *methods)
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -53,12 +64,53 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFram
     return counts.agg(total("n").alias("n_rows"), F.count("*").alias("n_keys"), total(F.col("n") - 1).alias("n_duplicates"))
 
 
-def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """(column_name, value, n, place): each column's ``k`` most frequent values, ties by value."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
-    counts = long.filter("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+#: Values that a column's summary follows at first; Spark follows MOST at most.
+FOLLOWED, MOST = 1000, 1_000_000
+
+
+def _undercount(followed: int) -> float:
+    """The share of all rows that a value which the summary doesn't hold has at most: 3.5 by the size of its map."""
+    return 3.5 / 2 ** math.ceil(math.log2(followed / 0.75))
+
+
+def top_values(df: DataFrame, columns: Sequence[str], k: int = 5, followed: int = FOLLOWED) -> DataFrame:
+    """(column_name, value, n, place): each column's ``k`` most frequent values, ties by value.
+
+    One pass keeps a mergeable summary of frequent values for each column, a second one counts
+    only what the summaries hold.  That proves the result where the k-th count is above what a
+    value outside of the summary can have; columns where it isn't are followed by ten times as
+    many values, and those of which no summary can tell (most values as rare as the k-th) are
+    counted whole, of which each task keeps ``k``.
+    """
+    value = lambda c: F.col(c).cast("string")
+    rows = {c: n for c, n in zip(columns, df.agg(*[F.count(value(c)) for c in columns]).first(), strict=True)} if columns else {}
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("place", place).filter(F.col("place") <= k)
+    done, open_ = [], [c for c in columns if rows[c]]
+    while open_ and followed <= MOST:
+        summary = df.agg(*[F.call_function("approx_top_k", value(c), F.lit(followed), F.lit(followed)).alias(c) for c in open_])
+        held = F.explode(F.concat(*map(_items, open_)))
+        held = summary.select(held.alias("x")).select("x.*").filter("value is not null")
+        counts = written(_long(df, open_, value).join(F.broadcast(held), ["column_name", "value"]).groupBy("column_name", "value").agg(F.count("*").alias("n")))  # ``followed`` values a column at most
+        facts = counts.groupBy("column_name").agg(F.sum("n").alias("all"), F.try_element_at(F.sort_array(F.collect_list("n"), False), F.lit(k)).alias("kth")).collect()
+        sure = [r["column_name"] for r in facts if r["all"] == rows[r["column_name"]] or (r["kth"] or 0) > _undercount(followed) * rows[r["column_name"]]]
+        done.append(counts.filter(F.col("column_name").isin(sure)))
+        open_ = [c for c in open_ if c not in sure]
+        flat = {r["column_name"] for r in facts if (r["kth"] or 0) <= _undercount(MOST) * rows[r["column_name"]]}
+        if open_ and flat.issuperset(open_):
+            break
+        followed *= 10
+    if open_:
+        done.append(_long(df, open_, value).groupBy("column_name", "value").agg(F.count("*").alias("n")))
+    out = reduce(DataFrame.union, done) if done else df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _items(c: str) -> Column:
+    return F.transform(c, lambda x: F.struct(F.lit(c).alias("column_name"), x["item"].alias("value")))
+
+
+def _long(df: DataFrame, columns: Sequence[str], value: Callable[[str], Column]) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns])).alias("x")).select("x.*").filter("value is not null")
 
 
 def null_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -69,12 +121,13 @@ def null_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, min, q25, q50, q75, max, mean): exact, in one pass."""
-    facts = df.agg(*[F.struct(F.min(c).cast("double").alias("v_min"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q"), F.max(c).cast("double").alias("v_max"), F.avg(c).alias("mean")).alias(c) for c in columns])
+    """(column_name, min, q25, q50, q75, max, mean): exact; a pass for the ends and means, a few over histograms for the rest."""
+    facts = df.agg(*[F.struct(F.min(c).cast("double").alias("v_min"), F.max(c).cast("double").alias("v_max"), F.avg(c).alias("mean")).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in columns])
-    return facts.select(F.explode(rows).alias("x")).select(
-        "x.column_name", F.col("x.s.v_min").alias("v_min"), F.col("x.s.q")[0].alias("q25"), F.col("x.s.q")[1].alias("q50"), F.col("x.s.q")[2].alias("q75"), F.col("x.s.v_max").alias("v_max"), F.col("x.s.mean").alias("mean")
-    )
+    ends = facts.select(F.explode(rows).alias("x")).select("x.column_name", "x.s.*")
+    q = rank.quantiles(rank.stacked(df, columns), ["column_name"], "value", [0.25, 0.5, 0.75], few=True)
+    met = ends.join(F.broadcast(q), "column_name", "left")  # a row for each column
+    return met.select("column_name", "v_min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "v_max", "mean")
 
 
 def status_counts(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..scratch import written
+from . import rank
 
 METHODS = ("none", "drop", "ffill", "bfill", "linear", "group_linear", "mean", "median")
 
@@ -18,7 +20,10 @@ def _window(group: Sequence[str], order: Sequence[str]) -> Window:
 
 def _between(value: Column, known: Column, at: Column, back, ahead, limit: int | None) -> Column:
     """By position between the neighbours that have a value; after the last one its value, before the first null."""
-    before, after = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    return _inner(value, F.last(known, True).over(back), F.first(known, True).over(ahead), at, limit)
+
+
+def _inner(value: Column, before: Column, after: Column, at: Column, limit: int | None) -> Column:
     inner = before["v"] + (after["v"] - before["v"]) * (at - before["p"]) / (after["p"] - before["p"])
     filled = F.when(before.isNull(), F.lit(None).cast("double")).when(after.isNull(), before["v"]).otherwise(inner)
     if limit is not None:
@@ -26,11 +31,53 @@ def _between(value: Column, known: Column, at: Column, back, ahead, limit: int |
     return F.coalesce(value.cast("double"), filled)
 
 
+def _carried(df: DataFrame, columns: Sequence[str], method: str, order: Sequence[str], limit: int | None) -> tuple[DataFrame, dict[str, Column]]:
+    """A fill along an order of all rows, in ranges of it.
+
+    Rows are dealt to ranges and written.  Each range sums up its rows to their number and its
+    first and last known values with their places; what comes before and after a range follows
+    from the sums of the others, a row for each range, and goes to its rows by a broadcast join.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order)
+    at = ranges.withColumn("_place", F.row_number().over(w).cast("long"))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("p"), F.col(c).alias("v"))) for c in columns}
+    sums = at.groupBy("_part").agg(F.count("*").alias("n"), *[g(k).alias(f"{name}_{c}") for c, k in known.items() for name, g in (("first", F.min), ("last", F.max))])
+    rows, start = sorted(sums.collect(), key=lambda r: r["_part"]), 0  # a row for each range
+    carry = []
+    for r in rows:
+        carry.append({"_part": r["_part"], "_start": start})
+        start += r["n"]
+    for c in columns:
+        for name, way in (("last", range(len(rows))), ("first", range(len(rows) - 1, -1, -1))):
+            seen = None
+            for i in way:
+                carry[i][f"_{name}_{c}"] = seen
+                if rows[i][f"{name}_{c}"] is not None:
+                    seen = (carry[i]["_start"] + rows[i][f"{name}_{c}"]["p"], rows[i][f"{name}_{c}"]["v"])
+    schema = "_part int, _start long" + "".join(f", `_{name}_{c}` struct<p: long, v: {df.schema[c].dataType.simpleString()}>" for c in columns for name in ("last", "first"))
+    names = ["_part", "_start", *[f"_{name}_{c}" for c in columns for name in ("last", "first")]]
+    sent = df.sparkSession.createDataFrame([tuple(r[x] for x in names) for r in carry], schema)
+    base = at.join(F.broadcast(sent), "_part")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    place, done = F.col("_start") + F.col("_place"), {}
+    for c in columns:
+        own = F.when(F.col(c).isNotNull(), F.struct(place.alias("p"), F.col(c).alias("v")))
+        before, after = F.coalesce(F.last(own, True).over(back), F.col(f"_last_{c}")), F.coalesce(F.first(own, True).over(ahead), F.col(f"_first_{c}"))
+        if method == "ffill":
+            done[c] = F.coalesce(F.col(c), before["v"])
+        elif method == "bfill":
+            done[c] = F.coalesce(F.col(c), after["v"])
+        else:
+            done[c] = _inner(F.col(c), before, after, place, limit)
+    return base, done
+
+
 def fill(df: DataFrame, columns: Sequence[str], method: str, group: Sequence[str] = (), order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """``df`` with the policy applied and, but for none and drop, a column ``__imputed_<name>`` for each.
 
     ``linear`` runs within ``group`` where one is given; ``group_linear`` demands one.  Fills
-    along an order without a group hold all rows in one partition, so name a group for large data.
+    along an order without a group carry known values over ranges of the order, see ``_carried``.
     """
     if method not in METHODS:
         raise EngineError("BUILD_FAILED", f"unknown missing policy {method!r}")
@@ -42,10 +89,12 @@ def fill(df: DataFrame, columns: Sequence[str], method: str, group: Sequence[str
         return df.na.drop(subset=list(columns))
     done = {}
     if method in ("mean", "median"):
-        f = F.avg if method == "mean" else F.median
-        facts = df.groupBy(*group).agg(*[f(c).alias(f"_fill_{c}") for c in columns])
+        facts = df.groupBy(*group).agg(*[F.avg(c).alias(c) for c in columns]) if method == "mean" else rank.medians(df, columns, group)
+        facts = facts.select(*group, *[F.col(c).alias(f"_fill_{c}") for c in columns])
         base = df.join(facts, list(group), "left") if group else df.crossJoin(F.broadcast(facts))  # one row
         done = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")) for c in columns}
+    elif not group:
+        base, done = _carried(df, columns, method, order, limit)
     else:
         base, w = df, _window(group, order)
         for c in columns:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
+from . import rank
 from .aggregate import top_values
 from .reshape import text_of
 
@@ -56,28 +59,30 @@ def _one_pass(df: DataFrame, names: Sequence[str], sketched: bool) -> DataFrame:
 
 
 def _exact(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column_name, n_unique, q): exact, from the counts of each column's values, a shuffle a column."""
-    out = None
-    for c in names:
-        number = _is_number(df, c)
-        counts = df.select((F.col(c).cast("double") if number else text_of(df, c)).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-        q = F.percentile("v", list(QUARTERS), F.col("n")) if number else F.lit(None).cast("array<double>")
-        row = counts.agg(F.count("*").alias("n_unique"), q.alias("q")).select(F.lit(c).alias("column_name"), "n_unique", "q")
-        out = row if out is None else out.union(row)
-    return out
+    """(column_name, n_unique, q): exact, from the counts of all columns' values, made in one pass."""
+    numbers, texts = [c for c in names if _is_number(df, c)], [c for c in names if not _is_number(df, c)]
+    parts = []
+    if numbers:
+        counts = written(rank.stacked(df, numbers).groupBy("column_name", "value").agg(F.count("*").alias("n")))
+        q = rank.quantiles(counts, ["column_name"], "value", QUARTERS, weight="n", few=True)
+        parts.append(counts.groupBy("column_name").agg(F.count("*").alias("n_unique")).join(F.broadcast(q), "column_name"))
+    if texts:
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), text_of(df, c).alias("value")) for c in texts])
+        values = df.select(F.explode(rows).alias("x")).select("x.*").filter("value is not null").distinct()
+        parts.append(values.groupBy("column_name").agg(F.count("*").alias("n_unique"), F.lit(None).cast("array<double>").alias("q")))
+    return reduce(DataFrame.union, parts)
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """A row a column: nulls, distinct values, range, quartiles, text patterns and hints.
 
     Distinct values and quartiles are sketched in the one pass that gives the rest.  With
-    ``exact`` they come from the counts of each column's values, so a column's distinct numbers
-    meet in one task's memory: for frames where that is wanted and fits.
+    ``exact`` they come from the counts of all columns' values, dealt by value.
     """
     names = list(columns or df.columns)
     out = _one_pass(df, names, not exact)
     if exact:
-        out = out.join(F.broadcast(_exact(df, names)), "column_name")  # a row a column
+        out = out.join(F.broadcast(_exact(df, names)), "column_name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))  # a row a column
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return out.select(
         "column_name", "type", "is_numeric", "n_rows", "n_null",

@@ -123,6 +123,9 @@ missing_bfill = _filled("bfill", "nv")
 missing_linear = _filled("linear", LINEAR)
 missing_group_linear = _filled("group_linear", LINEAR)
 missing_linear_limit = _filled("linear", f"CASE WHEN v IS NULL AND pos - pp > 1 THEN NULL ELSE {LINEAR} END", limit=1, name="missing_linear_limit")
+missing_ffill_whole = _filled("ffill", "pv", group=(), name="missing_ffill_whole")
+missing_bfill_whole = _filled("bfill", "nv", group=(), name="missing_bfill_whole")
+missing_linear_whole = _filled("linear", LINEAR, group=(), name="missing_linear_whole")
 missing_mean = _filled("mean", "coalesce(v, avg(v) OVER ())", group=())
 missing_median = _filled("median", "coalesce(v, (SELECT median(v) FROM t))", group=())
 
