@@ -8,9 +8,8 @@ values to years, entities to codes, aggregates where rows are finer than years,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import entities, formula, timeparse, units
 from ..operators import aggregate, joins, missing, reshape, validate
+from . import semantics
 
 # What a variable's name says about its yearly aggregate, in the order in which markers count.
 AGGREGATES = {
@@ -155,15 +155,9 @@ def steps(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame([(f"s{i}", kind, parameters.get(kind, ""), warnings.get(kind, "")) for i, kind in enumerate(STEPS, 1)], "step string, kind string, parameters string, warning string")
 
 
-def same_name_conflicts(inputs: Mapping[str, Sequence[units.Meaning]]) -> list[Point]:
-    """Variables of one name in two inputs whose meanings can't stand in one column."""
-    out = []
-    for (a, mine), (b, theirs) in combinations(inputs.items(), 2):
-        for x in mine:
-            for y in theirs:
-                if x.name == y.name and not units.compare(x, y).compatible:
-                    out.append(Point("blocking", "semantics", x.name, f"{a} and {b}: {'; '.join(units.compare(x, y).issues)}"))
-    return out
+def same_name_conflicts(spark: SparkSession, inputs: Mapping[str, Sequence[units.Meaning]]) -> list[Point]:
+    """Variables of one name in several inputs whose meanings can't stand in one column."""
+    return [Point("blocking", "semantics", variable, f"{facet}: {message}") for severity, variable, facet, message in semantics.scan(semantics.declared(spark, inputs)) if severity == "blocking"]
 
 
 def canonical_keys(keys: Sequence[str]) -> list[str]:
@@ -209,12 +203,18 @@ def with_entity(df: DataFrame, unit: str) -> DataFrame:
     return entities.resolve_regions(named, column, level, F.col("year") if "year" in df.columns else None, out=f"_{key}").drop(*([key] if key in df.columns else [])).withColumnRenamed(f"_{key}", key)
 
 
-def annual(df: DataFrame, config: Config) -> DataFrame:
+def is_finer(df: DataFrame, config: Config) -> bool:
+    """Whether an input holds rows of months, quarters or days."""
+    rows = canonical(df, config)
+    return config.frequency == "annual" and "_granularity" in rows.columns and not rows.filter(F.col("_granularity").isin(*aggregate.FINER)).isEmpty()
+
+
+def annual(df: DataFrame, config: Config, finer: bool) -> DataFrame:
     """One row for each entity and year where rows are finer; a variable without a method keeps its first value."""
     marks = [c for c in ("_granularity", "_within") if c in df.columns]
-    if config.frequency != "annual" or "_granularity" not in df.columns or not df.filter(F.col("_granularity").isin(*aggregate.FINER)).limit(1).count():
+    if not finer:
         return df.drop(*marks)
-    group = [k for k in config.keys if k in df.columns]
+    group = [k for k in canonical_keys(config.keys) if k in df.columns] if config.keys else []
     values = [c for c in reshape.numeric_columns(df) if c not in (*group, "year")]
     others = [c for c in df.columns if c not in (*group, *values, *marks, "year")]
     at = F.col("_within")
@@ -222,31 +222,50 @@ def annual(df: DataFrame, config: Config) -> DataFrame:
     return df.groupBy(*dict.fromkeys([*group, "year"])).agg(*out)
 
 
-def run(config: Config, inputs: Mapping[str, DataFrame], filters: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
-    """The panel: lazy, but for the joins' guards and the look at each input's time notation."""
-    if missing_ := [n for n in config.inputs if n not in inputs]:
-        raise EngineError("NOT_FOUND", f"inputs {missing_} are not there")
+#: What is told of each step: (rows, name, operation, parameters, the step before) to the rows.
+Note = Callable[[DataFrame, str, str, Mapping[str, object], str | None], DataFrame]
+
+
+def assemble(config: Config, frames_in: Mapping[str, DataFrame], finer: Mapping[str, bool], meanings: DataFrame | None = None, note: Note = lambda df, *_: df) -> DataFrame:
+    """The panel of inputs that are filtered already; conflicts of meaning stop it."""
+    if meanings is not None and (found := [x for x in semantics.scan(meanings) if x[0] == "blocking"]):
+        raise EngineError("SEMANTIC_CONFLICT", "; ".join(f"{variable} {facet}: {message}" for _, variable, facet, message in found))
     frames = []
     for i, name in enumerate(config.inputs, 1):
-        df = annual(canonical(reshape.filter_equal(inputs[name], (filters or {}).get(name, {})), config), config)
+        df = canonical(frames_in[name], config)
+        df = note(df, f"canonical_{name}", "canonicalize_input", {"input": name, "unit": config.unit}, f"load_{name}")
+        df = annual(df, config, finer[name])
+        if finer[name]:
+            df = note(df, f"annual_{name}", "aggregate_to_year", dict(config.methods), f"canonical_{name}")
         frames.append(df.withColumnRenamed("value", f"value_i{i}") if "value" in df.columns else df)
     if not frames:
         raise EngineError("BUILD_FAILED", "no inputs")
     keys = canonical_keys(config.keys) if config.keys else []
-    if len(frames) == 1:
-        panel = frames[0]
-    elif not keys:
-        panel = joins.append(frames)
-    else:
-        panel = frames[0]
-        for right in frames[1:]:
+    before = ("annual_" if finer[config.inputs[0]] else "canonical_") + config.inputs[0]
+    panel = frames[0]
+    if len(frames) > 1 and not keys:
+        panel = note(joins.append(frames), "append", "append", {}, before)
+        before = "append"
+    elif len(frames) > 1:
+        for name, right in zip(config.inputs[1:], frames[1:], strict=True):
             panel = joins.safe_join(panel, right, keys, allow_mm=config.allow_mm).df
+            panel = note(panel, f"join_{name}", "join", {"keys": keys, "right": name}, before)
+            before = f"join_{name}"
     values = [c for c in reshape.numeric_columns(panel) if c not in (*keys, "year")]
     order = [k for k in ("year",) if k in panel.columns]
-    panel = missing.fill(panel, values, config.missing, [k for k in keys if k != "year" and k in panel.columns], order) if values else panel
+    if values:
+        panel = missing.fill(panel, values, config.missing, [k for k in keys if k != "year" and k in panel.columns], order)
     for name, text in config.derived:
         panel = formula.derive(panel, text, name, [t for kind, t in formula.tokens(text) if kind == "name"])
-    return panel
+    return note(panel, "panel", "missing_and_derived", {"missing": config.missing, "derived": [n for n, _ in config.derived]}, before)
+
+
+def run(config: Config, inputs: Mapping[str, DataFrame], filters: Mapping[str, Mapping[str, object]] | None = None, meanings: DataFrame | None = None) -> DataFrame:
+    """The panel: lazy, but for the joins' guards, the look at each input's time notation and the scan of meanings, where they are stated."""
+    if missing_ := [n for n in config.inputs if n not in inputs]:
+        raise EngineError("NOT_FOUND", f"inputs {missing_} are not there")
+    frames = {n: reshape.filter_equal(inputs[n], (filters or {}).get(n, {})) for n in config.inputs}
+    return assemble(config, frames, {n: is_finer(df, config) for n, df in frames.items()}, meanings)
 
 
 def checks(config: Config, panel: DataFrame) -> DataFrame:

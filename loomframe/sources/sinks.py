@@ -167,7 +167,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def export_package(df: DataFrame, path: str, log: OperationLog, checks: DataFrame | None = None, sources: Sequence[Mapping[str, str]] = ()) -> list[str]:
+def export_package(df: DataFrame, path: str, log: OperationLog, checks: DataFrame | None = None, sources: Sequence[Mapping[str, str]] = (), script: str = "") -> list[str]:
     """The final table with its metadata, provenance, reports and script; the files made, all of them there."""
     spark, path = df.sparkSession, path.rstrip("/")
     write_parquet(df, f"{path}/data/final.parquet")
@@ -178,7 +178,7 @@ def export_package(df: DataFrame, path: str, log: OperationLog, checks: DataFram
         "provenance/sources.jsonl": "".join(json.dumps(dict(s), ensure_ascii=False) + "\n" for s in sources),
         "reports/methodology.md": log.methodology(),
         "reports/quality_report.html": quality_html(checks) if checks is not None else "<!doctype html><p>No checks.</p>",
-        "scripts/reproduce.py": REPEAT,
+        "scripts/reproduce.py": script or REPEAT,
     }
     for name, text in texts.items():
         write_text(spark, text, f"{path}/{name}")

@@ -63,8 +63,8 @@ def test_provinces_are_valid_in_their_years_and_generic_keys_stay_null(spark):
     assert {r["entity_key"] for r in firms.collect()} == {None}
 
 
-def test_same_names_with_other_meanings():
-    points = build.same_name_conflicts({"a": [Meaning("gdp", unit="usd", price_basis="real")], "b": [Meaning("gdp", unit="usd", price_basis="nominal")], "c": [Meaning("pop")]})
+def test_same_names_with_other_meanings(spark):
+    points = build.same_name_conflicts(spark, {"a": [Meaning("gdp", unit="usd", price_basis="real")], "b": [Meaning("gdp", unit="usd", price_basis="nominal")], "c": [Meaning("pop")]})
     assert [(p.severity, p.field) for p in points] == [("blocking", "gdp")]
 
 
