@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, ranking
-from ..plans import requirement
+from ..plans import fanout, requirement
 from ..registry import query, table
 from ..streaming import state
 from .text import URL_SQL
@@ -114,3 +114,14 @@ def provider_aliases(spark, sf):
     names = F.array(F.array(F.lit("World Bank"), F.lit("worldbank")), F.array(F.lit("worldbank"), F.lit("OECD"), F.lit("x")), F.array(F.lit("nope")), F.array(F.lit(" oecd ")))
     mine = F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", F.array_join(requirement.canonical_providers(mine, {"world bank": "world_bank", "worldbank": "world_bank", "oecd": "oecd"}), ",").alias("ids"))
+
+
+@query("""SELECT 'documents' AS provider, 'success' AS status, count(*) AS n_rows FROM documents WHERE contains(lower(text), 'data') UNION ALL SELECT 'pages', 'success', count(*) FROM pages WHERE contains(lower(html), 'data')
+UNION ALL SELECT 'conversations', 'success', count(*) FROM conversations WHERE contains(lower(text), 'data') UNION ALL SELECT 'broken', 'failed', 0""")
+def search_fanout(spark, sf):
+    """Four sources searched at once, one of which fails: a status row for each, and the rows of the others."""
+    holds = lambda name, text: lambda s: table(s, sf, name).filter(F.contains(F.lower(text), F.lit("data"))).select(F.col(text).alias("text"))
+    broken = lambda s: table(s, sf, "documents").select(F.raise_error(F.lit("no answer")).alias("text"))
+    found = fanout.search_all(spark, {"documents": holds("documents", "text"), "pages": holds("pages", "html"), "conversations": holds("conversations", "text"), "broken": broken})
+    rows = found.rows.groupBy("provider").agg(F.count("*").alias("n_rows"))
+    return found.tasks.select("provider", "status").join(rows, "provider", "left").select("provider", "status", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
