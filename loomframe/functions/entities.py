@@ -83,10 +83,10 @@ HISTORICAL = [("420600", "襄樊市", 1983, 2010), ("320800", "淮阴市", 1955,
 # Names of columns that hold an entity, by kind.
 COLUMN_NAMES = {
     "country": ("country", "country_name", "nation", "country_code", "iso3", "iso2", "geo", "ref_area", "reporter", "partner"),
-    "province": ("province", "province_name", "province_code", "prov", "region", "省份"),
-    "prefecture": ("city", "city_name", "city_code", "prefecture", "prefecture_name", "prefecture_code", "城市", "地级市"),
+    "province": ("province", "province_name", "province_code", "prov", "geo", "region", "省份"),
+    "prefecture": ("city", "city_name", "city_code", "prefecture", "prefecture_name", "prefecture_code", "geo", "region", "城市", "地级市"),
 }
-#: Values of a column that are looked at to tell what it holds, and the share that must be known.
+#: Distinct values of a column that are looked at to tell what it holds, and the share that must be known.
 SAMPLE, KNOWN = 20, 0.6
 
 
@@ -172,16 +172,16 @@ def resolve_regions(df: DataFrame, column: str, level: str, year: Column | None
 
 
 def hit_ratio(df: DataFrame, column: str, kind: str) -> float:
-    """The share of a column's first SAMPLE values that are known names or codes of ``kind``."""
+    """The share of SAMPLE of a column's distinct values, drawn by hash, that are known names or codes of ``kind``."""
     spark = df.sparkSession
     text = F.trim(F.col(column).cast("string"))
-    sample = df.select(text.alias("v")).filter("v != ''").limit(SAMPLE).withColumn("alias", F.lower("v") if kind == "country" else F.col("v"))
+    sample = df.select(text.alias("v")).filter("v != ''").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).withColumn("alias", F.lower("v") if kind == "country" else F.col("v"))
     known = (country_table(spark) if kind == "country" else region_table(spark, kind)).select("alias", F.lit(1).alias("hit"))
     return sample.join(F.broadcast(known), "alias", "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0))).first()[0]  # a fixed table
 
 
 def holds(df: DataFrame, column: str, kind: str) -> bool:
-    """Whether a column holds entities of ``kind``: by its name, or by most of its first values."""
+    """Whether a column holds entities of ``kind``: by its name, or by most of its values."""
     return column.strip().lower().replace(" ", "_") in COLUMN_NAMES[kind] or hit_ratio(df, column, kind) >= KNOWN
 
 

@@ -24,7 +24,7 @@ LICENSES = {
     "odc-by": "ODbL", "odc-pddl": "CC0-1.0", "odc-odbl": "ODbL", "other-open": "OPEN(unknown type)", "uk-ogl": "OGL-UK",
     "notspecified": "UNKNOWN", "": "UNKNOWN",
 }
-FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "parquet": "parquet", "xlsx": "xlsx", "xls": "xls", "zip": "zip", "gz": "gz", "xml": "xml", "html": "html", "txt": "txt", "dta": "dta", "sav": "sav"}
+FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "parquet": "parquet", "xlsx": "xlsx", "xls": "xls", "zip": "zip", "gz": "gz", "xml": "xml", "html": "html", "txt": "txt", "dta": "dta", "sav": "sav", "geojson": "geojson", "shp": "shp", "nc": "netcdf", "tar": "tar", "pdf": "pdf", "rdf": "rdf"}
 MASK = "***MASKED***"
 
 
@@ -41,9 +41,13 @@ def canonical_link(html: Column) -> Column:
 
 
 def to_markdown(html: Column) -> Column:
-    """The main part's text: headings as #, links as [text](url), scripts and tags dropped, blanks collapsed."""
+    """The main part's text: headings as #, links as [text](url), scripts and tags dropped, blanks collapsed.
+
+    The main part is the first main or article, else a division named content or main that ends the body, else the page.
+    """
     main = F.regexp_extract(html, r"(?is)<(main|article)[^>]*>(.*?)</\1>", 2)
-    out = F.when(main != "", main).otherwise(html)
+    content = F.regexp_extract(html, r"(?is)<div[^>]+(?:id|class)=\"[^\"]*(?:content|main)[^\"]*\"[^>]*>(.*?)</div>\s*(?:<footer|<script|</body)", 1)
+    out = F.when(main != "", main).when(content != "", content).otherwise(html)
     out = F.regexp_replace(out, r"(?is)<(script|style|noscript|head)\b[^>]*>.*?</\1>", " ")
     for level in range(1, 7):
         out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n")
@@ -56,6 +60,25 @@ def to_markdown(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
+def page_markdown(html: Column) -> Column:
+    """The main part's text under the page's title."""
+    return F.when(title(html) != "", F.concat(F.lit("# "), title(html), F.lit("\n\n"), to_markdown(html))).otherwise(to_markdown(html))
+
+
+def metadata(html: Column) -> Column:
+    """What a page says of itself, each value with the tag that it came from; null where there is none."""
+
+    def said(value: Column, source: str) -> Column:
+        return F.when(value != "", F.struct(F.trim(value).alias("value"), F.lit(source).alias("source")))
+
+    return F.struct(
+        F.coalesce(said(title(html), "html:title-tag"), said(meta(html, "og:title"), "og:title")).alias("title"),
+        said(meta(html, "description"), "html:description-tag").alias("description"),
+        said(meta(html, "author"), "html:author-tag").alias("author"),
+        said(canonical_link(html), "html:canonical-tag").alias("canonical"),
+    )
+
+
 def links(html: Column) -> Column:
     """All href values, in order."""
     return F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']([^\"'#]+)"), F.lit(1))
@@ -137,10 +160,19 @@ def absolute(base: Column, href: Column) -> Column:
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(page, href)).otherwise(F.concat(folder, href))
     )
-    path = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/\.$", "/")
-    for _ in range(4):  # steps up, innermost first
-        path = F.regexp_replace(path, r"(?<=[^/:])/(?!\.\.(?:/|$))[^/]+/\.\.(?:/|$)", "/")
-    return F.regexp_replace(path, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)(?:/\.\.)+(?=/|$)", "$1")
+    return _without_dots(joined)
+
+
+def _without_dots(url: Column) -> Column:
+    """An address whose path has no "." and ".." left, however many there are; steps above the root stay at the root."""
+    root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)/", 1)
+    rest = F.substring(url, F.length(root) + 1, F.length(url))
+    path, tail = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"([?#].*)$", 1)
+    step = lambda kept, part: F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    parts = F.aggregate(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), F.array().cast("array<string>"), step)
+    last = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    clean = F.regexp_replace(F.concat(F.lit("/"), F.array_join(parts, "/"), last), "^//$", "/")
+    return F.when((root != "") & path.rlike(r"/\.\.?(/|$)"), F.concat(root, clean, tail)).otherwise(url)
 
 
 # Beginnings of links that lead to no page.

@@ -88,14 +88,14 @@ def fiscal_to_year(raw: Column) -> Column:
 
 
 def find_time_column(df: DataFrame) -> str | None:
-    """``year``, else a column with a time's name, else the first of whose 20 values all parse."""
+    """``year``, else a column with a time's name, else the first of whose 20 distinct values, drawn by hash, all parse."""
     if "year" in df.columns:
         return "year"
     for name in TIME_NAMES:
         if name in df.columns:
             return name
     for name in df.columns:
-        sample = df.select(F.col(name).cast("string").alias("v")).filter("trim(v) != ''").limit(20)
+        sample = df.select(F.col(name).cast("string").alias("v")).filter("trim(v) != ''").distinct().orderBy(F.xxhash64("v"), "v").limit(20)
         n, bad = sample.agg(F.count("*"), F.count_if(time_value(F.col("v")).isNull())).first()
         if n and not bad:
             return name

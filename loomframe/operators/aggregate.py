@@ -121,11 +121,12 @@ def null_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, min, q25, q50, q75, max, mean): exact; a pass for the ends and means, a few over histograms for the rest."""
+    """(column_name, min, q25, q50, q75, max, mean): exact; a pass for the ends and means, one for the counts of values, a few over these for the rest."""
     facts = df.agg(*[F.struct(F.min(c).cast("double").alias("v_min"), F.max(c).cast("double").alias("v_max"), F.avg(c).alias("mean")).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in columns])
     ends = facts.select(F.explode(rows).alias("x")).select("x.column_name", "x.s.*")
-    q = rank.quantiles(rank.stacked(df, columns), ["column_name"], "value", [0.25, 0.5, 0.75], few=True)
+    counts = written(rank.stacked(df, columns).groupBy("column_name", "value").agg(F.count("*").alias("n")))
+    q = rank.quantiles(counts, ["column_name"], "value", [0.25, 0.5, 0.75], weight="n", few=True)
     met = ends.join(F.broadcast(q), "column_name", "left")  # a row for each column
     return met.select("column_name", "v_min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "v_max", "mean")
 

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.text import dedup_url, doi_key, title_key
 
 AUTO, REVIEW = 0.92, 0.80
+#: Titles of a run that one task compares with all others of the run.
+BLOCK = 500
 
 
 def candidate_key(doi: Column, url: Column, ident: Column) -> Column:
@@ -48,7 +50,7 @@ def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) ->
 
     Before runs are compared, two words of bits rule out most pairs: a character or run that only one
     title has turns one bit of the parities, and so many of them are allowed at most.  What is left
-    must be within as many edits.  A run that very many titles share is split by adaptive execution.
+    must be within as many edits.  The titles of a run that more than BLOCK of them have are dealt over tasks.
     """
     q = 2 if 1.5 * least > 1.1 else 1
     slope = least / 2 - (q - 1) * (1 - least)
@@ -58,8 +60,8 @@ def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) ->
     starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda p: p <= F.col("n") - (q - 1))
     runs = keyed.select("i", F.explode(F.transform(starts, lambda p: F.substring(F.col("k"), p, F.lit(q)))).alias("g")).groupBy("i", "g").agg(F.count("*").cast("int").alias("c"))
     runs = runs.select("i", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"))
-    ranks = runs.groupBy("g", "c").agg(F.count("*").alias("f")).select("g", "c", F.row_number().over(Window.orderBy("f", "g", "c")).alias("rank"))  # keys have 37 different characters, so at most 37 ** q by the times one comes up in a title
-    own = runs.join(ranks, ["g", "c"]).groupBy("i").agg(F.array_sort(F.collect_list("rank")).alias("runs"))
+    ranks = runs.groupBy("g", "c").agg(F.count("*").alias("f")).select("g", "c", "f", F.row_number().over(Window.orderBy("f", "g", "c")).alias("rank"))  # keys have 37 different characters, so at most 37 ** q by the times one comes up in a title
+    own = runs.join(ranks.drop("f"), ["g", "c"]).groupBy("i").agg(F.array_sort(F.collect_list("rank")).alias("runs"))
     short = F.col("n") * slope <= q - 1
     first = F.size("runs") - F.greatest(needed(F.col("n") * 2 / (2 - least)), F.lit(1)) + 1  # the least its longest and shortest partners need
     ready = keyed.join(own, "i", "left").withColumn("runs", F.concat(F.when(short, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.coalesce("runs", F.array().cast("array<int>"))))
@@ -67,7 +69,10 @@ def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) ->
     grams = F.aggregate("runs", F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), r % 64)))
     ready = ready.withColumn("chars", chars).withColumn("grams", grams)
     blocks = ready.select("i", "k", "n", "chars", "grams", "runs", F.explode(F.when(short, F.col("runs")).otherwise(F.slice("runs", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))).alias("run"))
-    side = lambda x: blocks.select("run", *[F.col(c).alias(c + x) for c in ("i", "k", "n", "chars", "grams", "runs")])
+    heavy = ranks.filter(F.col("f") > BLOCK).select(F.col("rank").alias("run"), F.ceil(F.col("f") / BLOCK).cast("int").alias("cuts"))
+    blocks = blocks.join(F.broadcast(heavy), "run", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))  # as many as ranks at most
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    side = lambda x, cut: blocks.select("run", cut.alias("cut"), *[F.col(c).alias(c + x) for c in ("i", "k", "n", "chars", "grams", "runs")]).repartition(parts, "run", "cut")
     both = F.col("na") + F.col("nb")
     apart = F.floor(both * F.lit(1 - least) + F.lit(1e-6))  # characters that one title has and the other hasn't, at most
     sizes = F.size("runsa") + F.size("runsb")
@@ -75,7 +80,7 @@ def fuzzy_pairs(df: DataFrame, ident: str, title: str, least: float = REVIEW) ->
     other &= F.bit_count(F.col("gramsa").bitwiseXOR(F.col("gramsb"))) <= sizes - 2 * needed(both)
     common = F.array_intersect("runsa", "runsb")
     near = (F.col("ia") < F.col("ib")) & (2 * F.least("na", "nb") / both >= least) & other & (F.get(common, F.lit(0)) == F.col("run")) & (F.size(common) >= needed(both)) & (F.levenshtein("ka", "kb") <= apart)
-    pairs = side("a").join(side("b"), "run").filter(near).select(F.col("ia").alias("left_id"), F.col("ib").alias("right_id"), "ka", "kb")
+    pairs = side("a", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int")).join(side("b", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))), ["run", "cut"]).filter(near).select(F.col("ia").alias("left_id"), F.col("ib").alias("right_id"), "ka", "kb")
     return pairs.withColumn("similarity", title_similarity("ka", "kb")).filter(F.col("similarity").between(least, 0.9999999)).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 

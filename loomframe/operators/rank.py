@@ -9,10 +9,12 @@ data with few digits need two or three.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import written
 
@@ -49,9 +51,41 @@ def _settled() -> Column:
     return (F.col("_lo") == F.col("_hi")) | (F.col("_off") == 0) | (F.col("_off") == F.col("_n") - 1)
 
 
-def _collected(df: DataFrame) -> DataFrame:
-    """A table of a row for each group and wanted rank, held by the driver: for few groups."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def _refined(inside: DataFrame, keys: list[str]) -> DataFrame:
+    """The values within open buckets counted in SPLIT steps between each bucket's ends."""
+    step = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT), F.lit(SPLIT - 1))
+    return inside.groupBy(*keys, F.col("_lo").alias("_least"), step.alias("_s")).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_ranks").alias("_ranks"))
+
+
+def _few(data: DataFrame, first: DataFrame, keys: list[str], part: list[str], shares: Sequence[float], name: str) -> DataFrame:
+    """The quantiles of few groups: the open ranks, a row for each group and rank, go by way of the driver."""
+    spark = data.sparkSession
+    fields = [data.schema[k] for k in part]
+    wanted = T.StructType([*fields, *T._parse_datatype_string("_total long, _lo double, _hi double, _ranks array<struct<_rank: long, _off: long>>").fields])
+    counts, cuts, values, totals = first, [*part, "_total"], {}, {}
+    while True:
+        open_: dict[tuple, list] = {}
+        for r in _found(counts, cuts, "_s", F.col("_ranks")).collect():
+            key = tuple(r[k] for k in part)
+            totals[key] = r["_total"]
+            if r["_lo"] == r["_hi"] or r["_off"] in (0, r["_n"] - 1):
+                values[key, r["_rank"]] = r["_lo"] if r["_off"] == 0 else r["_hi"]
+            else:
+                open_.setdefault((*key, r["_total"], r["_lo"], r["_hi"]), []).append((r["_rank"], r["_off"]))
+        if not open_:
+            break
+        left = spark.createDataFrame([(*k, v) for k, v in open_.items()], wanted)
+        counts, cuts = _refined(same(data, F.broadcast(left), part).filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))), [*part, "_total"]), [*part, "_total", "_least"]
+    rows = []
+    for key, total in totals.items():
+        q = []
+        for p in shares:
+            at = p * (total - 1)
+            low, high = values[key, math.floor(at)], values[key, math.ceil(at)]
+            q.append(low if low == high else low * (math.ceil(at) - at) + high * (at - math.floor(at)))
+        rows.append((*key, q))
+    out = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return spark.createDataFrame(rows, out).select(*keys, name)
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], weight: str | None = None, name: str = "q", few: bool = False) -> DataFrame:
@@ -71,8 +105,9 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence
     whole = [g(at(p)).cast("long") for p in shares for g in (F.floor, F.ceil)]
     ranks = F.transform(F.array_distinct(F.array(*whole)), lambda r: F.struct(r.alias("_rank"), r.alias("_off")))
     sized = first.withColumn("_total", total)
-    keep = _collected if few else written
-    open_ = keep(_found(sized.withColumn("_ranks", ranks), [*part, "_total"], "_s", F.col("_ranks")))
+    if few:
+        return _few(data, sized.withColumn("_ranks", ranks), keys, part, shares, name)
+    open_ = written(_found(sized.withColumn("_ranks", ranks), [*part, "_total"], "_s", F.col("_ranks")))
     done = []
     while True:
         done.append(open_.filter(_settled()).select(*part, "_total", "_rank", F.when(F.col("_off") == 0, F.col("_lo")).otherwise(F.col("_hi")).alias("v")))
@@ -80,10 +115,9 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence
         if left.isEmpty():
             break
         wanted = left.groupBy(*part, "_total", "_lo", "_hi").agg(F.collect_list(F.struct("_rank", "_off")).alias("_ranks"))  # two for each share at most
-        inside = same(data, F.broadcast(wanted) if few else wanted, part).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        step = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT), F.lit(SPLIT - 1))
-        counts = inside.groupBy(*part, "_total", F.col("_lo").alias("_least"), step.alias("_s")).agg(n, *ends, F.first("_ranks").alias("_ranks"))
-        open_ = keep(_found(counts, [*part, "_total", "_least"], "_s", F.col("_ranks")).drop("_least"))
+        inside = same(data, wanted, part).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counts = _refined(inside, [*part, "_total"])
+        open_ = written(_found(counts, [*part, "_total", "_least"], "_s", F.col("_ranks")).drop("_least"))
     values = done[0]
     for more in done[1:]:
         values = values.union(more)

@@ -125,3 +125,16 @@ def search_fanout(spark, sf):
     found = fanout.search_all(spark, {"documents": holds("documents", "text"), "pages": holds("pages", "html"), "conversations": holds("conversations", "text"), "broken": broken})
     rows = found.rows.groupBy("provider").agg(F.count("*").alias("n_rows"))
     return found.tasks.select("provider", "status").join(rows, "provider", "left").select("provider", "status", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 1000 / 1000.0 >= 0.6 THEN 'high' WHEN n_chars % 1000 / 1000.0 >= 0.35 THEN 'medium' ELSE 'low' END AS relevance FROM documents")
+def relevance_bands(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", ranking.relevance(F.col("n_chars") % 1000 / 1000.0).alias("relevance"))
+
+
+@query("""SELECT key, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN '10.5/' || p_size WHEN p_partkey % 3 = 1 THEN 'arx' || p_size ELSE lower(trim(p_name)) END AS key FROM part) GROUP BY key""")
+def paper_keys(spark, sf):
+    """Papers under their DOI, else their preprint's number, else their title."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    key = dedup.paper_key(F.when(kind == 0, F.concat(F.lit("https://doi.org/10.5/"), size)), F.when(kind == 1, F.concat(F.lit(" ARX"), size)), F.col("p_name"))
+    return table(spark, sf, "part").select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))

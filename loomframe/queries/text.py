@@ -20,11 +20,48 @@ def html_title(spark, sf):
     return _pages(spark, sf).select("page_id", text.title(F.col("html")).alias("title"))
 
 
-@query("SELECT page_id, sha256(text) AS text_hash FROM (SELECT page_id, 'page ' || page_id || chr(10) || 'body' AS text FROM pages)")
+def _markdown_sql():
+    """The steps of ``text.to_markdown`` in DuckDB's SQL, whose patterns have no back references."""
+    cut = lambda e, p, to: f"regexp_replace({e}, '{p}', '{to}', 'g')"
+    out = "CASE WHEN m <> '' THEN m WHEN c <> '' THEN c ELSE html END"
+    for tag in ("script", "style", "noscript", "head"):
+        out = cut(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    for level in range(1, 7):
+        out = f"regexp_replace({out}, '(?is)<h{level}\\b[^>]*>(.*?)</h{level}>', chr(10) || '{'#' * level} \\1' || chr(10), 'g')"
+    out = cut(out, r"""(?is)<a\b[^>]*href=["\x27]([^"\x27]*)["\x27][^>]*>(.*?)</a>""", r"[\2](\1)")
+    out = f"regexp_replace({out}, '(?i)<br\\s*/?>|</(?:p|div|li|tr)>', chr(10), 'g')"
+    out = cut(out, r"(?s)<[^>]+>", "")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    out = f"regexp_replace({cut(out, r'[ \t]+', ' ')}, '\\n\\s*\\n+', chr(10) || chr(10), 'g')"
+    out = cut(out, r"^\s+|\s+$", "")
+    main = r"regexp_extract(html, '(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1)"
+    content = r"""regexp_extract(html, '(?is)<div[^>]+(?:id|class)="[^"]*(?:content|main)[^"]*"[^>]*>(.*?)</div>\s*(?:<footer|<script|</body)', 1)"""
+    return f"SELECT page_id, html, {out} AS text FROM (SELECT page_id, html, {main} AS m, {content} AS c FROM pages)"
+
+
+MARKDOWN_SQL = _markdown_sql()
+
+
+@query(f"SELECT page_id, sha256(text) AS text_hash FROM ({MARKDOWN_SQL})")
 def html_text_hash(spark, sf):
-    """The hash of a page's text, whatever its markup."""
-    html = F.concat(F.lit("<html><head><title>t</title></head><main><p class='"), (F.col("page_id") % 3).cast("string"), F.lit("'>page "), F.col("page_id").cast("string"), F.lit("</p><div>body</div></main></html>"))
-    return _pages(spark, sf).select("page_id", F.sha2(text.to_markdown(html), 256).alias("text_hash"))
+    """The hash of each page's text, whatever its markup."""
+    return _pages(spark, sf).select("page_id", F.sha2(text.to_markdown(F.col("html")), 256).alias("text_hash"))
+
+
+@query(f"SELECT page_id, '# ' || trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) || chr(10) || chr(10) || text AS page FROM ({MARKDOWN_SQL})")
+def html_page_markdown(spark, sf):
+    """Each page's text under its title."""
+    return _pages(spark, sf).select("page_id", text.page_markdown(F.col("html")).alias("page"))
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE 'shared ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'html:title-tag' ELSE 'og:title' END AS source FROM pages""")
+def html_page_title(spark, sf):
+    """The pages' titles with the tag they come from; every other page keeps only its shared title."""
+    shared = F.concat(F.lit('<meta property="og:title" content="shared '), F.col("page_id").cast("string"), F.lit('">'))
+    html = F.when(F.col("page_id") % 2 == 0, F.concat(shared, "html")).otherwise(F.regexp_replace("html", r"(?is)<title[^>]*>.*?</title>", shared))
+    found = _pages(spark, sf).select("page_id", text.metadata(html).alias("m"))
+    return found.select("page_id", F.col("m.title.value").alias("title"), F.col("m.title.source").alias("source"))
 
 
 LINKS = ["/a/b", "c/../d", "?q=1", "//other.org/x", "mailto:me@h.org", "https://sub.h.org/y", "http://bad.h.org/z", "../../up"]
@@ -56,7 +93,7 @@ def html_quality(spark, sf):
     return _pages(spark, sf).select("page_id", F.exists(r, lambda x: x.startswith("thin")).alias("thin"), F.array_contains(r, "unstripped tags remain").alias("tags"), F.array_contains(r, "JS-shell page").alias("shell"))
 
 
-@query()
+@query(f"SELECT page_id, text FROM ({MARKDOWN_SQL})")
 def html_markdown(spark, sf):
     return _pages(spark, sf).select("page_id", text.to_markdown(F.col("html")).alias("text"))
 

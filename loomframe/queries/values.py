@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entities, formula, timeparse, units
-from ..operators import missing, profile, validate
+from ..operators import joins, missing, profile, validate
 from ..registry import query, table
 
 FORMS = "CASE o_orderkey % 6 WHEN 0 THEN {y} WHEN 1 THEN {y} || '年' WHEN 2 THEN {d} WHEN 3 THEN {y} || 'Q' || {q} WHEN 4 THEN {m} ELSE 'FY' || {y} END"
@@ -244,3 +244,32 @@ def validate_row_drift(spark, sf):
 @query("SELECT 'TYPE_DRIFT' AS code, 'ERROR' AS severity, 'c_custkey' AS field, 1::BIGINT AS affected")
 def validate_type_drift(spark, sf):
     return validate.check_types(table(spark, sf, "customer"), {"c_custkey": "string", "c_name": "string", "c_acctbal": "double"})
+
+
+@query("""WITH l AS (SELECT c_custkey AS k FROM customer), r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1),
+f AS (SELECT count(*) FILTER (WHERE r.k IS NOT NULL)::DOUBLE / count(*) AS c, count(*) FILTER (WHERE r.k IS NULL) AS n FROM l LEFT JOIN r USING (k))
+SELECT x.code, x.severity, x.affected FROM f CROSS JOIN LATERAL (VALUES ('JOIN_COVERAGE_LOW', 'WARNING', n, round(c, 4) < 0.8), ('JOIN_COVERAGE', 'INFO', n, round(c, 4) >= 0.8), ('UNMATCHED_ENTITIES', 'INFO', n, n > 0)) x(code, severity, affected, holds) WHERE x.holds""")
+def validate_join(spark, sf):
+    """Coverage of a join and its unmatched entities: customers and those that some orders name."""
+    left = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    right = table(spark, sf, "orders").filter("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("k")).distinct()
+    return validate.check_join(joins.join_report(left, right, ["k"])).select("code", "severity", "affected")
+
+
+@query(f"WITH t AS (SELECT {NULLS} AS v, min(CASE WHEN event_id % 3 <> 0 THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS f, (ts, event_id) AS spot FROM events) SELECT 'IMPUTATION_PRESENT' AS code, 'INFO' AS severity, 'value' AS field, count(*) FILTER (WHERE v IS NULL AND spot > f)::BIGINT AS affected FROM t HAVING affected > 0")
+def validate_imputed(spark, sf):
+    """How many cells a fill made up."""
+    return validate.check_imputed(missing.fill(_gaps(spark, sf), ["value"], "ffill", ["user_id"], ["ts", "event_id"])).select("code", "severity", "field", "affected")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount / 100.0 AS as_fraction, l_discount * 100.0 AS as_percent FROM lineitem")
+def unit_convert(spark, sf):
+    """Discounts read as percent and as a fraction, each in the other's unit."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", units.convert(F.col("l_discount"), "percent", "fraction").alias("as_fraction"), units.convert(F.col("l_discount"), "share", "percent").alias("as_percent"))
+
+
+@query("SELECT x.column_name, x.unit_hint FROM (SELECT max(l_discount) AS d, max(l_quantity) AS q FROM lineitem) CROSS JOIN LATERAL (VALUES ('discount_rate', CASE WHEN d <= 1.5 THEN 'fraction' ELSE 'percent' END), ('quantity_share', CASE WHEN q <= 1.5 THEN 'fraction' ELSE 'percent' END), ('price_usd', 'usd'), ('tax', NULL)) x(column_name, unit_hint)")
+def profile_units(spark, sf):
+    """Units that names and values hint at, from the sketched profile."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_discount").alias("discount_rate"), F.col("l_quantity").alias("quantity_share"), F.col("l_extendedprice").alias("price_usd"), F.col("l_tax").alias("tax"))
+    return profile.profile(rows).select("column_name", "unit_hint")

@@ -20,13 +20,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """The store that keyed state needs, for streams that are started inside."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    """The settings that keyed state needs, for streams that are started inside: its store, and no batches without rows, which state with a time to live would ask for without end."""
+    wanted = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class _Changes(StatefulProcessor):

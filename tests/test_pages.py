@@ -73,3 +73,27 @@ def test_majority_and_time_columns(spark):
     assert timeparse.majority_granularity(df, "when").first()[0] == "month" and timeparse.find_time_column(df) == "when"
     rows = timeparse.with_time(df, "when", "t").orderBy("when").collect()
     assert [(r["t"]["granularity"], r["t"]["year"], r["t"]["month"]) for r in rows] == [("month", 2020, 1), ("month", 2020, 2), ("year", 2021, None)]
+
+
+def test_links_of_any_depth_are_those_of_the_library(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from loomframe.functions import text
+
+    bases = ["https://h.org/a/b/c/d/e/f/g/h.html", "https://h.org", "https://h.org/x/?q=../1"]
+    hrefs = ["../../../../../../x", "../" * 12 + "y/../z", "./a/./b/..", "../..", "..", ".", "k/../../../m?p=/../n#/../o", "/p/./q/../../r/", "...", "a..b/c", "/../up"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = {(r["b"], r["h"]): r["u"] for r in spark.createDataFrame(rows, "b string, h string").withColumn("u", text.absolute(F.col("b"), F.col("h"))).collect()}
+    assert got == {(b, h): urljoin(b, h) for b, h in rows}
+
+
+def test_main_part_is_a_named_division_where_there_is_no_main(spark):
+    from pyspark.sql import functions as F
+
+    from loomframe.functions import text
+
+    html = "<html><title>T</title><body><nav>menu</nav><div class=\"page-content x\"><p>one</p><div>two</div></div> <footer>foot</footer></body></html>"
+    row = spark.createDataFrame([(html,)], "h string").select(text.page_markdown(F.col("h"))).first()[0]
+    assert row.startswith("# T\n\n") and "one" in row and "two" in row and "menu" not in row and "foot" not in row
