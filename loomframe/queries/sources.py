@@ -109,7 +109,7 @@ def scan_gbk_orders(spark, sf):
     path = f"{_scratch(spark)}/orders"
     note = F.concat(F.lit("订单，"), "o_orderpriority", F.lit('\n"'), (F.col("o_custkey") % 7).cast("string"), F.lit('"'))
     rows = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
-    rows.write.option("header", True).option("encoding", "GB18030").option("escape", '"').csv(path)
+    sinks.write_encoded_csv(rows, path, "gbk")
     return readers.read(spark, path).df
 
 

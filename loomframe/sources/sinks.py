@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
 import os
 import zipfile
@@ -10,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_encoded_csv(df: DataFrame, path: str, encoding: str) -> None:
+    """CSV parts with headers in any encoding that Python knows and that holds ASCII bytes as themselves; Spark's writer knows few."""
+    names = df.columns
+
+    def lines(batches):
+        def encoded(rows) -> pa.RecordBatch:
+            out = []
+            for row in rows:
+                text = io.StringIO()
+                csv.writer(text, lineterminator="").writerow(row)
+                out.append(text.getvalue().encode(encoding))
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["line"])
+
+        yield encoded([names])
+        for batch in batches:
+            yield encoded(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+
+    df.mapInArrow(lines, "line binary").select(F.col("line").cast("string").alias("value")).write.mode("errorifexists").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
