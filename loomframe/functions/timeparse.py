@@ -78,8 +78,10 @@ def majority_granularity(df: DataFrame, name: str) -> DataFrame:
     return counted.agg(F.coalesce(F.max_by("g", F.struct(F.col("count"), -rank)), F.lit("unknown")).alias("frequency"))
 
 
-def frequency_conflict(a: str, b: str) -> bool:
-    return "unknown" not in (a, b) and a != b
+def frequency_conflict(a: Column, b: Column) -> Column:
+    """Whether two known frequencies differ; null and ``unknown`` conflict with nothing."""
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    return (known(a) != "unknown") & (known(b) != "unknown") & (known(a) != known(b))
 
 
 def fiscal_to_year(raw: Column) -> Column:

@@ -58,12 +58,18 @@ def rank_candidates(spark, sf):
     return ranking.best(scored, 25).select("id", "score")
 
 
-@query("SELECT id, score FROM (VALUES ('wb', 24.0::DOUBLE), ('stats', 11.0), ('cn', 11.0)) t(id, score)")
+@query("""WITH p AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS id, (['international_org', 'gov', 'cn', 'market'])[(s_suppkey % 4 + 1)::INT] AS category, (['international', 'official', 'academic', 'commercial'])[(s_suppkey % 5 % 4 + 1)::INT] AS trust, CASE WHEN s_nationkey % 3 = 0 THEN 'CN' ELSE 'EU' END AS region, s_suppkey % 11 <> 0 AS active, s_suppkey % 3 <> 0 AS anonymous, s_suppkey % 13 <> 0 AS searchable FROM supplier),
+s AS (SELECT id, k, (2.0 * (CASE trust WHEN 'international' THEN 5 WHEN 'official' THEN 4 WHEN 'academic' THEN 3 ELSE 1 END) + CASE category WHEN 'international_org' THEN 14.0 WHEN 'gov' THEN 3.0 ELSE 0 END - CASE WHEN trust = 'commercial' THEN 1.5 ELSE 0 END + CASE WHEN category = 'cn' OR region = 'CN' THEN 5.0 ELSE 0 END
+  - CASE WHEN anonymous THEN 0 ELSE 3.0 END - CASE WHEN searchable THEN 0 ELSE 100.0 END)::DOUBLE AS score FROM p WHERE active)
+SELECT id, score FROM s WHERE score > -50 ORDER BY score DESC, k LIMIT 12""")
 def select_providers_topk(spark, sf):
-    rows = [("wb", "World Bank", "international_org", "international", "GLOBAL", True, True, True, 1), ("cn", "Bureau", "cn", "official", "CN", True, True, True, 2), ("stats", "Statistics office", "gov", "official", "EU", True, True, True, 3), ("shop", "Data shop", "market", "commercial", "GLOBAL", False, True, True, 4), ("off", "Closed", "gov", "official", "EU", True, True, False, 5)]
-    df = spark.createDataFrame(rows, "id string, name string, category string, trust string, region string, anonymous boolean, searchable boolean, active boolean, position int")
-    df = df.withColumn("trust", F.when(F.col("id") == "cn", "academic").otherwise(F.col("trust")))
-    return ranking.select_providers(df, macro=True, china=True, public_only=True, preferences=["international_org"], k=3).select("id", "score")
+    """The twelve best of the suppliers, taken as providers of data."""
+    k, pick = F.col("s_suppkey"), lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    df = table(spark, sf, "supplier").select(
+        k.cast("string").alias("id"), F.col("s_name").alias("name"), pick(["international_org", "gov", "cn", "market"], k % 4).alias("category"), pick(["international", "official", "academic", "commercial"], k % 5 % 4).alias("trust"),
+        F.when(F.col("s_nationkey") % 3 == 0, "CN").otherwise("EU").alias("region"), (k % 11 != 0).alias("active"), (k % 3 != 0).alias("anonymous"), (k % 13 != 0).alias("searchable"), k.alias("position"),
+    )
+    return ranking.select_providers(df, macro=True, china=True, public_only=True, preferences=["international_org"], k=12).select("id", "score")
 
 
 @query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%brass%' THEN 2.0 WHEN lower(p_name) LIKE '%brass%' THEN 1.0 ELSE 0.0 END + CASE WHEN lower(p_type) LIKE '%part%' THEN 2.0 WHEN lower(p_name) LIKE '%part%' THEN 1.0 ELSE 0.0 END AS score FROM part ORDER BY score DESC, p_partkey LIMIT 10".replace("AS score FROM", "AS score FROM"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities, formula, timeparse, units
 from ..operators import joins, missing, profile, validate
+from ..plans import semantics
 from ..registry import query, table
 
 FORMS = "CASE o_orderkey % 6 WHEN 0 THEN {y} WHEN 1 THEN {y} || '年' WHEN 2 THEN {d} WHEN 3 THEN {y} || 'Q' || {q} WHEN 4 THEN {m} ELSE 'FY' || {y} END"
@@ -33,10 +34,13 @@ def time_fiscal(spark, sf):
     return _forms(spark, sf).select("o_orderkey", timeparse.fiscal_to_year(F.col("raw")).alias("year"))
 
 
-@query("SELECT 'month' AS a, 'year' AS b, true AS conflict UNION ALL SELECT 'month', 'month', false UNION ALL SELECT 'unknown', 'year', false")
+@query("WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 'unknown' ELSE (['year', 'year', 'day', 'quarter', 'month', 'fiscal_year'])[(o_orderkey % 6 + 1)::INT] END AS a, CASE WHEN o_custkey % 2 = 0 THEN 'year' ELSE 'month' END AS b FROM orders) SELECT o_orderkey, a <> 'unknown' AND a <> b AS conflict FROM t")
 def time_freq_conflict(spark, sf):
-    pairs = [("month", "year"), ("month", "month"), ("unknown", "year")]
-    return spark.createDataFrame([(a, b, timeparse.frequency_conflict(a, b)) for a, b in pairs], "a string, b string, conflict boolean")
+    """Whether each order's time is of another frequency than its customer's; every fifth time is no time."""
+    rows = _forms(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    raw = F.when(F.col("o_orderkey") % 5 == 4, "soon").otherwise(F.col("raw"))
+    own = timeparse.time_value(raw)["granularity"]
+    return rows.select("o_orderkey", timeparse.frequency_conflict(own, F.when(F.col("o_custkey") % 2 == 0, "year").otherwise("month")).alias("conflict"))
 
 
 @query("SELECT o_custkey, round(least(1.0, greatest(0, least(max(year(o_orderdate)), 2000) - greatest(min(year(o_orderdate)), 1996)) / 4.0), 4)::DOUBLE AS overlap FROM orders GROUP BY 1")
@@ -185,16 +189,14 @@ def profile_string_patterns(spark, sf):
     return profile.profile(rows, exact=True).select("column_name", "numeric_text", "han_text", "categorical")
 
 
-@query("SELECT * FROM (VALUES ('gdp', false, 3, ''), ('rate', true, 0, 'x * 100'), ('sex', true, 0, 'recode {''0'': ''M'', ''1'': ''F''}')) t(name, compatible, n_issues, conversion)")
+@query("""WITH u AS (SELECT 'v' || (s_suppkey % 7) AS variable, (['percent', 'fraction', 'usd'])[(CASE WHEN s_suppkey % 7 < 3 THEN s_suppkey % 2 WHEN s_suppkey % 7 < 5 THEN s_suppkey % 3 ELSE 2 END + 1)::INT] AS value FROM supplier)
+SELECT variable, list_sort(list(DISTINCT value)) AS found, CASE WHEN list_sort(list(DISTINCT value)) = ['fraction', 'percent'] THEN 'conversion' ELSE 'blocking' END AS severity FROM u GROUP BY variable HAVING count(DISTINCT value) > 1""")
 def semantics_compare(spark, sf):
-    m = units.Meaning
-    pairs = [
-        (m("gdp", unit="cny", price_basis="nominal", currency="CNY"), m("gdp", unit="usd", price_basis="real", currency="USD", base_year=2015)),
-        (m("rate", unit="fraction"), m("rate", unit="percent")),
-        (m("sex", coding={"0": "male", "1": "female"}), m("sex", coding={"M": "M", "F": "F"})),
-    ]
-    rows = [(a.name, (c := units.compare(a, b)).compatible, len(c.issues), "; ".join(c.conversions)) for a, b in pairs]
-    return spark.createDataFrame(rows, "name string, compatible boolean, n_issues int, conversion string")
+    """Units that the suppliers state for variables of one name, and whether they stand in one column."""
+    k = F.col("s_suppkey") % 7
+    unit = F.element_at(F.array(F.lit("percent"), F.lit("fraction"), F.lit("usd")), (F.when(k < 3, F.col("s_suppkey") % 2).when(k < 5, F.col("s_suppkey") % 3).otherwise(2) + 1).cast("int"))
+    stated = table(spark, sf, "supplier").select(F.col("s_name").alias("input"), F.concat(F.lit("v"), k.cast("string")).alias("variable"), F.lit("unit").alias("facet"), unit.alias("value"))
+    return semantics.differences(stated).select("variable", "found", "severity")
 
 
 CHECK = "SELECT '{code}' AS code, '{sev}' AS severity, {field} AS field, ({n})::BIGINT AS affected"
