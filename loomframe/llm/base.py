@@ -32,8 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back, which cuts the lineage."""
+#: Rows of a file, and least number of files, of a written table whose rows are known to be few.
+ROWS_A_FILE = 50_000
+LEAST_FILES = 8
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back, which cuts the lineage.
+
+    ``rows`` is a bound on its rows, where there is one: a small table then gets few files, however many partitions it comes from.
+    """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,12 +22,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (a, b) with the least node that it reaches."""
+    rows = None
     now = durable(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:  # each round at least shortens the longest chain
-        before, now = now, durable(_stars(_stars(now, True), False))
+        before, now = now, durable(_stars(_stars(now, True), False), rows)
         discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        last = state
+        last, rows = state, state[0]  # a step never adds edges

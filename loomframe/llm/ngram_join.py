@@ -161,7 +161,7 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     small_batches(pairs.sparkSession)
     kind = pairs.schema["a"].dataType.simpleString()
     pairs = durable(pairs.select("a", "b"))
-    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), 2 * pairs.count())
     wanted = among(texts, ids, "doc_id")
     one = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -263,14 +263,15 @@ def _across(shared: DataFrame, sketches: DataFrame, groups: DataFrame, texts: Da
     left = both.join(plausible(both.select("a", "b"), sketches, percent), ["a", "b"])
     turned = F.col("ra") > F.col("rb")
     pick = lambda p, q: F.when(turned, F.col(p)).otherwise(F.col(q))
-    near = durable(left.select(pick("rb", "ra").alias("ra"), pick("ra", "rb").alias("rb"), pick("b", "a").alias("a"), pick("a", "b").alias("b")).distinct())
+    near = durable(left.select(pick("rb", "ra").alias("ra"), pick("ra", "rb").alias("rb"), pick("b", "a").alias("a"), pick("a", "b").alias("b")).distinct(), both.count())
     discard(rooted, both)
 
     # The roots' answers: their distance, and each member's distance to its root.
+    n_near = 2 * near.count()
     roots = compared(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), texts, n)
-    apart = durable(roots.groupBy(F.col("a").alias("ra"), F.col("b").alias("rb")).agg(F.min(distance()).alias("apart"), F.max(similar(percent)).alias("linked")))
+    apart = durable(roots.groupBy(F.col("a").alias("ra"), F.col("b").alias("rb")).agg(F.min(distance()).alias("apart"), F.max(similar(percent)).alias("linked")), n_near)
     own = near.select(F.col("ra").alias("a"), F.col("a").alias("b")).union(near.select("rb", "b")).filter("a != b").distinct()
-    off = durable(compared(own, texts, n).groupBy(F.col("b").alias("d")).agg(F.max(distance()).alias("off")))
+    off = durable(compared(own, texts, n).groupBy(F.col("b").alias("d")).agg(F.max(distance()).alias("off")), n_near)
     limit = 1 - percent / 100 + 1e-9
     open_pairs = (
         near.join(apart.filter("not linked"), ["ra", "rb"])
