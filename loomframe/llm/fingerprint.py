@@ -12,10 +12,11 @@ Cells exist only where something was put in, so a large sketch costs no more row
 group by the document's key, so that only the texts and their neighbours' heads are shuffled.
 
 The likeness of two texts is |common| / |all| of their digest sets, from the set sizes and the
-recovered difference.  The fingerprint string is the sketch folded to one cell (count, key and
-check in hexadecimal), or, with ``whole``, the sketch with the least number of cells, its used
-cells in order as place:count:key:check, which can be subtracted and peeled and takes some 2 KB a
-text.  Sketches of more cells, which likenesses of longer texts need, are of the same digests.
+recovered difference.  The fingerprint string is the sketch with 2 ** SHOWN_BITS cells a subtable,
+packed: the count (modulo 2 ** 16), the key and the last 32 bits of the check of every cell, in
+order, in base 64, 448 characters whatever the text.  Two of them can be subtracted and peeled
+where their sets differ in few digests; likenesses of others come from larger sketches of the
+same digests.
 
 Defined cases: a null text is an empty one; two texts without
 paragraphs are alike (1.0); doc_ids may have any type that has an order; the next document of
@@ -38,6 +39,8 @@ PARAGRAPH = 128
 UNIT = rf"[^\n.!?]{{1,{PARAGRAPH}}}[.!?]*|[.!?]+"
 #: Least cells of a subtable, as a power of two; sweeps of the three subtables in an attempt.
 LEAST_BITS = 4
+#: Cells of a subtable of the fingerprint string, as a power of two.
+SHOWN_BITS = 3
 SWEEPS = 6
 #: Documents of a partition; their cells fit in a task's memory.
 DOCS_A_TASK = 1500
@@ -57,33 +60,24 @@ def _cell(key: Column, bits: Column, table: Column, seed: int) -> Column:
     return F.call_function("shiftleft", table.cast("long"), bits) + drawn + 1
 
 
-def folded(units: Column) -> Column:
-    """The sketch folded to one cell, as a string."""
-    fold = lambda f: F.aggregate(units, F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(f(u)))
-    return F.concat_ws("-", *[F.lower(F.hex(x)) for x in (F.size(units), fold(lambda u: u), fold(F.xxhash64))])
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.transform(F.array(value), use)[0]
 
 
 def sketch(units: Column) -> Column:
-    """The sketch of digests with 2 ** LEAST_BITS cells a subtable, as a string."""
-    bits = F.lit(LEAST_BITS)
-    one = lambda u: F.struct(u.alias("k"), F.xxhash64(u).alias("c"), *[_cell(u, bits, F.lit(t), 0).alias(f"t{t}") for t in range(3)])
-    text = lambda x: F.lower(F.hex(x))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    """The sketch of digests with 2 ** SHOWN_BITS cells a subtable, packed as a string."""
+    one = lambda u: F.struct(u.alias("k"), F.xxhash64(u).alias("c"), *[_cell(u, F.lit(SHOWN_BITS), F.lit(t), 0).alias(f"t{t}") for t in range(3)])
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "k", "c")])
     add = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+    text = lambda x, width: F.lpad(F.hex(x), width, "0")
+    packed = lambda s: F.concat(text(s["n"].bitwiseAND(0xFFFF), 4), text(s["k"], 16), text(s["c"].bitwiseAND(0xFFFFFFFF), 8))
 
     def cells(put: Column, t: int) -> Column:
-        def cell(place: Column) -> Column:
-            here = F.aggregate(F.filter(put, lambda x: x[f"t{t}"] == place), start, add)
-            return _let(here, lambda s: F.concat_ws(":", text(place), text(s["n"]), text(s["k"]), text(s["c"])))
-
-        return F.transform(F.array_sort(F.array_distinct(F.transform(put, lambda x: x[f"t{t}"]))), cell)
+        places = F.sequence(*[F.lit(x).cast("long") for x in ((t << SHOWN_BITS) + 1, (t + 1) << SHOWN_BITS)])
+        return F.transform(places, lambda place: _let(F.aggregate(F.filter(put, lambda x: x[f"t{t}"] == place), start, add), packed))
 
-    return _let(F.transform(units, one), lambda put: F.concat_ws(",", *[cells(put, t) for t in range(3)]))
+    return F.translate(F.base64(F.unhex(_let(F.transform(units, one), lambda put: F.concat_ws("", *[cells(put, t) for t in range(3)])))), "\r\n", "")
 
 
 # A cell's code holds the pair (from bit 60), the subtable's bits (from 50) and the place; place 0 counts what was recovered.
@@ -151,7 +145,7 @@ def _likeness(other: str) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart))
 
 
-def _attempt(texts: DataFrame, beside: DataFrame, attempt: int, whole: bool) -> DataFrame:
+def _attempt(texts: DataFrame, beside: DataFrame, attempt: int) -> DataFrame:
     """Everything about the documents of ``beside`` (key, next key, size of its edit), from one attempt."""
     key = ["kd", "h"]
     asked = beside.select(F.col("next_kd").alias("kd"), F.col("next_h").alias("h"), F.col("kd").alias("for_kd"), F.col("h").alias("for_h"), "doc_id", "cut")
@@ -160,15 +154,14 @@ def _attempt(texts: DataFrame, beside: DataFrame, attempt: int, whole: bool) ->
     edited = F.concat(F.substring("text", F.lit(1), n_chars - F.col("cut")), F.col("head"))
     rows = texts.join(heads, key).select(*key, "doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edit"), digests(F.col("text")).alias("own"), "next")
     sets = rows.select(*key, "own", digests(F.col("edit")).alias("edited"), "next")
-    shown = sketch if whole else folded
     facts = rows.select(
-        *key, "doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), _let(digests(F.col("edit")), shown).alias("edited_fingerprint"),
+        *key, "doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), sketch(F.col("own")).alias("fingerprint"), _let(digests(F.col("edit")), sketch).alias("edited_fingerprint"),
         F.size("own").alias("n_own"), F.size(digests(F.col("edit"))).alias("n_edited"), F.size("next").alias("n_next"),
     )
     return facts.join(difference(sets, key, attempt), key, "left")
 
 
-def compared(docs: DataFrame, whole: bool = False) -> DataFrame:
+def compared(docs: DataFrame) -> DataFrame:
     """The fingerprint of every text, and its likeness to the edited text's and the next document's."""
     name = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("="), F.col("doc_id").cast("string"))).otherwise("")
     texts = docs.select("doc_id", name.alias("kd"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
@@ -187,7 +180,7 @@ def compared(docs: DataFrame, whole: bool = False) -> DataFrame:
         open_pairs = open_pairs | (F.coalesce(F.col(f"left_{other}"), F.lit(0)) > 0)
     todo, attempt = beside, 0
     while attempt == 0 or not todo.isEmpty():  # each with twice the cells and another seed
-        tried = durable(_attempt(single, todo, attempt, whole))
+        tried = durable(_attempt(single, todo, attempt))
         settled = tried.filter(~open_pairs)
         done = settled if done is None else done.union(settled)
         todo = durable(todo.join(tried.filter(open_pairs).select("kd", "h"), ["kd", "h"], "left_semi"))

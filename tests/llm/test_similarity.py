@@ -1,12 +1,15 @@
 """The n-gram join, embedding near-duplicates, fingerprints and the license scan against brute force."""
 
+import base64
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from loomframe.llm import fingerprint, itq, licenses, ngram_join
 from loomframe.llm.components import components
@@ -190,29 +193,41 @@ def test_only_document_is_its_own_next(spark):
     assert r["near_next"] == 1.0
 
 
-def cells_of(fingerprint):
-    return {int(p, 16): [int(x, 16) for x in rest] for p, *rest in (c.split(":") for c in fingerprint.split(",") if c)}
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def cells_of(shown):
+    return [list(c) for c in struct.iter_unpack(">HQI", base64.b64decode(shown))]
 
 
 def peeled_by_hand(a, b):
-    """The digests that two fingerprints differ in: cells subtracted, then peeled; None if cells are left."""
-    check = {c[1]: c[2] for x in (a, b) for c in x.values() if c[0] == 1}  # of digests that stand alone somewhere
-    cells = {p: [a.get(p, [0, 0, 0])[0] - b.get(p, [0, 0, 0])[0], a.get(p, [0, 0, 0])[1] ^ b.get(p, [0, 0, 0])[1], a.get(p, [0, 0, 0])[2] ^ b.get(p, [0, 0, 0])[2]] for p in a.keys() | b.keys()}
-    return {c[1] for c in cells.values() if abs(c[0]) == 1 and check.get(c[1]) == c[2]}, cells
+    """The digests that two fingerprint strings differ in: cells subtracted, then peeled; None if cells are left."""
+    cells = [[(x[0] - y[0]) % 65536, x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(cells_of(a), cells_of(b), strict=True)]
+    width, found = 1 << fingerprint.SHOWN_BITS, set()
+    while alone := [c for c in cells if c[0] in (1, 65535) and xx(c[1].to_bytes(8, "little")) & 0xFFFFFFFF == c[2]]:
+        n, k, c = alone[0]
+        found.add(k)
+        drawn = xx(bytes(4), xx(k.to_bytes(8, "little")))
+        drawn -= (drawn >> 63) << 64
+        for t in range(3):
+            cell = cells[t * width + (drawn >> (21 * t)) % width]
+            cell[:] = [(cell[0] - n) % 65536, cell[1] ^ k, cell[2] ^ c]
+    return None if any(any(c) for c in cells) else found
 
 
 def test_fingerprints_are_sketches_that_subtract(spark):
-    """The cells of two fingerprints, subtracted, hold only the paragraphs that differ."""
-    texts = ["one. two. three. four.", "one. two. three. five.", "one. two. three. four."]
+    """Two fingerprint strings, subtracted and peeled, give exactly the paragraphs that differ."""
+    lines = [f"Sentence number {i} of all." for i in range(60)]
+    texts = ["".join(lines), "".join(lines[:57]), "".join(lines[2:]), "".join(lines), "", None]
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")  # ids of another type
-    got = {r["doc_id"]: r for r in fingerprint.compared(rows, whole=True).collect()}
-    assert got["0"]["fingerprint"] == got["2"]["fingerprint"] != got["1"]["fingerprint"]
-    a, b = (cells_of(got[i]["fingerprint"]) for i in "01")
-    assert all(sum(c[0] for p, c in x.items() if (p - 1) >> fingerprint.LEAST_BITS == t) == 4 for x in (a, b) for t in range(3))
-    found, cells = peeled_by_hand(a, b)
-    different = {c[1] for x, y in ((a, b), (b, a)) for p, c in x.items() if y.get(p) != c and c[0] == 1}
-    assert found and found <= different and sum(c != [0, 0, 0] for c in cells.values()) <= 6
-    assert got["0"]["near_next"] == pytest.approx(3 / 5)
+    got = {r["doc_id"]: r for r in fingerprint.compared(rows).collect()}
+    assert got["0"]["fingerprint"] == got["3"]["fingerprint"] and len({r["fingerprint"] for r in got.values()}) == 4
+    assert {len(r[c]) for r in got.values() for c in ("fingerprint", "edited_fingerprint")} == {448}
+    sets = [{xx(u.encode()) for u in UNIT.findall(t or "")} for t in texts]
+    for i, j in ((0, 1), (0, 2), (1, 2), (0, 3), (4, 5)):
+        assert peeled_by_hand(got[str(i)]["fingerprint"], got[str(j)]["fingerprint"]) == sets[i] ^ sets[j]
+    assert got["0"]["near_next"] == pytest.approx(57 / 60)
 
 
 def test_license_scan_finds_whole_and_changed_notices(spark):
