@@ -18,12 +18,30 @@ def _window(group: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*group).orderBy(*order)
 
 
-def _between(value: Column, known: Column, at: Column, back, ahead, limit: int | None) -> Column:
-    """By position between the neighbours that have a value; after the last one its value, before the first null."""
-    return _inner(value, F.last(known, True).over(back), F.first(known, True).over(ahead), at, limit)
+def _ways(group: Sequence[str], place: str) -> tuple[Window, Window]:
+    """The rows up to each one, and those from it on, by their places.
+
+    Both frames grow: the second runs over the places in reverse, since a frame that ends with
+    its partition is read anew for every row and takes the square of the partition's rows.
+    """
+    return tuple(_window(group, [o]).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(place), F.desc(place)))
+
+
+def _around(df: DataFrame, column: str, place: Column, back: Window, ahead: Window) -> tuple[DataFrame, Column, Column]:
+    """``df`` with the nearest known values of ``column`` and their places, before and after each row, itself included."""
+    known = F.when(F.col(column).isNotNull(), F.struct(place.alias("p"), F.col(column).alias("v")))
+    before, after = f"_before_{column}", f"_after_{column}"
+    return df.withColumn(before, F.last(known, True).over(back)).withColumn(after, F.last(known, True).over(ahead)), F.col(before), F.col(after)
+
+
+def _taken(value: Column, before: Column, after: Column, at: Column, method: str, limit: int | None) -> Column:
+    if method in ("linear", "group_linear"):
+        return _inner(value, before, after, at, limit)
+    return F.coalesce(value, (before if method == "ffill" else after)["v"])
 
 
 def _inner(value: Column, before: Column, after: Column, at: Column, limit: int | None) -> Column:
+    """By position between the neighbours that have a value; after the last one its value, before the first null."""
     inner = before["v"] + (after["v"] - before["v"]) * (at - before["p"]) / (after["p"] - before["p"])
     filled = F.when(before.isNull(), F.lit(None).cast("double")).when(after.isNull(), before["v"]).otherwise(inner)
     if limit is not None:
@@ -34,13 +52,12 @@ def _inner(value: Column, before: Column, after: Column, at: Column, limit: int
 def _carried(df: DataFrame, columns: Sequence[str], method: str, order: Sequence[str], limit: int | None) -> tuple[DataFrame, dict[str, Column]]:
     """A fill along an order of all rows, in ranges of it.
 
-    Rows are dealt to ranges and written.  Each range sums up its rows to their number and its
+    Rows are dealt to ranges, numbered in them and written.  Each range sums up its rows to their number and its
     first and last known values with their places; what comes before and after a range follows
     from the sums of the others, a row for each range, and goes to its rows by a broadcast join.
     """
-    ranges = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*order)
-    at = ranges.withColumn("_place", F.row_number().over(w).cast("long"))
+    ranges = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    at = written(ranges.withColumn("_place", F.row_number().over(_window(["_part"], order)).cast("long")))
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("p"), F.col(c).alias("v"))) for c in columns}
     sums = at.groupBy("_part").agg(F.count("*").alias("n"), *[g(k).alias(f"{name}_{c}") for c, k in known.items() for name, g in (("first", F.min), ("last", F.max))])
     rows, start = sorted(sums.collect(), key=lambda r: r["_part"]), 0  # a row for each range
@@ -59,17 +76,12 @@ def _carried(df: DataFrame, columns: Sequence[str], method: str, order: Sequence
     names = ["_part", "_start", *[f"_{name}_{c}" for c in columns for name in ("last", "first")]]
     sent = df.sparkSession.createDataFrame([tuple(r[x] for x in names) for r in carry], schema)
     base = at.join(F.broadcast(sent), "_part")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _ways(["_part"], "_place")
     place, done = F.col("_start") + F.col("_place"), {}
     for c in columns:
-        own = F.when(F.col(c).isNotNull(), F.struct(place.alias("p"), F.col(c).alias("v")))
-        before, after = F.coalesce(F.last(own, True).over(back), F.col(f"_last_{c}")), F.coalesce(F.first(own, True).over(ahead), F.col(f"_first_{c}"))
-        if method == "ffill":
-            done[c] = F.coalesce(F.col(c), before["v"])
-        elif method == "bfill":
-            done[c] = F.coalesce(F.col(c), after["v"])
-        else:
-            done[c] = _inner(F.col(c), before, after, place, limit)
+        base, before, after = _around(base, c, place, back, ahead)
+        before, after = F.coalesce(before, F.col(f"_last_{c}")), F.coalesce(after, F.col(f"_first_{c}"))
+        done[c] = _taken(F.col(c), before, after, place, method, limit)
     return base, done
 
 
@@ -96,16 +108,11 @@ def fill(df: DataFrame, columns: Sequence[str], method: str, group: Sequence[str
     elif not group:
         base, done = _carried(df, columns, method, order, limit)
     else:
-        base, w = df, _window(group, order)
+        base, at = df.withColumn("_at", F.row_number().over(_window(group, order))), F.col("_at")
+        back, ahead = _ways(group, "_at")
         for c in columns:
-            if method == "ffill":
-                done[c] = F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            elif method == "bfill":
-                done[c] = F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-            else:
-                base = base.withColumn(f"_at_{c}", F.row_number().over(w)).withColumn(f"_known_{c}", F.when(F.col(c).isNotNull(), F.struct(F.col(f"_at_{c}").alias("p"), F.col(c).alias("v"))))
-                back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-                done[c] = _between(F.col(c), F.col(f"_known_{c}"), F.col(f"_at_{c}"), back, ahead, limit)
+            base, before, after = _around(base, c, at, back, ahead)
+            done[c] = _taken(F.col(c), before, after, at, method, limit)
     kept = [c for c in df.columns if c not in columns]
     filled = base.select(*kept, *[F.col(c).alias(f"_was_{c}") for c in columns], *[done[c].alias(c) for c in columns])
     masks = [(F.col(f"_was_{c}").isNull() & F.col(c).isNotNull()).alias(f"__imputed_{c}") for c in columns]

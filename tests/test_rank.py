@@ -80,3 +80,19 @@ def test_fills_without_a_group_are_those_of_one_window(spark, method, parts):
     want = missing.fill(df.withColumn("g", F.lit(1)), columns, method, ["g"], ["i"]).drop("g")
     assert got == sorted(map(tuple, want.select(out.columns).collect()))
     assert sum(r[-1] for r in got) > 20
+
+
+@pytest.mark.parametrize("method", ["bfill", "linear"])
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_fills_read_no_frame_to_its_end_for_each_row(spark, method, group):
+    """A frame that ends with its partition takes the square of its rows."""
+    rows = [(0, i // 2, i, None if i % 5 else i) for i in range(100)] + [(1, None, 0, None), (1, 3, 1, 7), (1, None, 2, None)]
+    df = spark.createDataFrame(rows, "g int, t int, i int, v int")
+    order = ["g", "t", "i"] if not group else ["t", "i"]
+    out = missing.fill(df, ["v"], method, group, order)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r["g"], r["i"]): r["v"] for r in out.collect()}
+    assert [got[0, i] for i in (0, 1, 4, 95)] == ([0, 5, 5, 95] if method == "bfill" else [0, 1, 4, 95])
+    across = {"bfill": (7, 7), "linear": (95 + 5 * (7 - 95) / 7, 95 + 6 * (7 - 95) / 7)}
+    within = {"bfill": (7, 7), "linear": (None, None)}
+    assert (got[1, 0], got[1, 2]) == pytest.approx(across[method] if not group else within[method])
