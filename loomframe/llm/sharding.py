@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised at its own quantiles (strings whole, at edges from a sample of their distinct values), the curve
+Each dimension is quantised at its own quantiles (strings whole, by the rows of every distinct value), the curve
 index of the cell orders the rows, and runs of that order become shards.  Rows that are near
 in every dimension share a shard, so a reader that filters on any of them prunes whole files.
 
@@ -28,8 +28,6 @@ from .base import shared_dir, text_of
 
 #: Bits of each dimension; a dimension has 2 ** BITS cells.
 BITS = 5
-#: Distinct values of a text dimension that its edges are taken from.
-EDGE_SAMPLE = 10_000
 #: Places of a row within a partition, as monotonically_increasing_id numbers them.
 ROW_BITS = 33
 
@@ -62,21 +60,6 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def text_edges(docs: DataFrame, name: str, bits: int) -> list[str]:
-    """Strings that cut a dimension's values into at most 2 ** bits runs of like numbers of rows.
-
-    Values are dealt to fine runs of equal counts by whole strings: those of a hash-drawn sample
-    of at most EDGE_SAMPLE distinct values, each counting for all its rows.
-    """
-    counts = docs.select(docs[name].cast("string").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    rows = sorted((r["v"].encode(), r["n"]) for r in counts.orderBy(F.xxhash64("v"), "v").limit(EDGE_SAMPLE).toLocalIterator())
-    if not rows:
-        return []
-    reached = np.cumsum([n for _, n in rows])
-    cuts = np.searchsorted(reached, reached[-1] * np.arange(1, 1 << bits) / (1 << bits))
-    return [rows[i][0].decode() for i in sorted(set(cuts.tolist()))]
-
-
 def curve(docs: DataFrame, dims: Sequence[str], bits: int = BITS) -> Column:
     """Curve index column of ``docs``; the edges are at most 2 ** bits values a dimension."""
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
@@ -117,6 +100,21 @@ def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return joined.withColumn("pos", F.col("n0") + F.col("_id").bitwiseAND((1 << ROW_BITS) - 1))
 
 
+def text_edges(docs: DataFrame, name: str, bits: int) -> list[str]:
+    """Strings that cut a dimension's values into at most 2 ** bits runs of like numbers of rows.
+
+    Every distinct value counts for all its rows.  The values are put in order over ranges; an edge
+    is the value in whose rows a cut falls, so the driver gets the edges alone.
+    """
+    cells = 1 << bits
+    counts = docs.select(docs[name].cast("string").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("size"))
+    run = Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = placed(counts, ["v"]).select("v", "size", "bytes", (F.col("b0") + F.sum("size").over(run)).alias("upto"))
+    # The first value that reaches bytes * k / cells for a k from 1 to cells - 1: the k's below its rows and those up to them differ.
+    cuts = lambda upto: F.least(F.expr(f"({upto}) * {cells} div bytes"), F.lit(cells - 1))
+    return sorted((r["v"] for r in reached.filter(cuts("upto") > cuts("upto - size")).toLocalIterator()), key=str.encode)
+
+
 def shards(
     docs: DataFrame, n: int = 16, dims: Sequence[str] = ("source", "lang", "n_chars"), law: str = "rows", bits: int = BITS
 ) -> DataFrame:
