@@ -9,17 +9,18 @@ counts over all training documents.
 The network's chance of a word is the product of its ids' chances, given that an id which starts
 a word comes first, times the chance that such an id follows, so that the chances of all words
 add up to one.  A word's chance is a mixture of the network's and its share of the corpus, which
-keeps what the small network can't hold about common words.  The mixture's weight is the one
-that serves the training sample best.
+keeps what the small network can't hold about common words.
 
 Word counts over all training documents give the base score.  Words with a count of at least
 1 / FREQUENT of all are broadcast (at most FREQUENT words); the rest are joined by word, with
 the network's chance of each occurrence.
 
-The network's weights start from a fit on at most ``max_docs`` training documents drawn by hash,
-whose neighbours also group the ids into classes.  Then every training document is dealt to a
-task; the tasks go on from these weights over all their documents, and the weights become the
-tasks' mean by ids.  Counts cover every training document and scores every document's whole text.
+Ids are grouped into classes by what stands beside them in all training documents.  The network's
+weights start at random and learn in rounds that deal every training document once: the first
+round holds about ``max_docs`` documents, which one task goes over until it has made enough steps,
+and each round after it GROWTH times as many as all before it, whose tasks go on from the same weights
+and leave their mean by ids.  The mixture's weight is the one of WEIGHTS under which all training
+documents are likeliest.  Scores cover every document's whole text.
 
 Defined cases: a null text is an empty one and has the end alone; a null doc_id is drawn as
 empty text; rows of equal doc_ids fall on the same side and are scored one by one; an empty
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ WIDTH = 16
 HIDDEN = 32
 #: Ids that are classes of their own, and further classes; ids with an embedding of their own.
 SINGLE, SHARED = 96, 32
+COLUMNS = 2 * (SINGLE + 1)
 INPUTS = 2048
 FREQUENT = 400_000
 #: Words in a call of the tokenizer.
@@ -57,6 +59,10 @@ PIECES = 2000
 #: Distinct words whose ids are counted at once.
 WORDS = 100_000
 MAX_DOCS = 1200
+#: How much a round of training grows over those before it; least steps of the first; ids of a task at least.
+GROWTH, STEPS, TASK_IDS = 3, 400, 1_000_000
+#: The network's weights in the mixture to choose from; factors that are multiplied before a logarithm is taken.
+WEIGHTS, FACTORS = np.arange(1, 20) / 20, 16
 FOLDS, HELD_OUT = 7, 2
 BATCH_IDS = 200_000
 #: Ids of a part whose arrays stay in the cache.
@@ -188,7 +194,6 @@ class Model:
     within: np.ndarray
     starts: np.ndarray
     end: int
-    weight: float = 0.5
 
 
 def _layout(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,24 +293,55 @@ def _gradients(w: dict[str, np.ndarray], rows: np.ndarray, real: np.ndarray, goa
     return g
 
 
-def _classes(flat: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Class of each id: the commonest have one each, the others are grouped by what stands before and after them."""
+def _marks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids by falling counts, and each id's column among its neighbours: the commonest have one each, the others share the last."""
     order = np.argsort(-counts, kind="stable")
-    class_of = np.zeros(len(counts), np.int64)
-    class_of[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
     mark = np.full(len(counts), SINGLE)
-    mark[order[:SINGLE]] = class_of[order[:SINGLE]]
-    pairs = np.zeros((len(counts), 2 * (SINGLE + 1)), np.float32)
-    np.add.at(pairs, (flat[1:], mark[flat[:-1]]), 1)
-    np.add.at(pairs, (flat[:-1], SINGLE + 1 + mark[flat[1:]]), 1)
+    mark[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
+    return order, mark
+
+
+def _beside(flat: np.ndarray, sizes: np.ndarray, mark: np.ndarray, end: int) -> np.ndarray:
+    """Cells (id, column) of the neighbours of all ids, before them and after them; an end stands before each sequence."""
+    before = np.empty(len(flat), np.int64)
+    before[1:] = flat[:-1]
+    before[np.cumsum(sizes) - sizes] = end
+    return np.concatenate([flat.astype(np.int64) * COLUMNS + mark[before], before * COLUMNS + SINGLE + 1 + mark[flat]])
+
+
+def pair_counts(docs: DataFrame, counts: np.ndarray, path: str, pattern: str) -> np.ndarray:
+    """How often each column stands before and after each id in ``docs``; one number a cell reaches the driver."""
+    mark = docs.sparkSession.sparkContext.broadcast(_marks(counts)[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = subwords(path, pattern)
+        total = np.zeros((tool.end + 1) * COLUMNS, np.int32)
+        for _, texts in gathered(batches, 0):
+            flat, sizes, _ = tool.laid_out(tool.read(texts))
+            at, n = np.unique(_beside(flat, sizes, mark.value, tool.end), return_counts=True)
+            total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + WORDS], pa.int64()), pa.array(total[at[k : k + WORDS]], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(len(counts) * COLUMNS, np.float32)
+    rows = docs.select(text_of().alias("text")).mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for row in rows.toLocalIterator():
+        out[row["cell"]] = row["n"]
+    return out.reshape(len(counts), COLUMNS)
+
+
+def _classes(pairs: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Class of each id: the commonest have one each, the others are grouped by what stands before and after them."""
+    order, mark = _marks(counts)
+    class_of = np.where(mark < SINGLE, mark, 0)
     rest = order[SINGLE:]
     met = rest[pairs[rest].sum(axis=1) >= 5]
-    share = np.sqrt(pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1))
     rng = np.random.default_rng(seed)
     class_of[rest] = SINGLE + SHARED - 1
     k = min(SHARED - 1, len(met))
     if k:
-        x = share[met]
+        x = np.sqrt(pairs[met] / pairs[met].sum(axis=1, keepdims=True))
         centres = x[rng.choice(len(met), k, replace=False)]
         for _ in range(12):
             near = (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
@@ -332,11 +368,20 @@ class Trainer:
             second += np.float32(0.01) * (g * g - second)
             self.weights[name] -= np.float32(rate) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8))
 
+    def part(self, rate: float, model: Model, inputs: np.ndarray, targets: np.ndarray, rows: np.ndarray, start: int, size: int) -> None:
+        """A step on a part of what is laid out; the block before it is its first one's context."""
+        part = slice(max(0, start - STRIDE), start + size)
+        real = inputs[part] >= 0
+        at = np.flatnonzero(real)
+        at = at[at >= start - part.start]
+        if len(at):
+            self.step(rate, rows[part], real, model.class_of[targets[part][at]], at)
 
-def fit(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, end: int, starts: np.ndarray, steps: int = 400, batch: int = 4096, seed: int = 5) -> Model:
-    """A model of training sequences in a row; ``counts`` are the ids' counts over all training documents, ``starts`` marks ids that start a word."""
+
+def begun(pairs: np.ndarray, counts: np.ndarray, end: int, starts: np.ndarray, seed: int = 5) -> Model:
+    """A model of random weights; ``counts`` are the ids' counts and ``pairs`` their neighbours' over all training documents, ``starts`` marks ids that start a word."""
     counts = counts.astype(float)
-    class_of = _classes(flat, counts)
+    class_of = _classes(pairs, counts)
     order = np.argsort(-counts, kind="stable")
     input_of = INPUTS + class_of
     input_of[order[: INPUTS - 1]] = np.arange(min(INPUTS - 1, len(order)))
@@ -344,7 +389,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, end: int, start
     smooth = counts + 0.1
     by_class = np.maximum(np.bincount(class_of, smooth, minlength=SINGLE + SHARED), 1e-9)
     within = np.log10(smooth / by_class[class_of]).astype(np.float32)
-    begun = (np.bincount(class_of, smooth * starts, minlength=SINGLE + SHARED) / by_class).astype(np.float32)
+    opening = (np.bincount(class_of, smooth * starts, minlength=SINGLE + SHARED) / by_class).astype(np.float32)
     rng = np.random.default_rng(seed)
     n_rows, n_classes = INPUTS + SINGLE + SHARED, SINGLE + SHARED
     scale = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
@@ -353,20 +398,27 @@ def fit(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, end: int, start
         "near": np.zeros((STRIDE, 2 * STRIDE), np.float32), "up": scale(WIDTH, HIDDEN), "up0": np.zeros(HIDDEN, np.float32), "down": scale(HIDDEN, WIDTH) * np.float32(0.5),
         "head": scale(WIDTH, n_classes), "head0": np.log(by_class / smooth.sum()).astype(np.float32),
     }
-    inputs, targets = _layout(flat, sizes, end)
-    rows = np.where(inputs >= 0, input_of[inputs], INPUTS - 1)
-    trainer = Trainer(w)
-    blocks = len(rows) // STRIDE
-    span = max(2, min(blocks, batch // STRIDE))
-    for step in range(1, steps + 1):
-        start = int(rng.integers(0, max(1, blocks - span + 1))) * STRIDE
-        part = slice(start, start + span * STRIDE)
-        real = inputs[part] >= 0
-        at = np.flatnonzero(real)
-        at = at[at >= STRIDE]
-        if len(at):
-            trainer.step(0.01 * (1 - 0.95 * step / steps), rows[part], real, class_of[targets[part][at]], at)
-    return Model(w, class_of.astype(np.int32), input_of.astype(np.int32), within, begun, end)
+    return Model(w, class_of.astype(np.int32), input_of.astype(np.int32), within, opening, end)
+
+
+def repeated(model: Model, flat: np.ndarray, sizes: np.ndarray, steps: int = STEPS, batch: int = TRAIN_IDS, seed: int = 5) -> None:
+    """Train on whole passes over sequences in a row, until at least ``steps`` are made."""
+    inputs, targets = _layout(flat, sizes, model.end)
+    rows = np.where(inputs >= 0, model.input_of[inputs], INPUTS - 1)
+    trainer, rng = Trainer(model.weights), np.random.default_rng(seed)
+    firsts = np.arange(0, len(rows), batch)
+    passes = -(-steps // len(firsts))
+    steps = passes * len(firsts)
+    for step, start in enumerate((int(x) for _ in range(passes) for x in rng.permutation(firsts)), 1):
+        trainer.part(0.01 * (1 - 0.95 * step / steps), model, inputs, targets, rows, start, batch)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, end: int, starts: np.ndarray, steps: int = STEPS, batch: int = TRAIN_IDS) -> Model:
+    """A model of training sequences in a row."""
+    cells = _beside(flat, sizes, _marks(counts)[1], end)
+    model = begun(np.bincount(cells, minlength=len(counts) * COLUMNS).reshape(len(counts), COLUMNS).astype(np.float32), counts, end, starts)
+    repeated(model, flat, sizes, steps, batch)
+    return model
 
 
 def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -409,13 +461,6 @@ def word_chances(model: Model, flat: np.ndarray, sizes: np.ndarray, lengths: np.
     return np.add.reduceat(np.concatenate(got).astype(float), cuts) - begin + follow
 
 
-def mixed(network: np.ndarray, shares: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of the mixture of the network's chances (log10) and the words' shares of the corpus (log10)."""
-    a, b = network + math.log10(weight), shares + math.log10(1 - weight)
-    high = np.maximum(a, b)
-    return high + np.log10(10.0 ** (a - high) + 10.0 ** (b - high))
-
-
 def _network(model: Model, tool: Subwords, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The network's log10 chances of all words and ends, and the places of the ends among them."""
     ids, sizes, lengths = tool.laid_out(words)
@@ -423,13 +468,12 @@ def _network(model: Model, tool: Subwords, words: Words) -> tuple[np.ndarray, np
     return word_chances(model, ids, sizes, lengths, last), last
 
 
-def best_weight(model: Model, tool: Subwords, texts: list[str | None], known: dict[str, float], floor: float) -> float:
-    """The network's weight under which the texts, each word counted once less than it was, are likeliest."""
-    words = tool.read(texts)
-    network, _ = _network(model, tool, words)
-    less = lambda w: math.log10(max(10 ** known[w] - 1, 1.0)) if w in known else 0.0
-    shares = np.insert(np.array([less(w) for w in words.words.to_pylist()], float), words.offsets[1:], less(END)) - floor
-    return max((w / 20 for w in range(1, 20)), key=lambda w: mixed(network, shares, w).sum())
+def mixtures(network: np.ndarray, shares: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each text's log10 chance under each of WEIGHTS, from its words' chances (log10); ``starts`` are the texts' first words."""
+    ratio = 10.0 ** (network - shares)
+    cuts = np.union1d(starts, np.arange(0, len(network), FACTORS))  # few factors, so that their product has room
+    base, of = np.add.reduceat(shares, starts), np.searchsorted(cuts, starts)
+    return np.stack([base + np.add.reduceat(np.log10(np.multiply.reduceat(1 - w + w * ratio, cuts)), of) for w in WEIGHTS], axis=1)
 
 
 class _Logs:
@@ -461,65 +505,79 @@ def _scorer(model_of, known_of, path: str, pattern: str):
             odd = np.isnan(log)
             log[odd] = 0.0
             # Words that aren't among the frequent ones count as unseen, until their counts are joined.
-            every = mixed(network, np.insert(log, words.offsets[1:], known[END]) - floor, model.weight)
-            score = np.add.reduceat(every, np.append(0, last[:-1] + 1))
+            whole = np.insert(log, words.offsets[1:], known[END])
+            less = np.log10(np.maximum(10.0**whole - 1, 1.0))  # each word counted once less than it was
+            firsts = np.append(0, last[:-1] + 1)
+            scores, trials = (mixtures(network, x - floor, firsts) for x in (whole, less))
             alone = np.delete(network, last)[odd]
             rare = np.concatenate([[0], np.cumsum(odd)])[words.offsets].astype(np.int32)
             cols = [
                 pa.array(np.arange(number, number + len(texts))), batch.column(0), batch.column(2), pa.array(words.counts + 1), pa.array(summed(log, words.offsets)),
                 pa.array(words.counts - np.diff(rare)), pa.ListArray.from_arrays(pa.array(rare), words.words.filter(pa.array(odd)).cast(pa.string())),
-                pa.ListArray.from_arrays(pa.array(rare), pa.array(alone)), pa.array(score),
+                pa.ListArray.from_arrays(pa.array(rare), pa.array(alone)), *(pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(WEIGHTS)).cast(pa.list_(pa.float64())) for x in (scores, trials)),
             ]
             number += len(texts)
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "base", "seen", "rare", "alone", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "base", "seen", "rare", "alone", "scores", "trials"])
 
     return run
 
 
-def _trainer(model_of, path: str, pattern: str):
+def _trainer(model_of, path: str, pattern: str, first: bool):
     """Arrow batches of training texts to the weights after all of them, as one row with the number of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, model = subwords(path, pattern), model_of.value
-        trainer, seen = Trainer({n: a.copy() for n, a in model.weights.items()}), 0
+        model = replace(model, weights={n: a.copy() for n, a in model.weights.items()})
+        trainer, seen, kept = Trainer(model.weights), 0, []
         for _, texts in gathered(batches, 0):
             flat, sizes, _ = tool.laid_out(tool.read(texts))
             ends = np.cumsum(sizes)
             seen += len(flat)
-            for first, stop in _groups(sizes, BATCH_IDS):
-                inputs, targets = _layout(flat[int(ends[first] - sizes[first]) : int(ends[stop - 1])], sizes[first:stop], tool.end)
+            if first:
+                kept.append((flat, sizes))
+                continue
+            for begin, stop in _groups(sizes, BATCH_IDS):
+                inputs, targets = _layout(flat[int(ends[begin] - sizes[begin]) : int(ends[stop - 1])], sizes[begin:stop], tool.end)
                 rows = np.where(inputs >= 0, model.input_of[inputs], INPUTS - 1)
-                for start in range(0, len(rows), TRAIN_IDS):  # the block before a part is its first one's context
-                    part = slice(max(0, start - STRIDE), start + TRAIN_IDS)
-                    real = inputs[part] >= 0
-                    at = np.flatnonzero(real)
-                    at = at[at >= start - part.start]
-                    if len(at):
-                        trainer.step(RATE, rows[part], real, model.class_of[targets[part][at]], at)
+                for start in range(0, len(rows), TRAIN_IDS):
+                    trainer.part(RATE, model, inputs, targets, rows, start, TRAIN_IDS)
+        if kept:
+            repeated(model, *(np.concatenate(x) for x in zip(*kept, strict=True)))
         if seen:
-            weights = np.concatenate([trainer.weights[n].ravel() for n in sorted(trainer.weights)]).astype(np.float32)
+            weights = np.concatenate([model.weights[n].ravel() for n in sorted(model.weights)]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"])
 
     return run
 
 
-def trained(docs: DataFrame, model: Model, path: str, pattern: str) -> tuple[Model, int]:
-    """``model`` after every text of ``docs``: the mean, by ids, of the weights of all tasks; and the number of ids seen."""
+def trained(docs: DataFrame, model: Model, path: str, pattern: str, tasks: int | None = None, first: bool = False) -> tuple[Model, int]:
+    """``model`` after every text of ``docs``: the mean, by ids, of the weights of all tasks; and the number of ids seen.
+
+    In the ``first`` round one task goes over them again and again.
+    """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(text_of().alias("text")).repartition(parts)
-    rows = durable(dealt.mapInArrow(tidy(_trainer(spark.sparkContext.broadcast(model), path, pattern)), "n long, weights binary"))
+    dealt = docs.select(text_of().alias("text")).repartition(1 if first else min(parts, tasks or parts))
+    rows = durable(dealt.mapInArrow(tidy(_trainer(spark.sparkContext.broadcast(model), path, pattern, first)), "n long, weights binary"))
     total, seen = 0.0, 0
     for row in rows.toLocalIterator():  # some 200 KB a task
         total = total + np.frombuffer(row["weights"], np.float32).astype(float) * row["n"]
         seen += row["n"]
-    if seen:
-        at = 0
-        for name in sorted(model.weights):
-            a = model.weights[name]
-            model.weights[name] = (total[at : at + a.size] / seen).reshape(a.shape).astype(np.float32)
-            at += a.size
-    return model, seen
+    weights, at = dict(model.weights), 0
+    for name in sorted(model.weights) if seen else ():
+        a = model.weights[name]
+        weights[name] = (total[at : at + a.size] / seen).reshape(a.shape).astype(np.float32)
+        at += a.size
+    return replace(model, weights=weights), seen
+
+
+def rounds(docs: DataFrame, n_docs: int, max_docs: int) -> list[tuple[DataFrame, float]]:
+    """``docs`` cut by hash into rounds, with the share of all that each is to hold; every row is in one of them."""
+    ends = [min(1.0, max_docs / max(n_docs, 1))]
+    while ends[-1] < 1:
+        ends.append(min(1.0, ends[-1] * (1 + GROWTH)))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    return [(docs.filter((drawn >= a) & (drawn < b)), b - a) for a, b in zip([0.0, *ends], ends, strict=False)]
 
 
 def scored(docs: DataFrame, path: str, pattern: str, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -538,27 +596,30 @@ def scored(docs: DataFrame, path: str, pattern: str, max_docs: int = MAX_DOCS) -
     ids[tool.end] = n_docs
     known[END] = math.log10(n_docs + 1)
     floor = math.log10(total + kinds + 1)
-    sample = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = [row["text"] for row in sample.select("text").toLocalIterator()] or [None]
-    flat, sizes, _ = tool.laid_out(tool.read(texts))
-    model = fit(flat, sizes, ids, tool.end, tool.starts)
-    model, _ = trained(docs.filter(~held_out(F.col("doc_id"))), model, path, pattern)
-    tried = texts[:: max(1, len(texts) // 100)]
-    odd = [(w,) for w in set(tool.read(tried).words.to_pylist()) - known.keys()]
-    exact = {r["word"]: math.log10(r["c"] + 1) for r in counts.join(F.broadcast(spark.createDataFrame(odd, "word string")), "word").toLocalIterator()} if odd else {}
-    model.weight = best_weight(model, tool, tried, {**known, **exact}, floor)
+    training = docs.filter(~held_out(F.col("doc_id")))
+    model = begun(pair_counts(training, ids, path, pattern), ids, tool.end, tool.starts)
+    for k, (part, held) in enumerate(rounds(training, n_docs, max_docs)):
+        model, _ = trained(part, model, path, pattern, math.ceil(ids.sum() * held / TASK_IDS), first=not k)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, base double, seen long, rare array<string>, alone array<double>, score double"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, base double, seen long, rare array<string>, alone array<double>, scores array<double>, trials array<double>"
     share = spark.sparkContext.broadcast
     ready = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     rows = durable(ready.mapInArrow(tidy(_scorer(share(model), share((known, floor)), path, pattern)), schema))
-    odd = rows.select("row", F.explode(F.arrays_zip("rare", "alone")).alias("x")).select("row", F.col("x.rare").alias("word"), (F.col("x.alone") + math.log10(model.weight)).alias("network"))
-    log = F.log10(F.col("c") + 1)
-    mix = lambda share: F.greatest("network", share) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(F.col("network") - share)))
-    unseen = math.log10(1 - model.weight) - floor
-    gain = mix(log + F.lit(unseen)) - mix(F.lit(unseen))
-    met = odd.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.sum(log).alias("more"), F.count("*").alias("met"), F.sum(gain).alias("gain"))
+    odd = rows.select("row", "held_out", F.explode(F.arrays_zip("rare", "alone")).alias("x")).select("row", "held_out", F.col("x.rare").alias("word"), F.col("x.alone").alias("network"))
+    met = odd.join(counts.filter(F.col("c") < least), "word")
+    unseen = 10.0**-floor
+
+    def gain(weight: float, times: Column) -> Column:
+        """What a rare word's count adds to the log10 chance of it as unseen."""
+        own = F.pow(F.lit(10.0), "network") * float(weight)
+        return F.log10(own + times * ((1 - weight) * unseen)) - F.log10(own + (1 - weight) * unseen)
+
+    k = range(len(WEIGHTS))
+    all_sums = rows.filter("not held_out").agg(*[F.coalesce(F.sum(F.col("trials")[i]), F.lit(0.0)) for i in k]).first()
+    more_sums = met.filter("not held_out").agg(*[F.coalesce(F.sum(gain(WEIGHTS[i], F.col("c"))), F.lit(0.0)) for i in k]).first()
+    best = max(k, key=lambda i: all_sums[i] + more_sums[i])
+    met = met.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("met"), F.sum(gain(WEIGHTS[best], F.col("c") + 1)).alias("gain"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(known[END]) - F.col("n_tokens") * F.lit(floor)
     n_known = F.col("seen") + F.coalesce("met", F.lit(0)) + F.lit(int(n_docs > 0))
-    return rows.join(met, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    return rows.join(met, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("scores")[best] + F.coalesce("gain", F.lit(0.0))).alias("score"))
