@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +99,17 @@ def html_markdown(spark, sf):
     return _pages(spark, sf).select("page_id", text.to_markdown(F.col("html")).alias("text"))
 
 
+#: Pages handed to a Python task at once, since one page may be very long; bounds a worker's memory.
+BATCH_PAGES = 128
+
+
+def page_batches(spark: SparkSession) -> None:
+    """Bound the rows of the session's Arrow batches; a lower bound of its own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_PAGES:
+        spark.conf.set(key, str(BATCH_PAGES))
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def tables_of(html: pd.Series) -> pd.Series:
     """Header and rows of each page's first table."""
@@ -113,6 +125,7 @@ def tables_of(html: pd.Series) -> pd.Series:
 def html_tables(spark, sf):
     """The first table of each page; the test pages have none of their own, so each is given one."""
     rows = F.repeat(F.lit("<tr><td>k</td><td>v</td></tr>"), (F.col("page_id") % 4).cast("int"))
+    page_batches(spark)
     html = F.concat("html", F.lit("<table><tr><th>key</th><th>value</th></tr>"), rows, F.lit("</table>"))
     found = _pages(spark, sf).select("page_id", tables_of(html).alias("rows")).filter("rows is not null")
     return found.select("page_id", F.array_join(F.col("rows")[0], "|").alias("header"), (F.size("rows") - 1).alias("n_rows"))

@@ -1,5 +1,8 @@
 """Ragged HTML tables keep every row and cell."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 import loomframe.queries.text as queries
 from loomframe.sources.readers import first_table, read_html
 
@@ -21,3 +24,15 @@ def test_query_counts_ragged_rows(spark, monkeypatch):
     pages = spark.createDataFrame([(1, PAGE), (2, "<p>none"), (3, None)], "page_id long, html string")
     monkeypatch.setattr(queries, "_pages", lambda spark, sf: pages)
     assert [(r["page_id"], r["n_rows"]) for r in queries.html_tables(spark, "").collect()] == [(1, 6), (2, 2)]
+
+
+def test_pages_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    monkeypatch.setattr(queries, "_pages", lambda spark, sf: spark.range(0, 1000, 1, 1).selectExpr("id as page_id", "'' as html"))
+    monkeypatch.setattr(queries, "tables_of", F.pandas_udf(lambda html: html.map(lambda _: [[str(len(html))]]), T.ArrayType(T.ArrayType(T.StringType()))))
+    try:
+        assert max(int(r["header"]) for r in queries.html_tables(spark, "").collect()) <= queries.BATCH_PAGES
+    finally:
+        spark.conf.set(key, before)
