@@ -1,5 +1,6 @@
 """Recorded builds, digests, rebuilds and conflicts of meaning."""
 
+import math
 import json
 import subprocess
 import sys
@@ -67,3 +68,9 @@ def test_conflicts_follow_from_sets(spark):
     frame = spark.createDataFrame([("CHN", 2019, 1.0)], "iso3 string, year int, gdp double")
     with pytest.raises(EngineError, match="price_basis"):
         build.run(build.Config(("a",), "country", ("country", "year")), {"a": frame}, meanings=semantics.declared(spark, inputs))
+
+
+def test_digest_of_a_half_does_not_hang_on_its_last_bit(spark):
+    halves = [134217728.15, 223456789.45, 312345678.05]
+    df, up, down = (spark.createDataFrame([(math.nextafter(x, to) if to else x,) for x in halves], "v double") for to in (None, math.inf, -math.inf))
+    assert record.digest(df) == record.digest(up) == record.digest(down)
