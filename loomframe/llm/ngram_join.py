@@ -9,8 +9,13 @@ the smaller set only the index part of the prefix is in a block.  Parity bitmaps
 long as the sets, bound the difference of two sets from below and skip pairs without reading
 their texts.
 
-In each list, sets that are near in the order are verified first and give groups.  Other pairs
-of a list are answered through their groups: with the Jaccard distance being a metric, the
+In each list, sets that are near in the order are verified first and give groups.  Pairs of
+different groups meet by the lists of fewer than LONG sets, so that their number grows no faster
+than the lists' rows.  The sets of longer lists, whose pairs would meet once for every list they
+share, are put into families by the least hash of their longer lists' shingles.  Two families
+that share such a list are compared once, all sets of the one with all of the other, by their
+bitmaps in tiles of bounded size; only pairs that the bitmaps leave open become rows.  Pairs of
+groups are then answered through their roots: with the Jaccard distance being a metric, the
 computed distance of two groups' roots less the members' distances to their roots bounds every
 pair between the groups, and only pairs that the bound leaves open are compared.  Nothing is
 dropped: every skip follows from the size, prefix, bitmap or triangle bound.
@@ -46,6 +51,11 @@ REVISIONS = 2
 BITMAP = 256
 MASKS = [f"m{i}" for i in range(BITMAP // 64)]
 NEIGHBOURS = 16
+#: Sets of a list from which on it is compared by families; sets of a tile's side, and shingles of its sets, at most about.
+LONG = 16
+TILE, TILE_SHINGLES = 256, 1 << 21
+#: Words of two sides' bitmaps compared at once.
+SLAB = 1 << 18
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -59,8 +69,8 @@ def index_length(n: Column, percent: int) -> Column:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """For each bit whether an odd number of elements falls on it; a bit or more for an element."""
-    width = max(BITMAP, 1 << (len(s) - 1).bit_length())
+    """For each bit whether an odd number of elements falls on it; two bits or more for an element."""
+    width = max(BITMAP, 2 << (len(s) - 1).bit_length())
     at = (scramble(s.view(np.uint64) ^ np.uint64(3)) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).view(np.int64)
 
@@ -218,7 +228,7 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     by_list = Window.partitionBy("h")
     mine = _index(texts, index, chosen, n, percent)
     rows = mine.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    several = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1").drop("many"))
+    several = durable(rows.select("*", F.count("*").over(by_list).alias("many")).filter("many > 1"))
     sketches = durable(mine.select("doc_id", "n_shingles", *MASKS, "bits"))
     shared = durable(several.join(sketches.select(F.col("doc_id").alias("d"), *MASKS), "d"))
     discard(several, index, chosen)
@@ -240,11 +250,80 @@ def _blocks(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.lit(math.log(100 / percent) * (1 + 1e-9)))
 
 
+def _open_in_tiles(percent: int):
+    """An Arrow table of whole tiles (tile, side, n, d, root, bits) to the pairs (xd, xroot, yd, yroot) of different groups that sizes and bitmaps allow.
+
+    Sides 0 and 1 are compared with each other, side 2 with itself.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile").combine_chunks()
+        tile, side, n = (table[c].to_numpy() for c in ("tile", "side", "n"))
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = [np.frombuffer(b, np.uint64) for b in table["bits"].to_pylist()]
+        width = np.array([len(b) for b in bits])
+        cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            at = np.arange(start, stop)
+            left, right = at[side[start:stop] != 1], at[side[start:stop] != 0]
+            for u in np.unique(width[left]):
+                for v in np.unique(width[right]):
+                    words, i, j = min(u, v), left[width[left] == u], right[width[right] == v]
+                    p, q = (np.bitwise_xor.reduce(np.stack([bits[k] for k in of]).reshape(len(of), -1, words), axis=1) for of in (i, j))
+                    for k in range(0, len(i), step := max(1, SLAB // (len(j) * words))):
+                        mine = i[k : k + step]
+                        total = n[mine][:, None] + n[j][None, :]
+                        apart = np.bitwise_count(p[k : k + step, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64)
+                        fits = (apart <= total - 2 * -(-percent * total // (100 + percent))) & (root[mine][:, None] != root[j][None, :])
+                        fits &= 100 * np.minimum(n[mine][:, None], n[j][None, :]) >= percent * np.maximum(n[mine][:, None], n[j][None, :])
+                        x, y = np.nonzero(fits)
+                        xs.append(mine[x])
+                        ys.append(j[y])
+        x, y = pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))
+        return pa.table({"xd": table["d"].take(x), "xroot": table["root"].take(x), "yd": table["d"].take(y), "yroot": table["root"].take(y)})
+
+    return run
+
+
+def _by_families(held: DataFrame, own: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(xd, xroot, yd, yroot): pairs that meet in the longer lists ``held`` (h, d, n), whose sets' families are ``own`` (d, n, block, root, f)."""
+    met = held.join(own, ["d", "n"]).select("h", "f", "block").distinct()
+    other = met.select("h", F.col("f").alias("f2"), F.col("block").alias("block2"))
+    order = ((F.col("block") == F.col("block2")) & (F.col("f") <= F.col("f2"))) | (F.col("block") == F.col("block2") + 1)
+    pairs = met.join(other, "h").filter(order).select("f", "block", "f2", "block2").distinct()
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = durable(own.groupBy("f", "block").agg(parts.alias("parts"), F.sum("n").alias("shingles")))
+    second = sizes.select(F.col("f").alias("f2"), F.col("block").alias("block2"), F.col("parts").alias("parts2"), F.col("shingles").alias("shingles2"))
+    itself = (F.col("f") == F.col("f2")) & (F.col("block") == F.col("block2"))
+    dealt = pairs.join(sizes, ["f", "block"]).join(second, ["f2", "block2"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("part2", F.explode(F.sequence(F.when(itself, F.col("part")).otherwise(0), F.col("parts2") - 1)))
+    alone = itself & (F.col("part") == F.col("part2"))
+    tile = F.xxhash64("f", "block", "part", "f2", "block2", "part2")  # tiles of one hash would only be compared together
+    held_here = F.col("shingles") / F.col("parts") + F.col("shingles2") / F.col("parts2")
+    tiles = durable(dealt.select(tile.alias("tile"), alone.alias("alone"), "f", "block", "part", "f2", "block2", "part2", held_here.alias("held")))
+    total = tiles.agg(F.coalesce(F.sum("held"), F.lit(0.0))).first()[0]
+    groups = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TILE_SHINGLES))
+
+    member = own.join(sizes.drop("shingles"), ["f", "block"]).withColumn("part", F.pmod(F.xxhash64("d", "n"), "parts").cast("int")).drop("parts", "hot")
+    member = member.join(sketches.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "bits"), ["d", "n"])
+    cols = ["tile", "n", "d", "root", "bits"]
+    left = tiles.select("tile", "f", "block", "part", F.when(F.col("alone"), 2).otherwise(0).alias("side"))
+    right = tiles.filter("not alone").select("tile", F.col("f2").alias("f"), F.col("block2").alias("block"), F.col("part2").alias("part"), F.lit(1).alias("side"))
+    rows = left.union(right).join(member, ["f", "block", "part"]).select(*cols, "side", F.pmod("tile", F.lit(groups)).alias("bucket"))
+    kind = own.schema["d"].dataType.simpleString()
+    return rows.groupBy("bucket").applyInArrow(_open_in_tiles(percent), f"xd {kind}, xroot {kind}, yd {kind}, yroot {kind}")
+
+
 def _across(shared: DataFrame, sketches: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different groups that meet in an index list."""
     rooted = durable(shared.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("component", "d")).drop("component"))
     mixed = rooted.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("h")
-    open_rows = rooted.join(mixed, "h").withColumn("block", _blocks(F.col("n"), percent))
+    mixed_rows = rooted.join(mixed, "h").withColumn("block", _blocks(F.col("n"), percent))
+    held = durable(mixed_rows.filter(F.col("many") >= LONG).select("h", "d", "n", "block", "root"))
+    own = durable(held.groupBy("d", "n", "block", "root").agg(F.min(F.xxhash64("h")).alias("f"), F.count("*").alias("hot")))
+    by_family = _by_families(held.select("h", "d", "n"), own, sketches, percent)
+    open_rows = mixed_rows.filter(F.col("many") < LONG)
     small = open_rows.filter(F.col("pos") < index_length(F.col("n"), percent)).select("h", "block", F.struct("n", "d", "root", *MASKS).alias("y"))
     least = lambda block: F.greatest(F.ceil(percent * F.col("n") / 100), F.floor(F.exp(block * F.lit(math.log(100 / percent) * (1 + 1e-9)))))
     aim = F.explode(F.sequence(F.col("block") - 1, F.col("block")))
@@ -256,15 +335,19 @@ def _across(shared: DataFrame, sketches: DataFrame, groups: DataFrame, texts: Da
     fits = order & (F.col("x.root") != F.col("y.root")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & _bitmaps_fit(percent, F.col("x"), F.col("y"))
     met = large.join(small, ["h", "block"]).filter(fits)
     counted = met.groupBy(*[F.col(f"x.{c}").alias(f"x{c}") for c in ("d", "root", "n", "reach")], *[F.col(f"y.{c}").alias(f"y{c}") for c in ("d", "root", "n")]).count()
-    # All common elements up to the end of the index part or of what was sent, whichever ends first, are counted.
-    most = F.col("count") + F.greatest(F.col("yn") - index_length(F.col("yn"), percent), F.col("xn") - F.col("xreach"))
+    hot = lambda t: own.select(F.col("d").alias(f"{t}d"), F.col("n").alias(f"{t}n"), F.col("hot").alias(f"{t}hot"))
+    counted = counted.join(hot("x"), ["xd", "xn"], "left").join(hot("y"), ["yd", "yn"], "left")
+    # All common elements up to the end of the index part or of what was sent, whichever ends first, are counted, but for those in longer lists.
+    longer = F.least(F.coalesce("xhot", F.lit(0)), F.coalesce("yhot", F.lit(0)))
+    most = F.col("count") + longer + F.greatest(F.col("yn") - index_length(F.col("yn"), percent), F.col("xn") - F.col("xreach"))
     enough = counted.filter(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+    enough = enough.select("xd", "xroot", "yd", "yroot").union(by_family)
     both = durable(enough.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b"), F.when(F.col("xd") < F.col("yd"), F.col("xroot")).otherwise(F.col("yroot")).alias("ra"), F.when(F.col("xd") < F.col("yd"), F.col("yroot")).otherwise(F.col("xroot")).alias("rb")).distinct())
     left = both.join(plausible(both.select("a", "b"), sketches, percent), ["a", "b"])
     turned = F.col("ra") > F.col("rb")
     pick = lambda p, q: F.when(turned, F.col(p)).otherwise(F.col(q))
     near = durable(left.select(pick("rb", "ra").alias("ra"), pick("ra", "rb").alias("rb"), pick("b", "a").alias("a"), pick("a", "b").alias("b")).distinct(), both.count())
-    discard(rooted, both)
+    discard(rooted, both, held, own)
 
     # The roots' answers: their distance, and each member's distance to its root.
     n_near = 2 * near.count()
