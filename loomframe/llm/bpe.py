@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,44 +142,54 @@ class Merges:
 
 
 class Memory:
-    """Ids of pieces: an Arrow array of the pieces, and where each one's ids lie in a pool.
+    """Ids of pieces: the place of each piece, and where its ids lie in a pool.
 
     ``learn`` gives the ids of new pieces: all of them in a row, and how many each has.  A memory
-    that would pass REMEMBERED pieces starts anew with the pieces that are asked for.
+    that would pass ``most`` pieces (REMEMBERED) keeps those that were asked for more than once lately, or,
+    if they leave too little room, starts anew with the pieces that are asked for.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.learn = learn
-        self._forget()
-
-    def _forget(self) -> None:
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
+        self.learn, self.most = learn, most or REMEMBERED
+        self.known: dict[str, int] = {}  # pieces to places, in the order of the places
+        self.ids, self.starts, self.counts, self.odd, self.times = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
         self.generation = object()  # another one whenever places change
-        self.known = pa.array([], pa.large_string())
-        self.ids, self.starts, self.counts, self.odd = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def _add(self, new: pa.Array) -> None:
-        pieces = new.to_pylist()
+    def _forget(self, room: int) -> None:
+        """Leave what was asked for once, and the rest too if ``room`` new pieces have no place beside it."""
+        kept = np.flatnonzero(self.times > 1)
+        if len(kept) + room > self.most or len(kept) == len(self.known):
+            kept = kept[:0]
+        pieces = list(self.known)
+        self.known = {pieces[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids, self.counts = self.laid_out(kept)
+        self.starts, self.odd, self.times = np.cumsum(self.counts) - self.counts, self.odd[kept], self.times[kept] // 2
+        self.generation = object()
+
+    def _add(self, pieces: list[str]) -> None:
         ids, counts = self.learn(pieces)
-        self.known = pa.concat_arrays([self.known, new])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, ids])
         self.odd = np.concatenate([self.odd, np.array([not p or p[0].isspace() for p in pieces], bool)])
+        self.times = np.concatenate([self.times, np.zeros(len(pieces), np.int32)])
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """The place of each of ``pieces`` in the memory."""
-        found = pc.index_in(pieces, value_set=self.known)
-        if not found.null_count:
-            return found.to_numpy().astype(np.int64)
-        missing = found.is_null()
-        new = pieces.filter(missing).unique()
-        if len(self.known) and len(self.known) + len(new) > REMEMBERED:
-            self._forget()
-            return self.places(pieces)
-        at, base = found.fill_null(0).to_numpy().astype(np.int64), len(self.known)
-        at[missing.to_numpy(zero_copy_only=False)] = base + pc.index_in(pieces.filter(missing), value_set=new).to_numpy()
-        self._add(new)
-        return at
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if self.known and len(self.known) + len(missing) > self.most:
+                self.times[at[at >= 0]] += 2  # what this block asks for stays, if it can
+                self._forget(len(missing))
+                return self.places(pieces)
+            at[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            self._add([distinct[i] for i in missing.tolist()])
+        self.times[at] += 1
+        return at[coded.indices.to_numpy()]
 
     def laid_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all places in a row, and how many each has."""
@@ -205,10 +216,10 @@ class Codec:
         self.words = regex.compile(pattern)
         self._open()
 
-    def _open(self) -> None:
+    def _open(self, most: int | None = None) -> None:
         # A single space before anything but white space always starts a word, so texts can be cut there.
         self.cut = regex.compile(r"(?= \S)")
-        self.first, self.spaced = Memory(lambda p: self._learn(p, "")), Memory(lambda p: self._learn(p, " "))
+        self.first, self.spaced = Memory(lambda p: self._learn(p, ""), most), Memory(lambda p: self._learn(p, " "), most)
 
     def _learn(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
         split = [[space + p] if p.isalpha() else self.words.findall(space + p) for p in pieces]
@@ -333,8 +344,8 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", into: st
     return rows.mapInArrow(_by_batch(row), T.StructType([*rows.schema, T.StructField(into, T.BinaryType())]))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches joined until they hold about BLOCK_CHARS characters, with their texts (null: empty)."""
+def gathered(batches: Iterator[pa.RecordBatch], text: int, chars: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches joined until they hold about ``chars`` (BLOCK_CHARS) characters, with their texts (null: empty)."""
     held: list[pa.RecordBatch] = []
     texts: list[str] = []
     size = 0
@@ -343,7 +354,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
         held.append(batch)
         texts += new
         size += sum(map(len, new))
-        if size >= BLOCK_CHARS:
+        if size >= (chars or BLOCK_CHARS):
             yield pa.concat_batches(held), texts
             held, texts, size = [], [], 0
             pa.default_memory_pool().release_unused()  # one block's arrays at a time

@@ -33,6 +33,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -485,7 +486,7 @@ class _Logs:
     def of_memory(self, memory: Memory) -> np.ndarray:
         if self.of is not memory.generation:
             self.of, self.found = memory.generation, np.zeros(0)
-        new = memory.known.slice(len(self.found)).to_pylist()
+        new = list(islice(memory.known, len(self.found), None))
         if new:
             self.found = np.concatenate([self.found, np.array([self.known.get(w, math.nan) for w in new])])
         return self.found

@@ -28,8 +28,11 @@ TOP, LOW = 48, 32
 WEIGHT, SCALE = 11, 16
 SLOTS = 512  # contexts of a block's table of an order
 SPEED = 5
-ONE, SIXTEEN = np.int64(1 << 16), np.int64(16)
-ALL, TAKEN = np.int64((1 << 63) - 1), np.int64(((1 << 63) - 1) ^ ((1 << LOW) - 1))
+ONE, NOTHING = np.int64(1 << 16), np.int64(0)
+#: What of a block's low end stays when a digit leaves.
+KEPT = np.int64((1 << LOW) - 1)
+#: Steps whose ids are looked up at once, and ids of a chunk that are counted at once.
+SLAB, PART = 64, 1 << 20
 #: The orders' first weights (order 2, order 1) by whether order 2 and order 1 were right last time and name the same id.
 FIRST_SHARES = np.array([a << 16 | b for a, b in ((4096, 3072), (12288, 0), (3072, 12288), (16384, 0), (20480, 2048), (24576, 0), (20480, 4096), (32768, 0))], np.int64)
 #: At most so many classes of last ids, one for each so many ids of the chunk.
@@ -38,12 +41,23 @@ CLASSES, IDS_A_CLASS = 32, 40_000
 MARKS = 64
 
 
+def _paired(rows: np.ndarray, last: np.ndarray, x: np.ndarray, width: int, n_rows: int) -> np.ndarray:
+    """How often each of ``x``, at most ``width`` - 1, comes after each row of its ``last``, counted over a part of the chunk at a time."""
+    out = np.zeros(n_rows * width, np.int64)
+    for a in range(0, len(x), PART):
+        part = rows.take(last[a : a + PART])
+        part *= width
+        part += np.minimum(x[a : a + PART], width - 1)
+        out += np.bincount(part, minlength=len(out))
+    return out.reshape(n_rows, width)
+
+
 def _classes(x: np.ndarray, last: np.ndarray, n_ids: int) -> np.ndarray:
     """Class of each id by the share of the commonest ids among its followers."""
     k = max(1, min(CLASSES, len(x) // IDS_A_CLASS))
     if k == 1 or n_ids <= k:
         return np.zeros(n_ids, np.int64)
-    after = np.bincount(last * (MARKS + 1) + np.minimum(x, MARKS), minlength=n_ids * (MARKS + 1)).reshape(n_ids, -1).astype(np.float32)
+    after = _paired(np.arange(n_ids), last, x, MARKS + 1, n_ids).astype(np.float32)
     total = after.sum(axis=1)
     share = np.sqrt(after / np.maximum(total, 1)[:, None])
     met = np.flatnonzero(total >= 8)
@@ -104,33 +118,41 @@ class _Models:
     """
 
     def __init__(self, n: int):
-        self.guess = np.zeros((2, n * SLOTS), np.int32)
+        self.guess1, self.guess2 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
         self.spread, self.contexts = np.arange(n) * SLOTS, np.arange(n) * 8
-        self.last, self.place1, self.place2 = np.zeros(n, np.int64), self.spread.copy(), self.spread.copy()
         self.share = np.tile(FIRST_SHARES, n)
 
-    def predict(self, m: int) -> tuple[np.ndarray, ...]:
-        """(what order 2 names, what order 1 names, their weights) for the first ``m`` blocks."""
-        self.known1, self.known2 = self.guess[0].take(self.place1[:m]), self.guess[1].take(self.place2[:m])
-        self.named1, self.named2 = self.known1 >> 1, self.known2 >> 1
-        context = (self.known2 & 1) << 2 | (self.known1 & 1) << 1 | (self.named1 == self.named2)
-        self.context = context + self.contexts[:m]
+    def predict(self, place1: np.ndarray, place2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(what order 2 names, what order 1 names, their weights) at the blocks' places in the tables of the orders."""
+        self.place1, self.place2 = place1, place2
+        known1, known2 = self.guess1.take(place1), self.guess2.take(place2)
+        context = known2 & 1
+        context <<= 1
+        context |= known1 & 1
+        context <<= 1
+        context |= (known1 ^ known2) < 2
+        self.context = self.contexts[: len(context)] + context
         shares = self.share.take(self.context)
         self.share2, self.share1 = shares >> 16, shares & 0xFFFF
-        return self.named2, self.named1, self.share2 >> 16 - WEIGHT, self.share1 >> 16 - WEIGHT
-
-    def update(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
-        m = len(ids)
-        two = self.share2 + ((by2 * ONE - self.share2) >> SPEED)
-        one = self.share1 + ((by1 * ONE - self.share1) >> SPEED)
-        self.share[self.context] = two << 16 | one
-        fresh = (ids << 1).astype(np.int32)
-        self.guess[0][self.place1[:m]] = fresh | (ids == self.named1)
-        self.guess[1][self.place2[:m]] = fresh | (ids == self.named2)
-        here = ids * 40503
-        self.place1[:m] = (here >> 6 & (SLOTS - 1)) + self.spread[:m]
-        self.place2[:m] = ((here ^ self.last[:m] * 25171) >> 7 & (SLOTS - 1)) + self.spread[:m]
-        self.last[:m] = ids
+        known1 >>= 1
+        known2 >>= 1
+        return known2, known1, self.share2 >> 16 - WEIGHT, self.share1 >> 16 - WEIGHT
+
+    def update(self, fresh: np.ndarray, was2: np.ndarray, was1: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
+        """``fresh`` are the ids shifted by a bit; ``was2`` and ``was1`` tell whether an order named them, ``by2`` and ``by1`` whether they were coded by it."""
+        for share, by in ((self.share2, by2), (self.share1, by1)):
+            share += (np.where(by, ONE, NOTHING) - share) >> SPEED
+        self.share2 <<= 16
+        self.share2 |= self.share1
+        self.share[self.context] = self.share2
+        self.guess1[self.place1] = fresh | was1
+        self.guess2[self.place2] = fresh | was2
+
+
+def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of order 1 and 2 after the ids ``before`` and ``last``."""
+    here = last * 40503
+    return here >> 6 & (SLOTS - 1), (here ^ before * 25171) >> 7 & (SLOTS - 1)
 
 
 def _active(sizes: np.ndarray, steps: int) -> list[int]:
@@ -143,39 +165,52 @@ def _encode(matrix: np.ndarray, sizes: np.ndarray, tables: _Tables) -> list[byte
     steps, n = matrix.shape
     models, scale = _Models(n), tables.scale
     low, wide = np.zeros(n, np.int64), np.full(n, 1 << TOP, np.int64)
-    digits, gone, n_digits = np.zeros((n, 2 * steps + 8), np.int32), np.zeros((n, 2 * steps + 8), bool), 0
+    digits, gone, n_digits = np.zeros((2 * steps + 8, n), np.int32), np.zeros((2 * steps + 8, n), bool), 0
 
     def settle(m: int, rows: np.ndarray) -> None:
         """The leading digit of ``rows`` leaves; a carry is its seventeenth bit."""
         nonlocal n_digits
-        digits[:m, n_digits] = low[:m] >> LOW
-        gone[:m, n_digits] = rows
+        digits[n_digits, :m] = low[:m] >> LOW
+        gone[n_digits, :m] = rows
         n_digits += 1
-        by = rows * SIXTEEN
-        low[:m] = (low[:m] & (rows * TAKEN ^ ALL)) << by
-        wide[:m] <<= by
-
-    for now, m in zip(matrix, _active(sizes, steps), strict=True):
-        x = now[:m]
-        two, one, w2, w1 = models.predict(m)
-        by2 = (x == two) & (w2 > 0)
-        by1 = (x == one) & ~by2 & (w1 > 0)
-        w12 = w1 + w2
-        w0 = (1 << WEIGHT) - w12
-        packed = tables.packed.take(tables.row.take(models.last[:m]) + x)
-        by0 = ~(by2 | by1)
-        start = by1 * (w2 << scale) + by0 * ((w12 << scale) + w0 * (packed >> 32))
-        size = by2 * (w2 << scale) + by1 * (w1 << scale) + by0 * (w0 * (packed & 0xFFFFFFFF))
-        r = wide[:m] >> WEIGHT + scale
-        low[:m] += start * r
-        wide[:m] = size * r
-        while (rows := wide[:m] < 1 << LOW).any():
-            settle(m, rows)
-        models.update(x, by2, by1)
+        np.copyto(low[:m], (low[:m] & KEPT) << 16, where=rows)
+        np.copyto(wide[:m], wide[:m] << 16, where=rows)
+
+    active = _active(sizes, steps)
+    for first in range(0, steps, SLAB):  # what doesn't hang on the models is computed for many steps at once
+        end = min(steps, first + SLAB)
+        ids = np.zeros((end - first + 2, n), np.int64)
+        ids[max(0, 2 - first) :] = matrix[max(0, first - 2) : end]
+        places1, places2 = _slots(ids[1:-1], ids[:-2])
+        places1 += models.spread
+        places2 += models.spread
+        packed = tables.packed.take(tables.row.take(ids[1:-1]) + ids[2:])
+        begins, shares, fresh = packed >> 32, packed & 0xFFFFFFFF, matrix[first:end] << 1
+        for k in range(end - first):
+            m = active[first + k]
+            x = matrix[first + k, :m]
+            two, one, w2, w1 = models.predict(places1[k, :m], places2[k, :m])
+            was2, was1 = two == x, one == x
+            by2 = was2 & (w2 > 0)
+            by1 = (was1 & (w1 > 0)) > by2
+            w12 = w1 + w2
+            w0 = (1 << WEIGHT) - w12
+            w2 <<= scale
+            w1 <<= scale
+            w12 <<= scale
+            w12 += w0 * begins[k, :m]
+            start = np.where(by2, NOTHING, np.where(by1, w2, w12))
+            r = wide[:m] >> WEIGHT + scale
+            start *= r
+            low[:m] += start
+            np.multiply(np.where(by2, w2, np.where(by1, w1, w0 * shares[k, :m])), r, out=wide[:m])
+            while (rows := wide[:m] < 1 << LOW).any():
+                settle(m, rows)
+            models.update(fresh[k, :m], was2, was1, by2, by1)
     for _ in range(TOP // 16):
         settle(n, np.ones(n, bool))
-    digits, gone = digits[:, :n_digits], gone[:, :n_digits]
-    out = np.concatenate([[0], digits[gone]])
+    gone = np.ascontiguousarray(gone[:n_digits].T)
+    out = np.concatenate([np.zeros(1, np.int32), digits[:n_digits].T[gone]])
     while (carry := out >> 16).any():  # it never reaches beyond a block's first digit
         out &= 0xFFFF
         out[:-1] += carry[1:]
@@ -194,32 +229,41 @@ def _decode(data: list[bytes], sizes: np.ndarray, tables: _Tables) -> np.ndarray
     at += 3
     code, wide = head[0] << 32 | head[1] << 16 | head[2], np.full(n, 1 << TOP, np.int64)
     out = np.zeros((steps, n), np.int32)
+    last = before = np.zeros(n, np.int64)
     for step, m in enumerate(_active(sizes, steps)):
-        two, one, w2, w1 = models.predict(m)
+        last, before = last[:m], before[:m]
+        place1, place2 = _slots(last, before)
+        place1 += models.spread[:m]
+        place2 += models.spread[:m]
+        two, one, w2, w1 = models.predict(place1, place2)
         w12 = w1 + w2
         w0 = (1 << WEIGHT) - w12
         r = wide[:m] >> WEIGHT + scale
         value = np.minimum((code[:m] / r).astype(np.int64), (1 << WEIGHT + scale) - 1)
-        edge2, edge1 = w2 << scale, w12 << scale
-        by2 = value < edge2
-        by1 = (value < edge1) & ~by2
-        last = models.last[:m]
-        slot = np.maximum(((value - edge1) / w0).astype(np.int64), 0)
-        x0 = inverse.take(tables.slot.take(last) + slot)
+        w2 <<= scale
+        w1 <<= scale
+        w12 <<= scale
+        by2, by1 = value < w2, value < w12
+        value -= w12
+        slot = np.maximum((value / w0).astype(np.int64), 0)
+        slot += tables.slot.take(last)
+        x0 = inverse.take(slot)
         packed = tables.packed.take(tables.row.take(last) + x0)
-        by0 = value >= edge1
-        x = by2 * two + by1 * one + by0 * x0
-        start = by1 * edge2 + by0 * (edge1 + w0 * (packed >> 32))
-        size = by2 * edge2 + by1 * (w1 << scale) + by0 * (w0 * (packed & 0xFFFFFFFF))
-        code[:m] -= start * r
-        wide[:m] = size * r
+        x = np.where(by2, two, np.where(by1, one, x0))
+        w12 += w0 * (packed >> 32)
+        packed &= 0xFFFFFFFF
+        packed *= w0
+        start = np.where(by2, NOTHING, np.where(by1, w2, w12))
+        start *= r
+        code[:m] -= start
+        np.multiply(np.where(by2, w2, np.where(by1, w1, packed)), r, out=wide[:m])
         while (rows := wide[:m] < 1 << LOW).any():
-            by = rows * SIXTEEN
-            code[:m] = code[:m] << by | rows * flat.take(at[:m], mode="clip")
+            np.copyto(code[:m], code[:m] << 16 | flat.take(at[:m], mode="clip"), where=rows)
             at[:m] += rows
-            wide[:m] = np.maximum(wide[:m], 1) << by  # damaged codes may have none left
-        models.update(x, by2, by1)
+            np.copyto(wide[:m], np.maximum(wide[:m], 1) << 16, where=rows)  # damaged codes may have none left
+        models.update(x << 1, x == two, x == one, by2, by1 > by2)
         out[step, :m] = x
+        last, before = x.astype(np.int64), last
     return out
 
 
@@ -244,14 +288,14 @@ def pack(ids: np.ndarray, vocabulary: int) -> bytes:
     number[names] = np.arange(len(names), dtype=np.int32)
     x = np.zeros(n * BLOCK_IDS, np.int32)
     x[: len(ids)] = number[ids]
-    last = np.zeros(len(ids), np.int64)
+    last = np.zeros(len(ids), np.int32)
     last[1:] = x[: len(ids) - 1]
     last[::BLOCK_IDS] = 0  # a block starts as after the commonest id
     class_of = _classes(x[: len(ids)], last, len(names))
     k = int(class_of.max()) + 1
     scale = max(SCALE, len(names).bit_length() + 1)
-    pairs = np.bincount(class_of[last] * len(names) + x[: len(ids)], minlength=k * len(names)).reshape(k, -1)
-    freq = _quantised(pairs, scale)
+    freq = _quantised(_paired(class_of, last, x[: len(ids)], len(names), k), scale)
+    del last
     tables = _Tables(class_of, freq)
     codes = _encode(np.ascontiguousarray(x.reshape(n, BLOCK_IDS).T[: int(sizes.max())]), sizes, tables)
     head = zlib.compress(names.astype("<u4").tobytes() + class_of.astype(np.uint8).tobytes() + freq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)

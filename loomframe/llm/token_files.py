@@ -17,6 +17,7 @@ columns are not written.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -32,9 +33,14 @@ from .bpe import Codec, gathered, spread
 
 END = 0
 #: Ids of a chunk; all its blocks are coded in step.
-CHUNK_IDS = 2_000_000
-#: Pieces in a call of the library.
-PIECES = 128
+CHUNK_IDS = 8_000_000
+#: Pieces in a call of the library, and pieces whose ids a worker remembers: the library takes longer over a new piece than over all else.
+PIECES, PIECES_KEPT = 128, 600_000
+#: Characters of text encoded at once.
+CHARS = 3_000_000
+#: A word of letters, ASCII signs other than an apostrophe, which may be a contraction's, and the same after a line's end; the library cuts between them whatever follows.
+LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+SIGNED = re.compile(r"(L)(S)(?:(\n)(L)(S))?".replace("L", LETTERS.pattern).replace("S", r"[!-&(-/:-@\[-`{-~]*"))
 
 
 class LibraryCodec(Codec):
@@ -51,17 +57,51 @@ class LibraryCodec(Codec):
         self.begins = np.zeros(self.size, bool)  # ids that start with a space
         for token, i in self.tool.get_vocab().items():
             self.begins[i] = token.startswith("Ġ")
-        self._open()
+        # The model's letters for bytes: printable Latin-1 ones are their own, the others follow from U+0100.
+        own = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+        rest = [b for b in range(256) if b not in own]
+        self.letters = {b: 256 + k for k, b in enumerate(rest)}
+        self._open(PIECES_KEPT)
 
     def _learn(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces after a space are handed to the library PIECES at a time: only their first ids start with a space."""
-        counts, out = np.zeros(len(pieces), np.int64), []
-        joined = [i for i, p in enumerate(pieces) if space and p and " " not in p and not p[0].isspace()]
+        """A word and what SIGNED finds after it are read apart, since the same word is met with other signs and with none."""
+        alpha = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        cut = {i: [x or "" for x in m.groups()] for i in np.flatnonzero(~alpha).tolist() if space and (m := SIGNED.fullmatch(pieces[i]))}
+        if not cut:
+            return self._read(pieces, space)
+        known, plain = self.spaced.known, [p for i, p in enumerate(pieces) if i not in cut]
+        asked = list(dict.fromkeys([*plain, *(m[0] for m in cut.values() if m[0] not in known)]))
+        after = list(dict.fromkeys(["", *(x for m in cut.values() for x in m[1:])]))
+        kept = list(dict.fromkeys(known[m[0]] for m in cut.values() if m[0] in known))
+        found = [self._read(asked, space), self._read(after, ""), self.spaced.laid_out(np.array(kept, np.int64))]
+        flat, counts = np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found])
+        at, after_at, kept_at = ({x: k for k, x in enumerate(xs, first)} for xs, first in ((asked, 0), (after, len(asked)), (kept, len(asked) + len(after))))
+        parts = np.full((len(pieces), SIGNED.groups), after_at[""])
+        alone = np.ones(len(pieces), bool)
+        alone[list(cut)] = False
+        parts[alone, 0] = np.arange(len(plain))
+        parts[~alone] = [(kept_at[known[m[0]]] if m[0] in known else at[m[0]], *map(after_at.__getitem__, m[1:])) for m in cut.values()]
+        sizes = counts[parts]
+        return flat[spread((np.cumsum(counts) - counts)[parts].ravel(), sizes.ravel())], sizes.sum(axis=1)
+
+    def _read(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters go to the library's model as they are; other pieces after a space are handed
+        to the library PIECES at a time: only their first ids start with a space."""
+        counts = np.zeros(len(pieces), np.int64)
+        at = [i for i, p in enumerate(pieces) if p.isalpha() and (p.isascii() or LETTERS.fullmatch(p))]
+        taken, tokens, front, flat = set(at), self.tool.model.tokenize, "Ġ" if space else "", []
+        for i in at:
+            p = pieces[i]
+            ids = [t.id for t in tokens(front + (p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)))]
+            counts[i] = len(ids)
+            flat += ids
+        out = [np.array(flat, np.int32)]
+        others = [i for i in range(len(pieces)) if i not in taken]
+        joined = [i for i in others if space and pieces[i] and " " not in pieces[i] and not pieces[i][0].isspace()]
         groups = [joined[k : k + PIECES] for k in range(0, len(joined), PIECES)]
         taken = set(joined)
-        groups += [[i] for i in range(len(pieces)) if i not in taken]
+        groups += [[i] for i in others if i not in taken]
         found = self.tool.encode_batch_fast([space + space.join(pieces[i] for i in g) for g in groups], add_special_tokens=False)
-        at: list[int] = []
         for group, e in zip(groups, found, strict=True):
             ids = np.array(e.ids, np.int32)
             if len(group) > 1:
@@ -73,7 +113,7 @@ class LibraryCodec(Codec):
                 counts[group[0]] = len(ids)
             at += group
             out.append(ids)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        flat = np.concatenate(out)
         order = np.array(at, np.int64)
         starts = np.zeros(len(pieces), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
@@ -117,7 +157,7 @@ def _packer(path: str, plain: bool):
         tool, part, number = _codec(path, plain), TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
         kind = pa.int64()
-        for batch, texts in gathered(batches, 1):
+        for batch, texts in gathered(batches, 1, CHARS):
             kind = batch.column(0).type
             found, sizes = tool.encode_block(texts)
             ends = np.cumsum(sizes)
