@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, text_of
+from .base import BROADCAST_IDS, durable, text_of
 from .sharding import placed
 
 PARAGRAPH = 128
@@ -148,17 +148,24 @@ def _likeness(other: str) -> Column:
 def _attempt(texts: DataFrame, beside: DataFrame, attempt: int) -> DataFrame:
     """Everything about the documents of ``beside`` (key, next key, size of its edit), from one attempt."""
     key = ["kd", "h"]
-    asked = beside.select(F.col("next_kd").alias("kd"), F.col("next_h").alias("h"), F.col("kd").alias("for_kd"), F.col("h").alias("for_h"), "doc_id", "cut")
-    heads = texts.join(asked, key).select(F.col("for_kd").alias("kd"), F.col("for_h").alias("h"), "doc_id", "cut", F.substring("text", F.lit(1), F.col("cut")).alias("head"), digests(F.col("text")).alias("next"))
+    asked = beside.select(F.col("next_kd").alias("kd"), F.col("next_h").alias("h"), F.col("kd").alias("for_kd"), F.col("h").alias("for_h"), "cut")
+    heads = texts.join(asked, key).select(F.col("for_kd").alias("kd"), F.col("for_h").alias("h"), "cut", F.substring("text", F.lit(1), F.col("cut")).alias("head"), digests(F.col("text")).alias("next"))
     n_chars = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - F.col("cut")), F.col("head"))
-    rows = texts.join(heads, key).select(*key, "doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edit"), digests(F.col("text")).alias("own"), "next")
+    rows = texts.join(heads, key).select(*key, n_chars.cast("long").alias("n_chars"), edited.alias("edit"), digests(F.col("text")).alias("own"), "next")
     sets = rows.select(*key, "own", digests(F.col("edit")).alias("edited"), "next")
     facts = rows.select(
-        *key, "doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), sketch(F.col("own")).alias("fingerprint"), _let(digests(F.col("edit")), sketch).alias("edited_fingerprint"),
+        *key, "n_chars", F.sha2("edit", 256).alias("edited_sha256"), sketch(F.col("own")).alias("fingerprint"), _let(digests(F.col("edit")), sketch).alias("edited_fingerprint"),
         F.size("own").alias("n_own"), F.size(digests(F.col("edit"))).alias("n_edited"), F.size("next").alias("n_next"),
     )
-    return facts.join(difference(sets, key, attempt), key, "left")
+    # Both sides read the same columns of ``heads``, so that it is shuffled once; doc_id comes from ``beside``.
+    return facts.join(difference(sets, key, attempt), key, "left").join(beside.select(*key, "doc_id"), key)
+
+
+def _asked(texts: DataFrame, todo: DataFrame, n: int) -> DataFrame:
+    """The ``texts`` of the ``n`` documents of ``todo`` and of their next ones."""
+    keys = todo.select("kd", "h").union(todo.select("next_kd", "next_h")).distinct()
+    return texts.join(F.broadcast(keys) if 2 * n <= BROADCAST_IDS else keys, ["kd", "h"], "left_semi")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -172,19 +179,20 @@ def compared(docs: DataFrame) -> DataFrame:
     repeated, n = beside.agg(F.coalesce(F.max("copies"), F.lit(0)), F.count("*")).first()
     texts = texts.drop("doc_id")
     single = texts.dropDuplicates(["kd", "h"]) if repeated > 1 else texts
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // DOCS_A_TASK))
-    single = single.repartition(parts, "kd", "h")  # once for both joins and all groupings
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows, n: rows.repartition(max(least, -(-n // DOCS_A_TASK)), "kd", "h")  # noqa: E731  (once for both joins and all groupings)
 
     done, open_pairs = None, F.lit(False)
     for other in PAIRS:
         open_pairs = open_pairs | (F.coalesce(F.col(f"left_{other}"), F.lit(0)) > 0)
     todo, attempt = beside, 0
-    while attempt == 0 or not todo.isEmpty():  # each with twice the cells and another seed
-        tried = durable(_attempt(single, todo, attempt))
+    while attempt == 0 or n:  # each with twice the cells and another seed
+        near = _asked(single, todo, n) if attempt else single  # only what is tried again is shuffled again
+        tried = durable(_attempt(dealt(near, 2 * n if attempt else n), todo, attempt))
         settled = tried.filter(~open_pairs)
         done = settled if done is None else done.union(settled)
         todo = durable(todo.join(tried.filter(open_pairs).select("kd", "h"), ["kd", "h"], "left_semi"))
-        attempt += 1
+        n, attempt = todo.count(), attempt + 1
     out = done.select("kd", "h", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *[_likeness(o).alias(f"near_{o}") for o in PAIRS])
     if repeated > 1:
         out = out.join(beside.select("kd", "h", "copies"), ["kd", "h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
