@@ -56,16 +56,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
 def thresholds(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """One row a source: source_size, target, full copies and the hash threshold of one copy more.
 
-    ``narrow`` is what ``sized`` gives; it is read once a level.
+    ``narrow`` is what ``sized`` gives; it is read once a level, and each level's table of sources is written.
     """
     goal = targets(narrow, weights, cap)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goal.select("source", "source_size", "target", full.alias("copies")).select(
         "*", (F.col("target") - F.col("copies") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix")
     )
-    keep = ["source_size", "target", "copies"]
+    state = durable(state)
+    n_sources, keep = state.count(), ["source_size", "target", "copies"]
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        state = _refine(narrow, state, keep, shift)
+        state = durable(_refine(narrow, state, keep, shift), n_sources)  # a plan of all levels grows with their square
     nearest = (F.col("ended") - F.col("rest")) < F.col("rest")
     return state.select("source", *keep, F.when(F.col("rest") > 0, F.col("prefix") + nearest.cast("long")).otherwise(0).alias("threshold"))
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import among, discard, durable, small_batches, tidy
+from .base import among, arrow_batches, discard, durable, small_batches, tidy
 from .components import components
 from .words import hashed_words, scramble, shingle_set
 
@@ -122,7 +122,8 @@ def _hot_shingles(index: DataFrame) -> np.ndarray:
     total = index.agg(F.sum(F.size("prefix"))).first()[0] or 0
     least = max(HOT, math.ceil(total / HOT_ROWS))
     counted = index.select(F.explode("prefix").alias("h")).groupBy("h").count().filter(F.col("count") >= least)
-    return np.sort(np.array([r[0] for r in counted.select("h").toLocalIterator()], np.int64))
+    with arrow_batches(index.sparkSession, HOT_ROWS):  # one job for all partitions, eight bytes a row
+        return np.sort(counted.select("h").toArrow()["h"].to_numpy())
 
 
 def _compare(n: int):
@@ -207,7 +208,7 @@ def _index(texts: DataFrame, index: DataFrame, chosen: DataFrame, n: int, percen
         if not len(new):
             break
         hot = np.union1d(hot, new)
-        marks = mine.sparkSession.createDataFrame([(int(h),) for h in new], "h long")
+        marks = mine.sparkSession.createDataFrame(pa.table({"h": new}))
         again = durable(mine.select("doc_id", F.explode("prefix").alias("h")).join(F.broadcast(marks), "h", "left_semi").select("doc_id").distinct())
         redone = durable(indexed(among(texts, again, "doc_id"), n, percent, hot))
         mine = among(mine, again, "doc_id", "left_anti").union(redone)

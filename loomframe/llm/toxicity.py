@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches, tidy
+from .base import durable, small_batches, tidy
 from .words import hashed_words, scramble, shingles
 
 WORD = re.compile(r"[^\W_]+")
@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     totals = {bool(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     drawn = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for t in (True, False)]
     sample = drawn[0].union(drawn[1])
-    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # max_rows rows at most
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    met = durable(met, max_rows)  # few files, since each partition is a job of its own below
     texts, toxic = [], []
     for row in met.toLocalIterator():
         texts.append(row["text"])
