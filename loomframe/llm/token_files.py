@@ -16,10 +16,13 @@ columns are not written.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +38,38 @@ END = 0
 #: Ids of a chunk; all its blocks are coded in step.
 CHUNK_IDS = 8_000_000
 #: Pieces in a call of the library, and pieces whose ids a worker remembers: the library takes longer over a new piece than over all else.
-PIECES, PIECES_KEPT = 128, 600_000
+PIECES, PIECES_KEPT = 128, 900_000
 #: Characters of text encoded at once.
-CHARS = 3_000_000
+CHARS = 5_000_000
 #: A word of letters, ASCII signs other than an apostrophe, which may be a contraction's, and the same after a line's end; the library cuts between them whatever follows.
 LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 SIGNED = re.compile(r"(L)(S)(?:(\n)(L)(S))?".replace("L", LETTERS.pattern).replace("S", r"[!-&(-/:-@\[-`{-~]*"))
 
 
+@contextmanager
+def unswept() -> Iterator[None]:
+    """Without looks for cycles, which go over all remembered pieces again and again while many small lists are made; none of these is in a cycle."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class LibraryCodec(Codec):
     """Pieces encoded by the tokenizers library from a byte-level vocabulary."""
 
     def __init__(self, path: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = plain
         self.added = [] if plain else [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.alone = Tokenizer(self.tool.model)  # words that are already in the model's letters
+        self.alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.size = self.tool.get_vocab_size()
         self.begins = np.zeros(self.size, bool)  # ids that start with a space
         for token, i in self.tool.get_vocab().items():
@@ -65,37 +82,54 @@ class LibraryCodec(Codec):
 
     def _learn(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
         """A word and what SIGNED finds after it are read apart, since the same word is met with other signs and with none."""
-        alpha = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
-        cut = {i: [x or "" for x in m.groups()] for i in np.flatnonzero(~alpha).tolist() if space and (m := SIGNED.fullmatch(pieces[i]))}
+        cut, parts = [], []
+        if space:
+            matches = [(i, m) for i, p in enumerate(pieces) if not p.isalpha() and (m := SIGNED.fullmatch(p))]
+            cut, parts = [i for i, _ in matches], list(zip(*(m.groups("") for _, m in matches), strict=True))
         if not cut:
             return self._read(pieces, space)
-        known, plain = self.spaced.known, [p for i, p in enumerate(pieces) if i not in cut]
-        asked = list(dict.fromkeys([*plain, *(m[0] for m in cut.values() if m[0] not in known)]))
-        after = list(dict.fromkeys(["", *(x for m in cut.values() for x in m[1:])]))
-        kept = list(dict.fromkeys(known[m[0]] for m in cut.values() if m[0] in known))
-        found = [self._read(asked, space), self._read(after, ""), self.spaced.laid_out(np.array(kept, np.int64))]
-        flat, counts = np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found])
-        at, after_at, kept_at = ({x: k for k, x in enumerate(xs, first)} for xs, first in ((asked, 0), (after, len(asked)), (kept, len(asked) + len(after))))
-        parts = np.full((len(pieces), SIGNED.groups), after_at[""])
         alone = np.ones(len(pieces), bool)
-        alone[list(cut)] = False
-        parts[alone, 0] = np.arange(len(plain))
-        parts[~alone] = [(kept_at[known[m[0]]] if m[0] in known else at[m[0]], *map(after_at.__getitem__, m[1:])) for m in cut.values()]
-        sizes = counts[parts]
-        return flat[spread((np.cumsum(counts) - counts)[parts].ravel(), sizes.ravel())], sizes.sum(axis=1)
+        alone[cut] = False
+        plain = [pieces[i] for i in np.flatnonzero(alone).tolist()]
+        met = np.fromiter(map(self.spaced.known.get, parts[0], repeat(-1)), np.int64, len(cut))
+        places, known = np.unique(met[met >= 0], return_inverse=True)
+        heads = [parts[0][i] for i in np.flatnonzero(met < 0).tolist()]
+        asked = list(dict.fromkeys([*plain, *heads]))
+        after = list(dict.fromkeys(["", *(x for column in parts[1:] for x in column)]))
+        found = [self._read(asked, space), self._read(after, ""), self.spaced.laid_out(places)]
+        flat, counts = np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found])
+        at, after_at = ({x: k for k, x in enumerate(xs, first)} for xs, first in ((asked, 0), (after, len(asked))))
+        rows = np.full((len(pieces), SIGNED.groups), after_at[""])
+        rows[alone, 0] = np.arange(len(plain))
+        first = np.empty(len(cut), np.int64)
+        first[met >= 0] = len(asked) + len(after) + known
+        first[met < 0] = np.fromiter(map(at.__getitem__, heads), np.int64, len(heads))
+        rows[cut] = np.stack([first, *(np.fromiter(map(after_at.__getitem__, column), np.int64, len(cut)) for column in parts[1:])], axis=1)
+        sizes = counts[rows]
+        return flat[spread((np.cumsum(counts) - counts)[rows].ravel(), sizes.ravel())], sizes.sum(axis=1)
 
     def _read(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
-        """Words of Latin letters go to the library's model as they are; other pieces after a space are handed
-        to the library PIECES at a time: only their first ids start with a space."""
+        """Words of Latin letters go to the library's model in its own letters, a line each; other pieces after a space
+        are handed to the library as text. Both PIECES at a time: only their first ids start with a space."""
         counts = np.zeros(len(pieces), np.int64)
-        at = [i for i, p in enumerate(pieces) if p.isalpha() and (p.isascii() or LETTERS.fullmatch(p))]
-        taken, tokens, front, flat = set(at), self.tool.model.tokenize, "Ġ" if space else "", []
-        for i in at:
-            p = pieces[i]
-            ids = [t.id for t in tokens(front + (p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)))]
-            counts[i] = len(ids)
-            flat += ids
-        out = [np.array(flat, np.int32)]
+        ascii_at = [i for i, p in enumerate(pieces) if p.isascii() and p.isalpha()]
+        latin_at = [i for i, p in enumerate(pieces) if not p.isascii() and LETTERS.fullmatch(p)]
+        # A space is a letter of the model's too, Ġ, which no word holds.
+        latin = " ".join(pieces[i] for i in latin_at).encode().decode("latin-1").translate(self.letters).split("Ġ") if latin_at else []
+        words, at = [*map(pieces.__getitem__, ascii_at), *latin], ascii_at + latin_at
+        if space:
+            found = self.alone.encode_batch_fast(["Ġ" + "\nĠ".join(words[k : k + PIECES]) for k in range(0, len(words), PIECES)], add_special_tokens=False)
+            ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in found)])
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(words):
+                raise ValueError("a word was joined with another")
+            counts[at] = np.diff(np.append(first, len(ids)))
+            out = [ids]
+        else:
+            rows = [[t.id for t in self.tool.model.tokenize(w)] for w in words]
+            counts[at] = np.fromiter(map(len, rows), np.int64, len(at))
+            out = [np.fromiter(chain.from_iterable(rows), np.int32)]
+        taken = set(at)
         others = [i for i in range(len(pieces)) if i not in taken]
         joined = [i for i in others if space and pieces[i] and " " not in pieces[i] and not pieces[i][0].isspace()]
         groups = [joined[k : k + PIECES] for k in range(0, len(joined), PIECES)]
@@ -121,6 +155,10 @@ class LibraryCodec(Codec):
 
     def encode_block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """As of any codec; a text that holds an added token is encoded whole."""
+        with unswept():
+            return self._encode_block(texts)
+
+    def _encode_block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         if not whole:
             return super().encode_block(texts)
